@@ -1,0 +1,224 @@
+"""Finite interpretations of a few formulas, evaluated many at a time with numpy."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+from functools import lru_cache
+
+import numpy as np
+
+from formulary.functions import grammar
+
+BLOCK = 4096  # interpretations per work item
+MAX_CELLS = 1 << 22  # truth values held at once
+MAX_AXES = 60  # quantifier nesting that array axes can hold
+MAX_TYPES_EXPONENT = 4  # unary predicates up to which all element types are enumerated
+
+
+class Unsupported(ValueError):
+    pass
+
+
+@dataclass(frozen=True)
+class Stage:
+    """A range of interpretations. Types: the domain is a set of element types. Otherwise `size` elements."""
+
+    types: bool
+    size: int
+    models: int
+    sampled: bool
+
+
+@dataclass(frozen=True)
+class Problem:
+    trees: tuple
+    preds: tuple  # (name, arity), sorted
+    symbols: tuple  # constants and free variables, sorted
+    width: int  # most quantified variables one subformula ranges over
+    axes: int  # deepest quantifier nesting
+
+
+@lru_cache(maxsize=512)
+def problem(formulas: tuple[str, ...]) -> Problem:
+    """Raises FormulaError for unreadable text, Unsupported for terms the logic here does not have."""
+    trees = tuple(grammar.parse(f)[0] for f in formulas)
+    preds: set = set()
+    symbols: set = set()
+    width = axes = 0
+
+    def walk(tree, bound: dict, depth: int) -> set:
+        nonlocal width, axes
+        kind, symbol, children = tree
+        if kind in ("variable", "constant"):
+            raise Unsupported(f"{symbol} stands where a formula is needed")
+        if kind == "predicate":
+            if any(c[0] not in ("variable", "constant") for c in children):
+                raise Unsupported(f"an argument of {symbol} is no term")
+            preds.add((symbol, len(children)))
+            used = set()
+            for c in children:
+                if c[0] == "variable" and c[1] in bound:
+                    used.add(bound[c[1]])
+                else:
+                    symbols.add(_term(c))
+        elif kind == "quantified":
+            axes = max(axes, depth + 1)
+            inside = walk(children[1], {**bound, children[0][1]: depth}, depth + 1)
+            used = inside - {depth}
+            width = max(width, len(inside | {depth}))
+        else:
+            used = set().union(*(walk(c, bound, depth) for c in children))
+        width = max(width, len(used))
+        return used
+
+    for tree in trees:
+        walk(tree, {}, 0)
+    return Problem(trees, tuple(sorted(preds)), tuple(sorted(symbols)), width, axes)
+
+
+def _term(node) -> str:
+    return node[1].strip("\"'") if node[0] == "constant" else node[1]
+
+
+def stages(p: Problem, max_models: int) -> tuple[tuple[Stage, ...], bool]:
+    """Ranges to search within the budget, and whether searching them all settles the question.
+
+    With unary predicates only, truth depends on which element types are inhabited and where the named
+    elements sit; enumerating all that is a decision. Otherwise domains of growing size are enumerated,
+    the last one by sample, and finding nothing settles nothing.
+    """
+    unary = sum(a == 1 for _, a in p.preds)
+    flags = sum(a == 0 for _, a in p.preds)
+    if all(a <= 1 for _, a in p.preds) and unary <= MAX_TYPES_EXPONENT:
+        types = 2**unary
+        models = 2 ** (types + flags) * types ** len(p.symbols)
+        if models <= max_models and p.axes <= MAX_AXES and types**p.width <= MAX_CELLS:
+            return (Stage(True, types, models, False),), True
+    out, left, size = [], max_models, 1
+    while left > 0 and p.axes <= MAX_AXES and _cells(p, size) <= MAX_CELLS:
+        bits = sum(size**a for _, a in p.preds)
+        full = bits < 63 and 2**bits * size ** len(p.symbols) <= left
+        models = 2**bits * size ** len(p.symbols) if full else min(left, -(-max_models // 4))
+        out.append(Stage(False, size, models, not full))
+        left -= models
+        size += 1
+    return tuple(out), False
+
+
+def _cells(p: Problem, size: int) -> int:
+    """Truth values one interpretation needs at once."""
+    return max(size**p.width, sum(size**a for _, a in p.preds))
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """64-bit finaliser of the splitmix generator, for sampled interpretations."""
+    with np.errstate(over="ignore"):
+        x = (x + np.uint64(0x9E3779B97F4A7C15)).astype(np.uint64)
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+def _interpretations(p: Problem, s: Stage, lo: int, hi: int):
+    """(tables by predicate, places by symbol, inhabited elements, usable rows) of models lo..hi."""
+    m = np.arange(lo, hi, dtype=np.uint64)
+    rows = len(m)
+    one = np.uint64(1)
+    if s.types:
+        inhabited = (m[:, None] >> np.arange(s.size, dtype=np.uint64)) & one == one
+        rest = m >> np.uint64(s.size)
+        tables, unary = {}, 0
+        for name, arity in p.preds:
+            if arity == 0:
+                tables[name, 0] = rest & one == one
+                rest = rest >> one
+            else:
+                has = (np.arange(s.size) >> unary) & 1 == 1
+                tables[name, 1] = np.broadcast_to(has, (rows, s.size))
+                unary += 1
+        places, usable = {}, inhabited.any(axis=1)
+        for symbol in p.symbols:
+            places[symbol] = (rest % np.uint64(s.size)).astype(np.int64)
+            rest = rest // np.uint64(s.size)
+            usable = usable & inhabited[np.arange(rows), places[symbol]]
+        return tables, places, inhabited, usable
+
+    cells = 0
+    tables = {}
+    for name, arity in p.preds:
+        n = s.size**arity
+        index = np.arange(cells, cells + n, dtype=np.uint64)
+        if s.sampled:
+            bit = _mix(m[:, None] * np.uint64(1_000_003) + index) & one
+        else:
+            bit = (m[:, None] >> index) & one
+        tables[name, arity] = (bit == one).reshape((rows,) + (s.size,) * arity)
+        cells += n
+    rest = _mix(~m) if s.sampled else m >> np.uint64(cells)
+    places = {}
+    for symbol in p.symbols:
+        places[symbol] = (rest % np.uint64(s.size)).astype(np.int64)
+        rest = rest // np.uint64(s.size)
+    return tables, places, np.ones((rows, s.size), bool), np.ones(rows, bool)
+
+
+def _truth(p: Problem, tree, tables, places, inhabited) -> np.ndarray:
+    """Truth of a formula in every interpretation; one axis per enclosing quantifier, length 1 if unused."""
+    rows, size = inhabited.shape
+    flat = (rows,) + (1,) * p.axes
+
+    def on_axis(values: np.ndarray, axis: int) -> np.ndarray:
+        shape = [values.shape[0] if values.ndim == 2 else 1] + [1] * p.axes
+        shape[axis + 1] = size
+        return values.reshape(shape)
+
+    def value(tree, bound: dict, depth: int) -> np.ndarray:
+        kind, symbol, children = tree
+        if kind == "predicate":
+            table = tables[symbol, len(children)]
+            if not children:
+                return table.reshape(flat)
+            places_of = [
+                on_axis(np.arange(size), bound[c[1]])
+                if c[0] == "variable" and c[1] in bound
+                else places[_term(c)].reshape(flat)
+                for c in children
+            ]
+            return table[(np.arange(rows).reshape(flat), *places_of)]
+        if kind == "quantified":
+            inner = value(children[1], {**bound, children[0][1]: depth}, depth + 1)
+            there = on_axis(inhabited, depth)
+            if symbol == "∀":
+                return (inner | ~there).all(axis=depth + 1, keepdims=True)
+            return (inner & there).any(axis=depth + 1, keepdims=True)
+        parts = [value(c, bound, depth) for c in children]
+        if kind == "not":
+            return ~parts[0]
+        a, b = parts
+        if kind == "and":
+            return a & b
+        if kind == "or":
+            return a | b
+        if kind == "implies":
+            return ~a | b
+        return a ^ b if kind == "xor" else ~(a ^ b)
+
+    return value(tree, {}, 0).reshape(rows)
+
+
+def found(p: Problem, s: Stage, lo: int, hi: int, mode: str) -> bool:
+    """Whether an interpretation in lo..hi tells the formulas apart.
+
+    differ: the two formulas disagree. entail: all but the last hold and the last does not.
+    """
+    step = max(1, min(BLOCK, MAX_CELLS // _cells(p, s.size)))
+    for start in range(lo, hi, step):
+        tables, places, inhabited, usable = _interpretations(p, s, start, min(start + step, hi))
+        truth = [_truth(p, tree, tables, places, inhabited) for tree in p.trees]
+        if mode == "differ":
+            hit = truth[0] ^ truth[1]
+        else:
+            hit = np.logical_and.reduce([*truth[:-1], ~truth[-1]])
+        if (hit & usable).any():
+            return True
+    return False

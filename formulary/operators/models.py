@@ -1,0 +1,144 @@
+"""Equivalence and entailment by counter-model search.
+
+refuted is always right, equivalent and entailed only come from an exhaustive search, anything else is
+undetermined. The budget decides how far a search goes and is visible in that verdict.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
+
+from formulary.functions import countermodels as C, text as X
+from formulary.functions.grammar import FormulaError
+from formulary.operators.skew import HEAVY_ROWS, lookup_join, text_key
+from formulary.session import cut
+
+MAX_MODELS = 1 << 16
+FIRST_LOOK = C.BLOCK  # interpretations tried while planning; refutes most pairs that differ
+
+
+def _plan(mode: str, max_models: int):
+    """Per problem: settle it, or list the blocks of interpretations still to be tried."""
+
+    def one(formulas: list[str]) -> tuple[str | None, bool, list[tuple[int, int, int]]]:
+        try:
+            p = C.problem(tuple("" if f is None else f for f in formulas))
+        except FormulaError:
+            return "parse_error", False, []
+        except C.Unsupported:
+            return "unsupported", False, []
+        ranges, decides = C.stages(p, max_models)
+        look, blocks = FIRST_LOOK, []
+        for i, s in enumerate(ranges):
+            first = min(look, s.models)
+            if first and C.found(p, s, 0, first, mode):
+                return "refuted", decides, []
+            look -= first
+            blocks += [(i, lo, min(lo + C.BLOCK, s.models)) for lo in range(first, s.models, C.BLOCK)]
+        return None, decides, blocks
+
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            plans = [one(list(f)) for f in chunk["formulas"]]
+            yield chunk.assign(
+                settled=[p[0] for p in plans],
+                decides=[p[1] for p in plans],
+                blocks=[[{"stage": s, "lo": lo, "hi": hi} for s, lo, hi in p[2]] for p in plans],
+            )
+
+    return run
+
+
+def _search(mode: str, max_models: int):
+    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for chunk in chunks:
+            hits = []
+            for formulas, stage, lo, hi in zip(chunk["formulas"], chunk["stage"], chunk["lo"], chunk["hi"]):
+                p = C.problem(tuple(formulas))
+                hits.append(C.found(p, C.stages(p, max_models)[0][stage], lo, hi, mode))
+            yield pd.DataFrame({"key": chunk["key"], "hit": hits})
+
+    return run
+
+
+def search_models(problems: DataFrame, mode: str, holds: str, max_models: int = MAX_MODELS) -> DataFrame:
+    """(key, verdict) for problems (key, formulas ARRAY<STRING>), keys unique.
+
+    The interpretations of one problem are cut into blocks that spread over all tasks, so a single hard
+    problem does not hold up one of them.
+    """
+    planned = cut(
+        problems.select("key", "formulas").mapInPandas(
+            _plan(mode, max_models),
+            "key string, formulas array<string>, settled string, decides boolean, "
+            "blocks array<struct<stage:int,lo:bigint,hi:bigint>>",
+        )
+    )
+    tasks = problems.sparkSession.sparkContext.defaultParallelism * 3
+    blocks = planned.select("key", "formulas", F.explode("blocks").alias("b")).select("key", "formulas", "b.*")
+    # The rows are small but the work behind them is not: a fixed number of partitions is not merged by size.
+    spread = blocks.repartition(tasks, "key", "stage", "lo")
+    hits = spread.mapInPandas(_search(mode, max_models), "key string, hit boolean")
+    late = hits.groupBy("key").agg(F.bool_or("hit").alias("late"))
+    verdict = (
+        F.when(F.col("settled").isNotNull(), F.col("settled"))
+        .when(F.coalesce("late", F.lit(False)), "refuted")
+        .when(F.col("decides"), holds)
+        .otherwise("undetermined")
+    )
+    return planned.select("key", "settled", "decides").join(late, "key", "left").select(
+        "key", verdict.alias("verdict")
+    )
+
+
+def _judge(
+    rows: DataFrame, mode: str, holds: str, out: str, spread: list[str], max_models: int, min_heavy_rows: int
+) -> DataFrame:
+    """rows carry _formulas; each distinct problem is searched once and its verdict joined back."""
+    keyed = rows.withColumn("_key", text_key(F.to_json("_formulas")))
+    problems = keyed.groupBy(F.col("_key").alias("key")).agg(F.first("_formulas").alias("formulas"))
+    found = cut(search_models(problems, mode, holds, max_models))
+    found = found.select(F.col("key").alias("_key"), F.col("verdict").alias(out))
+    return lookup_join(keyed, found, "_key", out, spread, min_heavy_rows).drop("_key", "_formulas")
+
+
+def bounded_equivalence(
+    pairs: DataFrame,
+    pred: str = "fol_pred",
+    gt: str = "fol_gt",
+    max_models: int = MAX_MODELS,
+    spread: tuple[str, ...] = ("row_id",),
+    min_heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """Adds `equivalence`: equivalent, refuted, undetermined, unsupported or parse_error.
+
+    Textually identical pairs are equivalent without a search.
+    """
+    same = F.coalesce(X.identical(pred, gt), F.lit(False))
+    rows = pairs.withColumn("_formulas", F.when(~same, F.array(pred, gt)))
+    easy = rows.filter(F.col("_formulas").isNull()).drop("_formulas").withColumn("equivalence", F.lit("equivalent"))
+    hard = rows.filter(F.col("_formulas").isNotNull())
+    judged = _judge(hard, "differ", "equivalent", "equivalence", list(spread), max_models, min_heavy_rows)
+    return easy.unionByName(judged)
+
+
+def bounded_entailment(
+    examples: DataFrame,
+    max_models: int = MAX_MODELS,
+    spread: tuple[str, ...] = ("example_id",),
+    min_heavy_rows: int = HEAVY_ROWS,
+) -> DataFrame:
+    """Adds `entailment`: entailed, refuted, undetermined, unsupported or parse_error.
+
+    Needs premises_fol ARRAY<STRING> and conclusion_fol.
+    """
+    rows = examples.withColumn("_formulas", F.concat("premises_fol", F.array("conclusion_fol")))
+    return _judge(rows, "entail", "entailed", "entailment", list(spread), max_models, min_heavy_rows)
+
+
+def entailment_vs_label(results: DataFrame) -> DataFrame:
+    """Examples per (label, verdict)."""
+    return results.groupBy("label", F.col("entailment").alias("verdict")).agg(F.count("*").alias("n"))
