@@ -22,7 +22,7 @@ def sorted_names(*arrays) -> Column:
     union = _col(arrays[0])
     for other in arrays[1:]:
         union = F.array_union(union, _col(other))
-    return F.array_sort(F.array_distinct(union))
+    return F.sort_array(F.array_distinct(union))
 
 
 def format_predicates(arr, fmt) -> Column:

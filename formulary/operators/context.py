@@ -9,26 +9,50 @@ from formulary.operators.prompts import message
 from formulary.plans import fixed_texts as t
 
 
-def numbered(formulas) -> Column:
-    """'𝜙1 = ...', '𝜙2 = ...' one per line."""
+BLOCK = 256  # positions per block of a running context
+
+
+def numbered(formulas, after: Column | None = None) -> Column:
+    """'𝜙1 = ...', '𝜙2 = ...' one per line, counting on from `after`."""
+    start = F.lit(1) if after is None else after + 1
     lines = F.transform(
-        _col(formulas), lambda f, k: F.concat(F.lit(PHI), (k + 1).cast("string"), F.lit(" = "), f)
+        _col(formulas), lambda f, k: F.concat(F.lit(PHI), (start + k).cast("string"), F.lit(" = "), f)
     )
     return F.array_join(lines, "\n")
 
 
-def _earlier(group: str, order: str, value: str) -> Column:
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.collect_list(value).over(w)
+def _running(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
+    """Adds `before`: the numbered earlier values of the row's group as lines, '' for the first row.
+
+    The result itself grows with the square of a group, so the writing is spread: rows are cut into blocks
+    of BLOCK positions, each block's lines are written once, and every row joins the text of the blocks
+    before its own with the earlier rows of its block. Only one row per block is ordered within a group.
+    """
+    rows = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumn(
+        "_value", F.coalesce(F.col(value), F.lit(""))
+    )
+    in_group = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy(group, "_block").agg(
+        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(order, "_value"))).alias("v")
+    )
+    blocks = blocks.withColumn("_n", F.coalesce(F.sum("n").over(in_group), F.lit(0)))
+    text = blocks.withColumn("text", numbered(F.col("v._value"), F.col("_n")))
+    carried = text.select(
+        group, "_block", "_n", F.array_join(F.collect_list("text").over(in_group), "\n").alias("_head")
+    )
+    in_block = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    joined = rows.join(carried, [group, "_block"]).withColumn("_tail", F.collect_list("_value").over(in_block))
+    tail = numbered("_tail", F.col("_n"))
+    between = F.when((F.col("_n") > 0) & (F.size("_tail") > 0), "\n").otherwise("")
+    return joined.withColumn("before", F.concat("_head", between, tail)).drop(
+        "_block", "_value", "_n", "_head", "_tail"
+    )
 
 
 def premise_context(premises: DataFrame) -> DataFrame:
-    """(example_id, idx, context): the formulas of all earlier premises; empty for the first.
-
-    Each result row holds everything before it, which bounds an example to what fits one cell.
-    """
-    rows = premises.filter(F.col("kind") == "premise")
-    return rows.select("example_id", "idx", numbered(_earlier("example_id", "idx", "fol")).alias("context"))
+    """(example_id, idx, context): the formulas of all earlier premises; empty for the first."""
+    rows = premises.filter(F.col("kind") == "premise").select("example_id", "idx", "fol")
+    return _running(rows, "example_id", "idx", "fol").select("example_id", "idx", F.col("before").alias("context"))
 
 
 def conclusion_context(examples: DataFrame, formulas: str = "premises_fol") -> DataFrame:
@@ -45,6 +69,6 @@ def chain_messages(text: Column, context: Column) -> Column:
 
 def running_chat_context(conversations: DataFrame) -> DataFrame:
     """(conv_id, turn, messages): earlier turns of a conversation as context of the current one."""
-    earlier = conversations.select("conv_id", "turn", "text", _earlier("conv_id", "turn", "text").alias("before"))
-    context = F.when(F.size("before") > 0, F.concat(F.lit(t.CHAIN_HEADER), numbered("before"))).otherwise("")
-    return earlier.select("conv_id", "turn", chain_messages(F.col("text"), context).alias("messages"))
+    turns = _running(conversations.select("conv_id", "turn", "text"), "conv_id", "turn", "text")
+    context = F.when(F.col("before") == "", "").otherwise(F.concat(F.lit(t.CHAIN_HEADER), F.col("before")))
+    return turns.select("conv_id", "turn", chain_messages(F.col("text"), context).alias("messages"))

@@ -17,7 +17,8 @@ MAX_SHIPPED_VOCAB = 500_000  # entries; beyond that the vocabulary is joined, no
 
 def vocab_build(df: DataFrame, size: int, text: str = "text") -> DataFrame:
     """(token, id) of the `size` most frequent tokens, ties by token. Ids follow the rank."""
-    counts = df.select(F.explode(X.words(text)).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    tokens = df.select(F.explode_outer(X.words(text)).alias("token")).filter(F.col("token").isNotNull())
+    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
     top = counts.orderBy(F.desc("n"), "token").limit(size)
     # The limit leaves at most `size` rows for this unpartitioned window.
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))

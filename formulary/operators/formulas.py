@@ -104,7 +104,7 @@ def formula_profile(df: DataFrame, formula: str = "fol") -> DataFrame:
                 F.transform(F.filter("nodes", lambda n: n["kind"] == "variable"), lambda n: n["symbol"])
             )
         ).cast("bigint").alias("n_variables"),
-        F.array_join(F.array_sort(F.array_distinct(F.transform(free, lambda n: n["symbol"]))), ",").alias(
+        F.array_join(F.sort_array(F.array_distinct(F.transform(free, lambda n: n["symbol"]))), ",").alias(
             "free_variables"
         ),
     )
@@ -121,9 +121,8 @@ FLAT_APPLICATION = r"(?<![\p{L}\p{N}_])[\p{L}\p{N}_]++\([^()]*\)"
 
 def flat_arities(df: DataFrame, formula: str = "fol") -> DataFrame:
     """(row_id, pred, arity) of applications without nested brackets, read off the text."""
-    found = df.select(
-        "row_id", F.explode(F.regexp_extract_all(F.col(formula), F.lit(FLAT_APPLICATION), F.lit(0))).alias("app")
-    )
+    apps = F.regexp_extract_all(F.col(formula), F.lit(FLAT_APPLICATION), F.lit(0))
+    found = df.select("row_id", F.explode_outer(apps).alias("app")).filter(F.col("app").isNotNull())
     inside = F.rtrim(F.substring_index("app", "(", -1), F.lit(")"))
     commas = F.length(inside) - F.length(F.replace(inside, F.lit(","), F.lit("")))
     return found.select(
@@ -141,7 +140,7 @@ def arity_conflicts(arities: DataFrame) -> DataFrame:
     """Predicates used with more than one argument count, with those counts and the number of uses."""
     counted = arities.groupBy("pred", "arity").agg(F.count("*").alias("uses"))
     per_pred = counted.groupBy("pred").agg(
-        F.array_sort(F.collect_list("arity")).alias("arities"), F.sum("uses").alias("uses")
+        F.sort_array(F.collect_list("arity")).alias("arities"), F.sum("uses").alias("uses")
     )
     return per_pred.filter(F.size("arities") > 1)
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from formulary.functions import predicates as P
 from formulary.operators import prompts
-from formulary.session import cut
+from formulary.session import cut, store
 
 DRAWS = 16  # hashed positions tried per row, two per md5
 SMALL = 128  # up to this many peers are ranked outright
@@ -16,17 +16,17 @@ MAX_BROADCAST_OFFSETS = 200_000
 def dense_index(df: DataFrame, order: str = "row_id", by: str | None = None) -> DataFrame:
     """Adds `idx`, the 0-based position in `order` (within `by` if given), and `n`, the number of positions.
 
-    Two passes instead of one global window: the rows are range-partitioned and checkpointed, which fixes
-    partitions and order; counts per partition give each partition its first position.
+    Two passes instead of one global window: the rows are sorted in range partitions and written down with
+    their place in the partition, which then never changes; counts per partition give each partition its
+    first position.
     """
     group = by or "_all"
     keyed = df if by else df.withColumn("_all", F.lit(0))
-    placed = cut(keyed.orderBy(group, order)).withColumns(
-        {
-            "_pid": F.spark_partition_id(),
-            "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
-        }
-    )
+    place = {
+        "_pid": F.spark_partition_id(),
+        "_pos": F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)),
+    }
+    placed = store(keyed.orderBy(group, order).withColumns(place), "indexed")
     sizes = placed.groupBy("_pid", group).agg(F.count("*").alias("_c"), F.min("_pos").alias("_first"))
     earlier = Window.partitionBy(group).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = cut(
@@ -74,7 +74,7 @@ def drawn_positions(row_id: Column, n: Column, k: int, seed: int) -> Column:
     """
     key = F.concat(row_id.cast("string"), F.lit(f":{seed}:"))
     ranked = F.transform(
-        F.array_sort(
+        F.sort_array(
             F.transform(
                 F.sequence(F.lit(0).cast("bigint"), n - 1),
                 lambda j: F.struct(F.md5(F.concat(key, j.cast("string"))).alias("h"), j.alias("j")),
@@ -119,7 +119,7 @@ def noise_rows(corpus: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
 def noise_predicate_set(noise: DataFrame) -> DataFrame:
     """(row_id, noise): sorted union of the names over the k sampled rows."""
     return noise.groupBy("row_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("preds")))).alias("noise")
+        F.sort_array(F.array_distinct(F.flatten(F.collect_list("preds")))).alias("noise")
     )
 
 

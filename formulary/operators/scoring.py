@@ -18,8 +18,8 @@ def predicate_matches(pairs: DataFrame, keys: tuple[str, ...] = ("row_id",)) ->
         P.extract_predicates("fol_pred").alias("n1"),
         F.array_distinct(P.extract_predicates("fol_gt")).alias("n2"),
     )
-    one = named.filter(F.size("n2") > 0).select(*keys, "n2", F.posexplode("n1").alias("pos", "pred"))
-    near = one.withColumn("near", P.nearest(F.col("pred"), F.col("n2")))
+    one = named.select(*keys, "n2", F.posexplode_outer("n1").alias("pos", "pred"))
+    near = one.filter(F.col("pred").isNotNull() & (F.size("n2") > 0)).withColumn("near", P.nearest(F.col("pred"), F.col("n2")))
     return near.select(
         *keys,
         "pos",
@@ -96,6 +96,7 @@ def predicate_inventory(corpus: DataFrame) -> DataFrame:
     The row count sums a first-in-row flag, so one shuffle of partial sums serves both counts.
     """
     names = corpus.select(P.extract_predicates("fol").alias("names"))
-    uses = names.select(F.posexplode("names").alias("pos", "pred"), "names")
+    # An outer explode: the plain one makes Spark test the list for emptiness first, by extracting it twice.
+    uses = names.select(F.posexplode_outer("names").alias("pos", "pred"), "names").filter(F.col("pred").isNotNull())
     flagged = uses.select("pred", (F.array_position("names", F.col("pred")) == F.col("pos") + 1).alias("first"))
     return flagged.groupBy("pred").agg(F.count("*").alias("uses"), F.count_if("first").alias("rows_using"))

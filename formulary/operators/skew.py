@@ -12,7 +12,7 @@ HEAVY_ROWS = 100_000
 
 def heavy_keys(rows: DataFrame, key: str, min_rows: int = HEAVY_ROWS) -> DataFrame:
     """At most HEAVY_KEYS keys with at least `min_rows` rows. Counts are combined before the shuffle."""
-    counts = rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    counts = rows.groupBy(key).agg(F.count("*").alias("_n"))
     return counts.filter(F.col("_n") >= min_rows).orderBy(F.desc("_n"), key).limit(HEAVY_KEYS).select(key)
 
 
@@ -27,8 +27,8 @@ def lookup_join(
     """rows left-joined to `lookup` (unique on `key`, one `payload` column).
 
     Heavy keys get their payload from a broadcast of bounded size. For the shuffle join that serves all
-    other keys their rows receive stand-in keys that match nothing. Those are a hash of the `spread`
-    columns, so a recomputed task sends every row to the same place again.
+    other keys their rows, and those without a key, receive stand-in keys that match nothing. Those are a
+    hash of the `spread` columns, so a recomputed task sends every row to the same place again.
     """
     heavy = heavy_keys(rows.select(key), key, min_rows)
     heavy = (
@@ -37,13 +37,12 @@ def lookup_join(
     )
     tagged = rows.join(F.broadcast(heavy), rows[key] == F.col("_hk"), "left").drop("_hk")
     stand_in = F.concat(F.lit("\x00"), F.xxhash64(*spread).cast("string"))
-    tagged = tagged.withColumn("_jk", F.when(F.col("_hot"), stand_in).otherwise(F.col(key)))
+    tagged = tagged.withColumn("_jk", F.when(F.col("_hot") | F.col(key).isNull(), stand_in).otherwise(F.col(key)))
     light = lookup.select(F.col(key).alias("_jk"), F.col(payload).alias("_lp"))
     joined = tagged.join(light, "_jk", "left")
     return joined.withColumn(payload, F.coalesce("_hp", "_lp")).drop("_jk", "_hp", "_lp", "_hot")
 
 
-def text_key(*cols) -> Column:
-    """256-bit key of one or more strings; NULL and text never share a key."""
-    parts = [F.coalesce(F.concat(F.lit("s"), F.col(c) if isinstance(c, str) else c), F.lit("n")) for c in cols]
-    return F.sha2(F.concat_ws("\x1f", *[F.sha2(p, 256) for p in parts]), 256)
+def text_key(c) -> Column:
+    """256-bit key of a string; NULL has a key of its own."""
+    return F.coalesce(F.sha2(c, 256), F.lit("-"))

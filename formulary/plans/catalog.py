@@ -262,7 +262,7 @@ def noise_rows(spark, sf):
 @query
 def predicate_matches(spark, sf):
     matches = scoring.predicate_matches(predictions(spark, sf), ("row_id", "run"))
-    return matches.withColumn("distance", F.round("distance", 6))
+    return matches.withColumns({"pos": F.col("pos").cast("bigint"), "distance": F.round("distance", 6)})
 
 
 @query

@@ -408,6 +408,13 @@ add(
   FROM judged GROUP BY ROLLUP (model, setting)""",
     "fol_predictions",
 )
+# All sent answers are well-formed by construction; the bare word ERROR counts as not parsed.
+add(
+    "scorecard_with_parse",
+    ORACLE["scorecard"].replace(
+        "AS aligned_rate", "AS aligned_rate, round(count(*) FILTER (verdict <> 'error') / count(*), 6) AS parse_rate"
+    ),
+)
 _STATEMENTS = (
     "statements AS (SELECT row_id, fol FROM fol_corpus UNION ALL "
     "SELECT s_suppkey, concat('made_by(', replace(s_name, '#', '_'), ')') FROM supplier)"
@@ -592,6 +599,80 @@ add(
     + " FROM fol_corpus",
     "fol_corpus",
 )
+# Nodes of the seven formula shapes, as read by hand:
+# node_id, parent_id, pos, kind, symbol, depth, quantifier_depth, arity. A and B stand for the two names
+# taken from the part, C for its brand. All variables are bound.
+SHAPES = {
+    0: "0 - 0 quantified ∀ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 implies → 1 1 -; 3 2 0 predicate A 2 1 1; "
+    "4 3 0 variable x 3 1 -; 5 2 1 predicate B 2 1 1; 6 5 0 variable x 3 1 -",
+    1: "0 - 0 quantified ∃ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 and ∧ 1 1 -; 3 2 0 predicate A 2 1 1; "
+    "4 3 0 variable x 3 1 -; 5 2 1 predicate made_by 2 1 2; 6 5 0 variable x 3 1 -; 7 5 1 constant C 3 1 -",
+    2: "0 - 0 quantified ∀ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 or ∨ 1 1 -; 3 2 0 not ¬ 2 1 -; "
+    "4 3 0 predicate B 3 1 1; 5 4 0 variable x 4 1 -; 6 2 1 predicate A 2 1 1; 7 6 0 variable x 3 1 -",
+    3: "0 - 0 quantified ∀ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 iff ↔ 1 1 -; 3 2 0 predicate A 2 1 1; "
+    "4 3 0 variable x 3 1 -; 5 2 1 predicate B 2 1 1; 6 5 0 variable x 3 1 -",
+    4: "0 - 0 quantified ∀ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 quantified ∀ 1 1 -; 3 2 0 variable y 2 2 -; "
+    "4 2 1 implies → 2 2 -; 5 4 0 and ∧ 3 2 -; 6 5 0 predicate A 4 2 1; 7 6 0 variable x 5 2 -; "
+    "8 5 1 predicate made_by 4 2 2; 9 8 0 variable x 5 2 -; 10 8 1 variable y 5 2 -; "
+    "11 4 1 predicate brand 3 2 1; 12 11 0 variable y 4 2 -",
+    5: "0 - 0 quantified ∃ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 xor ⊕ 1 1 -; 3 2 0 predicate A 2 1 1; "
+    "4 3 0 variable x 3 1 -; 5 2 1 predicate B 2 1 1; 6 5 0 variable x 3 1 -",
+    6: "0 - 0 quantified ∀ 0 0 -; 1 0 0 variable x 1 1 -; 2 0 1 implies → 1 1 -; 3 2 0 predicate A 2 1 1; "
+    "4 3 0 variable x 3 1 -; 5 2 1 quantified ∃ 2 1 -; 6 5 0 variable y 3 2 -; 7 5 1 and ∧ 3 2 -; "
+    "8 7 0 predicate made_by 4 2 2; 9 8 0 variable x 5 2 -; 10 8 1 variable y 5 2 -; 11 7 1 not ¬ 4 2 -; "
+    "12 11 0 predicate B 5 2 1; 13 12 0 variable y 6 2 -",
+}
+
+
+def _shape_rows() -> str:
+    rows = []
+    for shape, text in SHAPES.items():
+        for node in text.split("; "):
+            i, parent, pos, kind, symbol, depth, quantifiers, arity = node.split(" ")
+            rows.append(
+                f"({shape}, {i}, {parent.replace('-', 'NULL')}, {pos}, '{kind}', '{symbol}', {depth}, {quantifiers}, "
+                f"{arity.replace('-', 'NULL')})"
+            )
+    return ", ".join(rows)
+
+
+NODES = f"""shape AS (SELECT * FROM (VALUES {_shape_rows()})
+    s(shape, node_id, parent_id, pos, kind, symbol, depth, quantifier_depth, arity)),
+  nodes AS (
+    SELECT p_partkey AS row_id, node_id, parent_id, pos, kind,
+      CASE symbol WHEN 'A' THEN replace(p_name, ' ', '_') WHEN 'B' THEN concat(lower(p_type), '_part')
+        WHEN 'C' THEN replace(p_brand, '#', '') ELSE symbol END AS symbol,
+      depth, quantifier_depth, arity, CASE WHEN kind = 'variable' THEN false END AS free
+    FROM part JOIN shape ON p_partkey % 7 = shape)"""
+add("parse_nodes", f"WITH {NODES} SELECT *, true AS parse_ok, {_NULL} AS reason FROM nodes")
+_KINDS = ["and", "or", "xor", "implies", "iff", "not", "predicate", "constant"]
+add(
+    "formula_profile",
+    f"WITH {NODES} SELECT row_id, true AS parse_ok, false AS ambiguous_scope, count(*) AS n_nodes, max(depth) AS depth, "
+    "max(quantifier_depth + CASE WHEN kind = 'quantified' THEN 1 ELSE 0 END) AS quantifier_depth, "
+    "count(*) FILTER (kind = 'quantified' AND symbol = '∀') AS n_forall, "
+    "count(*) FILTER (kind = 'quantified' AND symbol = '∃') AS n_exists, "
+    + ", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in _KINDS)
+    + ", count(DISTINCT symbol) FILTER (kind = 'variable') AS n_variables, '' AS free_variables "
+    "FROM nodes GROUP BY row_id",
+)
+add(
+    "export_prover_text",
+    f"""WITH v AS (SELECT p_partkey, replace(p_name, ' ', '_') AS a, concat(lower(p_type), '_part') AS b,
+      replace(p_brand, '#', '') AS c FROM part),
+  f AS (SELECT p_partkey // 4 AS example_id, p_partkey % 4 AS idx, CASE p_partkey % 7
+      WHEN 0 THEN concat('all x ((', a, '(x) -> ', b, '(x)))')
+      WHEN 1 THEN concat('exists x ((', a, '(x) & made_by(x, ', c, ')))')
+      WHEN 2 THEN concat('all x ((-', b, '(x) | ', a, '(x)))')
+      WHEN 3 THEN concat('all x ((', a, '(x) <-> ', b, '(x)))')
+      WHEN 4 THEN concat('all x (all y (((', a, '(x) & made_by(x, y)) -> brand(y))))')
+      WHEN 5 THEN concat('exists x (((', a, '(x) | ', b, '(x)) & -(', a, '(x) & ', b, '(x))))')
+      ELSE concat('all x ((', a, '(x) -> exists y ((made_by(x, y) & -', b, '(y)))))') END AS line FROM v)
+  SELECT example_id, concat({lit(t.PROVER_HEADER)},
+    string_agg(concat('  ', line, '.', chr(10)), '' ORDER BY idx) FILTER (idx < 3), {lit(t.PROVER_GOALS)},
+    max(concat('  ', line, '.', chr(10))) FILTER (idx = 3), {lit(t.PROVER_FOOTER)}) AS prover_input, {_NULL} AS reason
+  FROM f GROUP BY example_id""",
+)
 add("verdicts", f"WITH RECURSIVE {CLEAN_MATCH} SELECT row_id, run, verdict FROM judged", "fol_predictions")
 # Known by construction: a prediction equals the truth, is the bare word ERROR, or uses a predicate the
 # truth lacks, and then some interpretation tells them apart.

@@ -47,6 +47,13 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def store(df: DataFrame, name: str) -> DataFrame:
+    """Written table in the shared folder, read back: lineage ends here and columns can still be pruned."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes partitions and row order, and survives a lost executor."""
     shared_dir(df.sparkSession)

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,17 +17,15 @@ from formulary.operators.skew import text_key
 from formulary.sources.writers import append_progress
 
 
-
-def stored(spark: SparkSession, out_dir: str, before: int | None = None) -> DataFrame:
-    """All predictions written so far, or those of batches before the given one."""
+def stored(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All predictions written so far."""
     schema = T.StructType([*schemas.ANSWERED.fields, T.StructField("batch_id", T.LongType())])
     try:
-        rows = spark.read.schema(schema).parquet(out_dir)
+        return spark.read.schema(schema).parquet(out_dir).drop("batch_id")
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schemas.ANSWERED)
-    return (rows if before is None else rows.filter(F.col("batch_id") < before)).drop("batch_id")
 
 
 def predict_batch(
@@ -36,16 +35,25 @@ def predict_batch(
     load: Callable[[], Model],
     request: tuple[str, str, str] = ("seq2seq", "standard", "raw"),
     batch_size: int = 32,
+    done: DataFrame | None = None,
 ) -> None:
-    """One micro-batch: one row per sentence, those already answered left out, the rest generated and added.
+    """One micro-batch: sentences answered in `done` are left out, the rest generated and written.
 
-    Only batches before this one count as answered, so a repeated batch writes the same rows again.
+    A repeated batch replaces its own rows.
     """
-    once = batch.groupBy("nl").agg(F.min("fol").alias("fol")).withColumn("row_id", text_key("nl"))
-    todo = pending(once, stored(batch.sparkSession, out_dir, before=batch_id))
+    if done is not None:
+        batch.persist()  # the resume join reads it twice, the query's state should be stepped once
+    todo = pending(batch, done) if done is not None else batch
     prompts = route_prompts(todo, [request], keep=("nl", "fol"))
     answered = generate(prompts.select("nl", "prompt", F.col("fol").alias("fol_gt")), load, batch_size)
     append_progress(answered, out_dir, batch_id)
+    batch.unpersist()
+
+
+def _first_of_each(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeats within an Arrow batch go before the shuffle, so one frequent sentence fills no task."""
+    for chunk in chunks:
+        yield chunk.drop_duplicates("row_id")
 
 
 def stream_predictions(
@@ -57,21 +65,28 @@ def stream_predictions(
     request: tuple[str, str, str] = ("seq2seq", "standard", "raw"),
     batch_size: int = 32,
     files_per_batch: int | None = None,
+    done: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Predict for every corpus file that appears in `src_dir`; a restart goes on behind the checkpoint.
+    """Predict once per sentence for the corpus files that appear in `src_dir`, then stop.
 
-    The default trigger works off what is there and stops.
+    A restart goes on behind the checkpoint. Sentences seen before are known from the query's state, so a
+    batch costs what it brings and never rereads the output; `done` adds results that are older than the
+    query. For a large corpus choose the RocksDB state store.
     """
     reader = spark.readStream.schema(schemas.PAIR_FILE).option("multiLine", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    pairs = reader.json(src_dir).select(F.col("NL").alias("nl"), F.col("FOL").alias("fol"))
+    pairs = reader.json(src_dir).select(
+        text_key("NL").alias("row_id"), F.col("NL").alias("nl"), F.col("FOL").alias("fol")
+    )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        predict_batch(batch, batch_id, out_dir, load, request, batch_size)
+        predict_batch(batch, batch_id, out_dir, load, request, batch_size, done)
 
     return (
-        pairs.writeStream.foreachBatch(each)
+        pairs.mapInPandas(_first_of_each, pairs.schema)
+        .dropDuplicates(["row_id"])
+        .writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

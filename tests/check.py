@@ -38,13 +38,20 @@ def rows_of(table) -> tuple[list[str], list[tuple]]:
 
 
 def compare(spark, con, name: str, fn, sql: str | None, sf_dir: str) -> tuple[bool, str]:
-    got = rows_of(fn(spark, sf_dir).toArrow())
+    table = fn(spark, sf_dir).toArrow()
+    got = rows_of(table)
     if sql is None:
         return len(got[1]) > 0, f"{len(got[1])} rows, no SQL"
-    result = con.execute(sql)
-    want = rows_of(result.to_arrow_table())
+    checked = con.execute(sql).to_arrow_table()
+    want = rows_of(checked)
+    kinds = {
+        c: (str(table.schema.field(c).type), str(checked.schema.field(c).type))
+        for c in table.column_names
+        if c in checked.column_names
+    }
+    other = {c: k for c, k in kinds.items() if k[0] != k[1]}
     if got == want:
-        return True, f"{len(got[1])} rows"
+        return not other, f"{len(got[1])} rows {other or ''}"
     if got[0] != want[0]:
         return False, f"columns {got[0]} vs {want[0]}"
     extra = [r for r in got[1] if r not in set(want[1])][:2]
