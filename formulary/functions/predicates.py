@@ -25,10 +25,18 @@ def sorted_names(*arrays) -> Column:
     return F.sort_array(F.array_distinct(union))
 
 
+def bare_list(arr) -> Column:
+    return F.array_join(_col(arr), ", ")
+
+
 def format_predicates(arr, fmt) -> Column:
     """plain `Predicates=[A, B]`, quoted `Predicates=["A, B"]` + newline, plain_nl, or bare `A, B`."""
+    return format_bare(bare_list(arr), fmt)
+
+
+def format_bare(bare: Column, fmt) -> Column:
+    """The formats of `format_predicates` for names already joined."""
     fmt = F.lit(fmt) if isinstance(fmt, str) else fmt
-    bare = F.array_join(_col(arr), ", ")
     plain = F.concat(F.lit("Predicates=["), bare, F.lit("]"))
     return (
         F.when(fmt == "plain", plain)

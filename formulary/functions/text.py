@@ -10,8 +10,9 @@ LITERALS = ["∀", "∃", "∧", "⊕", "∨", "→", "↔", "¬"]
 WORDS = ["FORALL", "EXISTS", "AND", "XOR", "OR", "IMPLIES", "IFF", "NOT"]
 BRACKETS = [f"[FOL_{word}]" for word in WORDS]
 PHI = "𝜙"
-SPACE = r"[\t-\r\x1c-\x20\x{85}\p{Z}]"
-NON_SPACE = r"[^\t-\r\x1c-\x20\x{85}\p{Z}]"
+SPACE = r"[\s\x1c-\x1f]"
+NON_SPACE = r"[^\s\x1c-\x1f]"
+UNICODE = "(?U)"  # makes \s mean every Unicode space
 
 _FORBIDDEN_IN_FILE_NAMES = r'[/\\:*?"<>|\x00-\x1f\x7f]'
 
@@ -21,16 +22,16 @@ def _col(c) -> Column:
 
 
 def remove_space(c) -> Column:
-    return F.regexp_replace(_col(c), SPACE + "+", "")
+    return F.regexp_replace(_col(c), f"{UNICODE}{SPACE}+", "")
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(_col(c), f"^{SPACE}+|{SPACE}+$", "")
+    return F.regexp_replace(_col(c), f"{UNICODE}^{SPACE}+|{SPACE}+$", "")
 
 
 def words(c) -> Column:
     """Whitespace-separated tokens; an empty array for blank text."""
-    return F.regexp_extract_all(_col(c), F.lit(NON_SPACE + "+"), F.lit(0))
+    return F.regexp_extract_all(_col(c), F.lit(f"{UNICODE}{NON_SPACE}+"), F.lit(0))
 
 
 def identical(a, b) -> Column:

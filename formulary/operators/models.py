@@ -70,16 +70,17 @@ def search_models(problems: DataFrame, mode: str, holds: str, max_models: int =
     The interpretations of one problem are cut into blocks that spread over all tasks, so a single hard
     problem does not hold up one of them.
     """
+    # Small rows, much work behind each: a fixed number of partitions is not merged by size.
+    sc = problems.sparkSession.sparkContext
+    tasks = max(3 * sc.defaultParallelism, int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     planned = cut(
-        problems.select("key", "formulas").mapInPandas(
+        problems.select("key", "formulas").repartition(tasks, "key").mapInPandas(
             _plan(mode, max_models),
             "key string, formulas array<string>, settled string, decides boolean, "
             "blocks array<struct<stage:int,lo:bigint,hi:bigint>>",
         )
     )
-    tasks = problems.sparkSession.sparkContext.defaultParallelism * 3
     blocks = planned.select("key", "formulas", F.explode("blocks").alias("b")).select("key", "formulas", "b.*")
-    # The rows are small but the work behind them is not: a fixed number of partitions is not merged by size.
     spread = blocks.repartition(tasks, "key", "stage", "lo")
     hits = spread.mapInPandas(_search(mode, max_models), "key string, hit boolean")
     late = hits.groupBy("key").agg(F.bool_or("hit").alias("late"))

@@ -40,35 +40,43 @@ def _literal_spec(family: str, setting: str, version: str) -> dict[str, Column]:
     return {name: F.lit(value) for name, value in spec(family, setting, version).items()}
 
 
-def _text(df: DataFrame, s: dict[str, Column]) -> Column:
+def _names(df: DataFrame, formula: Column) -> tuple[Column, Column]:
+    """Own names of a formula, and those together with the row's sampled `noise`, each as `A, B`."""
+    own = P.sorted_names(P.extract_predicates(formula))
+    both = P.sorted_names(own, F.col("noise")) if "noise" in df.columns else own
+    return P.bare_list(own), P.bare_list(both)
+
+
+def _text(df: DataFrame, s: dict[str, Column], own: Column, both: Column) -> Column:
     """Instruction text of a row: head, predicate list, tail."""
-    own = P.extract_predicates(X.map_literals("fol", s["literal_map"])) if "fol" in df.columns else F.array()
-    noise = F.col("noise") if "noise" in df.columns else F.array().cast("array<string>")
     predicted = F.col("preds_pred") if "preds_pred" in df.columns else F.lit("")
     listed = (
-        F.when(s["preds_from"] == "own", P.format_predicates(P.sorted_names(own), s["list_fmt"]))
-        .when(s["preds_from"] == "own_noise", P.format_predicates(P.sorted_names(own, noise), s["list_fmt"]))
+        F.when(s["preds_from"] == "own", P.format_bare(own, s["list_fmt"]))
+        .when(s["preds_from"] == "own_noise", P.format_bare(both, s["list_fmt"]))
         .when(s["preds_from"] == "predicted", X.predicted_list(predicted, s["list_rule"]))
         .otherwise("")
     )
     return F.concat(s["head"], listed, s["tail"])
 
 
-def _label(df: DataFrame, s: dict[str, Column]) -> Column:
+def _text_and_label(df: DataFrame, s: dict[str, Column]) -> tuple[Column, Column]:
     if "fol" not in df.columns:
-        return F.lit(None).cast("string")
-    names = P.format_predicates(P.sorted_names(P.extract_predicates("fol")), s["list_fmt"])
-    return X.label(X.map_literals("fol", s["literal_map"]), s["label_kind"], names)
+        return _text(df, s, F.lit(""), F.lit("")), F.lit(None).cast("string")
+    spelled = X.map_literals("fol", s["literal_map"])
+    target = P.format_bare(_names(df, F.col("fol"))[0], s["list_fmt"])
+    return _text(df, s, *_names(df, spelled)), X.label(spelled, s["label_kind"], target)
 
 
 def _seq2seq(df: DataFrame, s: dict[str, Column]) -> DataFrame:
-    return df.select("row_id", F.concat(_text(df, s), F.col("nl")).alias("nl"), _label(df, s).alias("label"))
+    text, label = _text_and_label(df, s)
+    return df.select("row_id", F.concat(text, F.col("nl")).alias("nl"), label.alias("label"))
 
 
 def _chat(df: DataFrame, s: dict[str, Column], train: bool = True) -> DataFrame:
-    turns = [message("system", _text(df, s)), message("user", F.col("nl"))]
+    text, label = _text_and_label(df, s)
+    turns = [message("system", text), message("user", F.col("nl"))]
     if train:
-        turns.append(message("assistant", _label(df, s)))
+        turns.append(message("assistant", label))
     return df.select("row_id", F.array(*turns).alias("messages"))
 
 
@@ -167,13 +175,33 @@ def route_prompts(
             for f, s, v in requests
         ]
     )
-    tagged = df.withColumn("req", F.explode(wanted)).select("*", "req.*").drop("req")
+    # What several variants share is worked out once per row, and only if some variant asks for it.
+    specs = [spec(*r) for r in requests]
+    spellings = {s["literal_map"] for s in specs}
+    listing = any(s["preds_from"] in ("own", "own_noise") or s["label_kind"] == "list" for s in specs)
+    shared = {"_none": F.col("fol")}
+    shared |= {f"_{m}": X.map_literals("fol", F.lit(m)) for m in spellings - {"none"}}
+    for m in [m for m in list(shared) if listing]:
+        shared[f"{m}_own"], shared[f"{m}_both"] = _names(df, shared[m])
+    prepared = df.withColumns(shared)
+
+    tagged = prepared.withColumn("_req", F.explode(wanted)).select("*", "_req.*").drop("_req")
     routed = tagged.join(F.broadcast(prompt_spec(df.sparkSession)), ["family", "setting", "version"])
     s = {
         name: F.col(name)
         for name in ["head", "tail", "preds_from", "list_fmt", "list_rule", "label_kind", "literal_map"]
     }
-    text = _text(routed, s)
+
+    def chosen(suffix: str) -> Column:
+        pick = F.col("_none" + suffix)
+        for m in spellings - {"none"}:
+            pick = F.when(s["literal_map"] == m, F.col(f"_{m}{suffix}")).otherwise(pick)
+        return pick
+
+    own, both = (chosen("_own"), chosen("_both")) if listing else (F.lit(""), F.lit(""))
+    target = P.format_bare(F.col("_none_own"), s["list_fmt"]) if listing else F.lit("")
+    text = _text(routed, s, own, both)
+    label = X.label(chosen(""), s["label_kind"], target)
     seq2seq = F.col("family") == "seq2seq"
     return routed.select(
         "row_id",
@@ -182,6 +210,6 @@ def route_prompts(
         "version",
         F.when(~seq2seq, text).alias("system"),
         F.when(seq2seq, F.concat(text, F.col("nl"))).otherwise(F.col("nl")).alias("prompt"),
-        _label(routed, s).alias("label"),
+        label.alias("label"),
         *keep,
     )

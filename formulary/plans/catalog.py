@@ -24,7 +24,7 @@ from formulary.plans import doubles
 from formulary.plans import fixed_texts as t
 from formulary.plans.fixtures import view
 from formulary.plans.prompt_spec import ROWS
-from formulary.session import scratch_path
+from formulary.session import scratch_path, store
 from formulary.sources import readers, writers
 from formulary.streaming import predictions as stream
 
@@ -55,8 +55,15 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
     return view(spark, sf, "fol_predictions")
 
 
+def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
+    """A table of long texts; one that lies in fewer files than there are cores is spread over them first."""
+    table = view(spark, sf, name)
+    cores = spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+
+
 def documents(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "documents").withColumnRenamed("doc_id", "row_id")
+    return texts(spark, sf).withColumnRenamed("doc_id", "row_id")
 
 
 def examples(spark: SparkSession, sf: str) -> DataFrame:
@@ -372,7 +379,7 @@ def arity_conflicts_from_nodes(spark, sf):
 
 @query
 def vocab_build(spark, sf):
-    return encoding.vocab_build(view(spark, sf, "documents"), VOCAB_SIZE)
+    return encoding.vocab_build(texts(spark, sf), VOCAB_SIZE)
 
 
 @query
@@ -531,7 +538,8 @@ def next_stage(spark, sf):
 
 
 def _vocab(spark, sf):
-    return encoding.vocab_build(view(spark, sf, "documents"), VOCAB_SIZE)
+    """Built once and written down, as a vocabulary is ready before anything is encoded."""
+    return store(encoding.vocab_build(texts(spark, sf), VOCAB_SIZE), "vocab")
 
 
 @query
