@@ -1,0 +1,196 @@
+import itertools
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from formulary.functions import countermodels as C, grammar
+from formulary.operators import models
+
+
+def holds(tree, domain, tables, places, bound=()):
+    """Truth in one interpretation, written without numpy."""
+    kind, symbol, kids = tree
+    env = dict(bound)
+    if kind == "predicate":
+        return tuple(env.get(k[1], places.get(k[1])) for k in kids) in tables[symbol, len(kids)]
+    if kind == "quantified":
+        each = (holds(kids[1], domain, tables, places, (*env.items(), (kids[0][1], d))) for d in domain)
+        return all(each) if symbol == "∀" else any(each)
+    if kind == "not":
+        return not holds(kids[0], domain, tables, places, bound)
+    a, b = (holds(k, domain, tables, places, bound) for k in kids)
+    return {"and": a and b, "or": a or b, "xor": a != b, "iff": a == b, "implies": not a or b}[kind]
+
+
+def interpretations(p, size):
+    domain = range(size)
+    cells = [list(itertools.product(domain, repeat=a)) for _, a in p.preds]
+    subsets = [
+        [frozenset(c for c, keep in zip(cs, bits) if keep) for bits in itertools.product([0, 1], repeat=len(cs))]
+        for cs in cells
+    ]
+    for chosen in itertools.product(*subsets):
+        for spots in itertools.product(domain, repeat=len(p.symbols)):
+            yield domain, dict(zip(p.preds, chosen)), dict(zip(p.symbols, spots))
+
+
+def differ_somewhere(p, sizes):
+    return any(
+        holds(p.trees[0], *m) != holds(p.trees[1], *m) for size in sizes for m in interpretations(p, size)
+    )
+
+
+def random_formula(rng, depth, vars_, unary_only):
+    if depth == 0 or rng.random() < 0.2:
+        name, arity = rng.choice([("Aa", 1), ("Bb", 1)] if unary_only else [("Aa", 1), ("Rr", 2)])
+        return f"{name}({', '.join(rng.choice([*vars_, 'tom']) for _ in range(arity))})"
+    kind = rng.choice(["∀", "∃", "¬", "∧", "∨", "→", "↔", "⊕"])
+    if kind in "∀∃":
+        v = rng.choice("xy")
+        return f"{kind}{v} ({random_formula(rng, depth - 1, [*vars_, v], unary_only)})"
+    if kind == "¬":
+        return f"¬({random_formula(rng, depth - 1, vars_, unary_only)})"
+    a, b = (random_formula(rng, depth - 1, vars_, unary_only) for _ in range(2))
+    return f"(({a}) {kind} ({b}))"
+
+
+def decide(a, b, mode="differ", max_models=models.MAX_MODELS):
+    p = C.problem((a, b))
+    ranges, decides = C.stages(p, max_models)
+    if any(C.found(p, s, 0, s.models, mode) for s in ranges):
+        return "refuted"
+    return "equivalent" if decides else "undetermined"
+
+
+def test_unary_search_is_exact():
+    """Two unary predicates have four element types, so brute force up to four elements decides too."""
+    rng = random.Random(11)
+    verdicts = set()
+    for _ in range(150):
+        a, b = random_formula(rng, 3, [], True), random_formula(rng, 3, [], True)
+        p = C.problem((a, b))
+        want = "refuted" if differ_somewhere(p, [1, 2, 3, 4]) else "equivalent"
+        assert decide(a, b) == want, (a, b)
+        verdicts.add(want)
+    assert verdicts == {"refuted", "equivalent"}
+
+
+def test_small_domains_are_searched_whole():
+    rng = random.Random(12)
+    for _ in range(120):
+        a, b = random_formula(rng, 3, [], False), random_formula(rng, 2, [], False)
+        if not any(arity == 2 for _, arity in C.problem((a, b)).preds):
+            continue
+        found_small = differ_somewhere(C.problem((a, b)), [1, 2])
+        got = decide(a, b)
+        assert got in ("refuted", "undetermined")
+        if found_small:
+            assert got == "refuted", (a, b)
+
+
+SAME = [
+    ("∀x (Aa(x) → Bb(x))", "∀x (¬Bb(x) → ¬Aa(x))"),
+    ("¬∀x Aa(x)", "∃x ¬Aa(x)"),
+    ("¬(Aa(tom) ∧ Bb(tom))", "¬Aa(tom) ∨ ¬Bb(tom)"),
+    ("Aa(tom) ⊕ Bb(tom)", "¬(Aa(tom) ↔ Bb(tom))"),
+    ("∀x∀y (Aa(x) ∧ Bb(y))", "(∀x Aa(x)) ∧ (∀y Bb(y))"),
+    ("Holds() → Aa(tom)", "Aa(tom) ∨ ¬Holds()"),
+]
+OTHER = [
+    ("∀x∃y Rel(x, y)", "∃y∀x Rel(x, y)"),
+    ("∀x Aa(x)", "∃x Aa(x)"),
+    ("∀x (Aa(x) → Bb(x))", "∀x (Bb(x) → Aa(x))"),
+    ("Aa(tom)", "Aa(tim)"),
+    ("Aa(x)", "∀x Aa(x)"),
+    ("Aa(tom)", "Aa(tom, tom)"),
+]
+
+
+def test_verdicts(spark):
+    rows = [(a, b, "equivalent") for a, b in SAME] + [(a, b, "refuted") for a, b in OTHER]
+    rows += [
+        ("∀x∀y (Rel(x, y) → Rel(y, x))", "∀y∀x (Rel(y, x) → Rel(x, y))", "undetermined"),
+        ("Aa(fo(x))", "Aa(x)", "unsupported"),
+        ("tom", "Aa(x)", "unsupported"),
+        ("Aa(x", "Aa(x)", "parse_error"),
+        ("Aa(x", "Aa( x", "equivalent"),
+        ("Aa(x)", None, "parse_error"),
+    ]
+    rows += [(b, a, v) for a, b, v in rows if b is not None]  # the verdict is symmetric
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id int, fol_pred string, fol_gt string, want string")
+    for min_heavy_rows in [1, 10**6]:
+        got = models.bounded_equivalence(df, min_heavy_rows=min_heavy_rows).collect()
+        assert len(got) == len(rows)
+        assert [(r.fol_pred, r.fol_gt, r.equivalence) for r in got if r.equivalence != r.want] == []
+
+
+def test_a_hard_problem_is_cut_into_blocks(spark):
+    """Four unary predicates need 65,536 interpretations; the only difference sits beyond the first look."""
+    every = "∃x (Aa(x) ∧ Bb(x) ∧ Cc(x) ∧ Dd(x))"
+    df = spark.createDataFrame([("k", ["∀x (Aa(x) ∨ ¬Aa(x)) ∧ (" + every + ")", every])], "key string, formulas array<string>")
+    assert models.search_models(df, "differ", "equivalent").first().verdict == "equivalent"
+    assert models.search_models(df, "differ", "equivalent", max_models=1000).first().verdict == "undetermined"
+    # All sixteen element types are inhabited only in the very last interpretation.
+    types = [
+        "∃x (" + " ∧ ".join(("" if t >> i & 1 else "¬") + n + "(x)" for i, n in enumerate(["Aa", "Bb", "Cc", "Dd"])) + ")"
+        for t in range(16)
+    ]
+    rich = " ∧ ".join(f"({t})" for t in types)
+    df = spark.createDataFrame([("k", [rich, f"({rich}) ∧ ¬({rich})"])], "key string, formulas array<string>")
+    assert models.search_models(df, "differ", "equivalent").first().verdict == "refuted"
+
+
+def test_entailment(spark):
+    rows = [
+        (1, ["∀x (Man(x) → Mortal(x))", "Man(socrates)"], "Mortal(socrates)", "True", "entailed"),
+        (2, ["∀x (Man(x) → Mortal(x))"], "Mortal(socrates)", "Uncertain", "refuted"),
+        (3, [], "Aa(tom) ∨ ¬Aa(tom)", "True", "entailed"),
+        (4, ["Aa(tom)", "¬Aa(tom)"], "Bb(tim)", "True", "entailed"),
+        (5, ["Aa(tom"], "Bb(tim)", "False", "parse_error"),
+        (6, ["∀x∀y Rel(x, y)"], "Rel(tom, tim)", "True", "undetermined"),
+        (7, ["∃x Rel(x, tom)"], "∀x Rel(x, tom)", "Uncertain", "refuted"),
+    ]
+    df = spark.createDataFrame(rows, "example_id int, premises_fol array<string>, conclusion_fol string, label string, want string")
+    judged = models.bounded_entailment(df)
+    assert [(r.example_id, r.entailment) for r in judged.collect() if r.entailment != r.want] == []
+    table = {(r.label, r.verdict): r.n for r in models.entailment_vs_label(judged).collect()}
+    assert table["True", "entailed"] == 3 and table["Uncertain", "refuted"] == 2
+
+
+def test_identical_is_never_refuted(spark):
+    rng = random.Random(3)
+    texts = [random_formula(rng, 3, [], False) for _ in range(40)]
+    df = spark.createDataFrame([(i, t, t.replace(" ", "  ")) for i, t in enumerate(texts)], "row_id int, fol_pred string, fol_gt string")
+    assert {r.equivalence for r in models.bounded_equivalence(df).collect()} == {"equivalent"}
+    # The search itself agrees.
+    assert "refuted" not in {decide(t, t) for t in texts}
+
+
+def test_sampled_ranges_only_report_true_differences():
+    wide = " ∧ ".join(f"Rel{i}(x, y)" for i in range(10))
+    p = C.problem((f"∀x∀y ({wide})", f"∃x∃y ({wide})"))
+    ranges, decides = C.stages(p, 1 << 12)
+    assert not decides and any(s.sampled for s in ranges)
+    same = C.problem((f"∀x∀y ({wide})", f"∀y∀x ({wide.replace('(x, y)', '(y, x)')})"))
+    assert not any(C.found(same, s, 0, s.models, "differ") for s in C.stages(same, 1 << 12)[0])
+
+
+def test_deep_quantifiers_stay_undetermined():
+    text = "".join(f"∀{'xyz'[i % 3]} " for i in range(70)) + "Rel(x, y)"
+    assert C.stages(C.problem((text, text)), 1000) == ((), False)
+
+
+@pytest.mark.parametrize("text", ["∀x∃x Aa(x)", "∃x (Aa(x) ∧ ∀x Bb(x))"])
+def test_inner_binding_wins(text):
+    inner = {"∀x∃x Aa(x)": "∃y Aa(y)", "∃x (Aa(x) ∧ ∀x Bb(x))": "(∃y Aa(y)) ∧ (∀z Bb(z))"}[text]
+    assert decide(text, inner) == "equivalent"
+    assert grammar.parse(text)[0][0] == "quantified"
+
+
+def test_repeated_pairs_are_searched_once(spark):
+    df = spark.range(3000).select(
+        F.col("id").alias("row_id"), F.lit("∀x Aa(x)").alias("fol_pred"), F.lit("∃x Aa(x)").alias("fol_gt")
+    )
+    got = models.bounded_equivalence(df, min_heavy_rows=100)
+    assert got.groupBy("equivalence").count().collect() == [("refuted", 3000)]
