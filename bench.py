@@ -58,7 +58,7 @@ def main() -> None:
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    for name in names[:2]:  # start the JVM's compilers and the Python workers
+    for name in names:  # one warm-up run each
         run(name)
     times = {name: round(run(name), 3) for name in names}
     print(

@@ -12,7 +12,9 @@ from formulary.functions import text as X
 from formulary.operators.skew import HEAVY_ROWS, lookup_join
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
-MAX_SHIPPED_VOCAB = 500_000  # entries; beyond that the vocabulary is joined, not sent to every task
+# Beyond these the vocabulary is joined, not sent to every task.
+MAX_SHIPPED_VOCAB = 500_000
+MAX_SHIPPED_BYTES = 64 << 20
 
 
 def vocab_build(df: DataFrame, size: int, text: str = "text") -> DataFrame:
@@ -38,8 +40,10 @@ def extend_vocab(vocab: DataFrame, tokens: list[str]) -> DataFrame:
 
 def _small_vocab(vocab: DataFrame, limit: int) -> pa.Table | None:
     """The vocabulary as an Arrow table if its checked size allows sending it to every task."""
-    table = vocab.select("token", "id").limit(limit + 1).toArrow()
-    return table.combine_chunks() if table.num_rows <= limit else None
+    entries, size = vocab.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
+    if entries > limit or size > MAX_SHIPPED_BYTES:
+        return None
+    return vocab.select("token", "id").toArrow().combine_chunks()
 
 
 def _map_lists(lists: pa.ListArray, keys: pa.Array, values: pa.Array, default) -> pa.ListArray:

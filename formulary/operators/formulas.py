@@ -178,8 +178,14 @@ def export_prover_text(examples: DataFrame) -> DataFrame:
     return examples.select("example_id", "premises_fol", "conclusion_fol").mapInArrow(run, kind)
 
 
-def write_prover_text(documents: DataFrame, path: str) -> None:
-    """One folder per example, as the prover reads one input file per problem."""
-    documents.filter(F.col("prover_input").isNotNull()).select(
-        "example_id", F.col("prover_input").alias("value")
-    ).write.mode("overwrite").partitionBy("example_id").option("lineSep", "\n").text(path)
+def write_prover_text(documents: DataFrame, path: str, one_file_each: bool = False) -> None:
+    """JSON lines of (example_id, prover_input).
+
+    one_file_each writes a text file per example, as the prover reads them: for as many examples as one
+    wants files.
+    """
+    out = documents.filter(F.col("prover_input").isNotNull()).select("example_id", "prover_input")
+    if one_file_each:
+        out.write.mode("overwrite").partitionBy("example_id").text(path)
+    else:
+        out.write.mode("overwrite").json(path)

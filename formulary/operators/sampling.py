@@ -8,7 +8,7 @@ from formulary.functions import predicates as P
 from formulary.operators import prompts
 from formulary.session import cut, store
 
-DRAWS = 16  # hashed positions tried per row, two per md5
+DRAWS = 10  # least number of hashed positions tried per row, two per md5
 SMALL = 128  # up to this many peers are ranked outright
 MAX_BROADCAST_OFFSETS = 200_000
 
@@ -61,9 +61,15 @@ def batch_slice(batches: DataFrame, batch_id: int) -> DataFrame:
     return batches.filter(F.col("batch_id") == batch_id)
 
 
-def _hash60(text: Column, half: int) -> Column:
-    """60 bits of an md5, wide enough for any row count: half 0 or 1 of the digest."""
-    return F.conv(F.substring(F.md5(text), 1 + 16 * half, 15), 16, 10).cast("bigint")
+def batch_rows(batches: DataFrame) -> DataFrame:
+    """(batch_id, row_ids): every batch as one row, its ids in order; a batch bounds the list."""
+    placed = F.sort_array(F.collect_list(F.struct("idx", "row_id")))
+    return batches.groupBy("batch_id").agg(placed["row_id"].alias("row_ids"))
+
+
+def _hash60(digest: Column, half: int) -> Column:
+    """60 bits of an md5 digest, wide enough for any row count: half 0 or 1."""
+    return F.conv(F.substring(digest, 1 + 16 * half, 15), 16, 10).cast("bigint")
 
 
 def drawn_positions(row_id: Column, n: Column, k: int, seed: int) -> Column:
@@ -82,16 +88,9 @@ def drawn_positions(row_id: Column, n: Column, k: int, seed: int) -> Column:
         ),
         lambda s: s["j"],
     )
-    digests = F.array(*[F.lit(i) for i in range(max(DRAWS, 4 * k) // 2)])
-    draws = F.flatten(
-        F.transform(
-            digests,
-            lambda i: F.array(
-                _hash60(F.concat(key, i.cast("string")), 0) % n, _hash60(F.concat(key, i.cast("string")), 1) % n
-            ),
-        )
-    )
-    first = _hash60(F.concat(key, F.lit("0")), 0) % n
+    digests = F.array(*[F.md5(F.concat(key, F.lit(str(i)))) for i in range(max(DRAWS, 2 * k) // 2)])
+    draws = F.flatten(F.transform(digests, lambda h: F.array(_hash60(h, 0) % n, _hash60(h, 1) % n)))
+    first = _hash60(F.md5(F.concat(key, F.lit("0"))), 0) % n
     following = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (first + i) % n)
     spread = F.array_distinct(F.concat(draws, following))
     return F.slice(F.when(n <= max(SMALL, 8 * k), ranked).otherwise(spread), 1, k)

@@ -47,19 +47,21 @@ def query(fn: Query) -> Query:
 # -- inputs ----------------------------------------------------------------------------------------
 
 
+def spread(table: DataFrame) -> DataFrame:
+    """A scan of fewer partitions than there are cores is spread over them; any larger one is left alone."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "fol_corpus")
+    return spread(view(spark, sf, "fol_corpus"))
 
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
-    return view(spark, sf, "fol_predictions")
+    return spread(view(spark, sf, "fol_predictions"))
 
 
 def texts(spark: SparkSession, sf: str, name: str = "documents") -> DataFrame:
-    """A table of long texts; one that lies in fewer files than there are cores is spread over them first."""
-    table = view(spark, sf, name)
-    cores = spark.sparkContext.defaultParallelism
-    return table.repartition(cores) if len(table.inputFiles()) < cores else table
+    return spread(view(spark, sf, name))
 
 
 def documents(spark: SparkSession, sf: str) -> DataFrame:
@@ -408,9 +410,8 @@ def assign_batches(spark, sf):
 
 @query
 def batch_slice(spark, sf):
-    return sampling.batch_slice(sampling.assign_batches(corpus(spark, sf).select("row_id", "nl"), BATCH), 3).select(
-        "row_id", "nl", "idx"
-    )
+    batches = sampling.assign_batches(corpus(spark, sf).select("row_id"), BATCH)
+    return sampling.batch_rows(batches).select("batch_id", _joined("row_ids").alias("row_ids"))
 
 
 # -- scalar functions ------------------------------------------------------------------------------

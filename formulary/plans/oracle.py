@@ -157,7 +157,7 @@ add(
     "fol_corpus",
 )
 
-# 60 bits of md5 per draw; 16 draws, then the positions after the first one. Up to 128 rows: all ranked.
+# 60 bits of md5 per draw; 10 draws, then the positions after the first one. Up to 128 rows: all ranked.
 NOISE = f"""
   indexed AS (
     SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS idx,
@@ -165,11 +165,11 @@ NOISE = f"""
   hashed AS (
     SELECT row_id, split, n, 2 * i + h AS ord,
       CAST('0x' || substr(md5(concat(CAST(row_id AS VARCHAR), ':0:', CAST(i AS VARCHAR))), 1 + 16 * h, 15) AS BIGINT) % n AS idx
-    FROM indexed, (SELECT unnest(range(8)) AS i) r, (SELECT unnest(range(2)) AS h) s),
+    FROM indexed, (SELECT unnest(range(5)) AS i) r, (SELECT unnest(range(2)) AS h) s),
   spread AS (
     SELECT row_id, split, n, ord, idx FROM hashed
     UNION ALL
-    SELECT row_id, split, n, 15 + i, (idx + i) % n FROM hashed, (SELECT unnest(range(1, 6)) AS i) r WHERE ord = 0),
+    SELECT row_id, split, n, 9 + i, (idx + i) % n FROM hashed, (SELECT unnest(range(1, 6)) AS i) r WHERE ord = 0),
   firsts AS (SELECT row_id, split, n, idx, min(ord) AS ord FROM spread GROUP BY ALL),
   ranked AS (
     SELECT a.row_id, a.split, p.idx, row_number() OVER (PARTITION BY a.row_id
@@ -497,7 +497,12 @@ add(
     f"least((idx // {BATCH} + 1) * {BATCH}, n) AS batch_end FROM b",
     "fol_corpus",
 )
-add("batch_slice", f"{_BATCHES} SELECT row_id, nl, idx FROM b WHERE idx // {BATCH} = 3", "fol_corpus")
+add(
+    "batch_slice",
+    f"{_BATCHES} SELECT idx // {BATCH} AS batch_id, string_agg(row_id, ' ' ORDER BY idx) AS row_ids FROM b "
+    f"GROUP BY idx // {BATCH}",
+    "fol_corpus",
+)
 
 # -- scalar functions ------------------------------------------------------------------------------
 

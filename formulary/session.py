@@ -43,8 +43,12 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A path of its own below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder, in the subfolder of this application.
+
+    That subfolder can be removed once the application has ended.
+    """
+    app = f"formulary-{spark.sparkContext.applicationId}"
+    return f"{shared_dir(spark).rstrip('/')}/{app}/{name}-{uuid.uuid4().hex}"
 
 
 def store(df: DataFrame, name: str) -> DataFrame:

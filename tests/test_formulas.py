@@ -132,7 +132,9 @@ def test_prover_input(spark, tmp_path):
     )
     assert got[2].prover_input is None and got[2].reason == "unexpected end"
     assert "formulas(assumptions).\nend_of_list." in got[3].prover_input
-    formulas.write_prover_text(docs, str(tmp_path / "out"))
+    formulas.write_prover_text(docs, str(tmp_path / "table"))
+    assert spark.read.json(str(tmp_path / "table")).count() == 2
+    formulas.write_prover_text(docs, str(tmp_path / "out"), one_file_each=True)
     [file] = (tmp_path / "out" / "example_id=1").glob("*.txt")
     assert file.read_text().rstrip("\n") == got[1].prover_input
 
