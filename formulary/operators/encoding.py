@@ -61,26 +61,35 @@ def _one(column) -> pa.Array:
 
 
 def encode(
-    df: DataFrame, vocab: DataFrame, text: str = "text", max_shipped: int = MAX_SHIPPED_VOCAB
+    df: DataFrame,
+    vocab: DataFrame,
+    text: str | dict[str, str] = "text",
+    max_shipped: int = MAX_SHIPPED_VOCAB,
 ) -> DataFrame:
     """(row_id, ids): whitespace tokens of the whole text as ids, unknown ones as UNKNOWN.
 
+    Several texts of a row are encoded in one pass when given as {result column: text column}.
+
     A vocabulary of checked size is shipped to the tasks and looked up per Arrow batch, without a
     shuffle of the tokens. A larger one is joined; frequent tokens are then served by broadcast.
     """
-    tokens = df.select("row_id", F.coalesce(X.words(text), F.array().cast("array<string>")).alias("tokens"))
+    texts = {"ids": text} if isinstance(text, str) else text
+    none = F.array().cast("array<string>")
+    tokens = df.select("row_id", *[F.coalesce(X.words(c), none).alias(out) for out, c in texts.items()])
     table = _small_vocab(vocab, max_shipped)
     if table is None:
         return _encode_by_join(tokens, vocab)
     shipped = df.sparkSession.sparkContext.broadcast(table)
+    outs = list(texts)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, ids = _one(shipped.value["token"]), _one(shipped.value["id"])
         for batch in batches:
-            mapped = _map_lists(batch.column("tokens"), keys, ids, UNKNOWN)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), mapped], ["row_id", "ids"])
+            mapped = [_map_lists(batch.column(o), keys, ids, UNKNOWN) for o in outs]
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), *mapped], ["row_id", *outs])
 
-    return tokens.mapInArrow(look_up, f"row_id {_type(df, 'row_id')}, ids array<int>")
+    kinds = "".join(f", {o} array<int>" for o in outs)
+    return tokens.mapInArrow(look_up, f"row_id {_type(df, 'row_id')}{kinds}")
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -88,13 +97,34 @@ def _type(df: DataFrame, column: str) -> str:
 
 
 def _encode_by_join(tokens: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    flat = tokens.select("row_id", F.posexplode_outer("tokens").alias("pos", "token"))
-    looked_up = lookup_join(flat, vocab.select("token", "id"), "token", "id", ["row_id", "pos"], min_heavy_rows)
+    outs = [c for c in tokens.columns if c != "row_id"]
+    lists = F.array(*[F.struct(F.lit(i).alias("which"), F.col(o).alias("t")) for i, o in enumerate(outs)])
+    each = tokens.select("row_id", F.explode(lists).alias("l"))
+    flat = each.select("row_id", F.col("l.which").alias("which"), F.posexplode_outer("l.t").alias("pos", "token"))
+    looked_up = lookup_join(
+        flat, vocab.select("token", "id"), "token", "id", ["row_id", "which", "pos"], min_heavy_rows
+    )
     placed = F.when(
-        F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
+        F.col("pos").isNotNull(), F.struct("which", "pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
+    )
+    rows = looked_up.groupBy("row_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+
+    def ids_of(i: int, out: str):
+        mine = F.filter("placed", lambda p: p["which"] == i) if len(outs) > 1 else F.col("placed")
+        return mine["id"].alias(out)
+
+    return rows.select("row_id", *[ids_of(i, o) for i, o in enumerate(outs)])
+
+
+def training_rows(prompts: DataFrame, vocab: DataFrame, length: int = 512) -> DataFrame:
+    """(row_id, input_ids, attention_mask, labels) from (row_id, nl, label), all `length` long."""
+    encoded = encode(prompts, vocab, {"ids": "nl", "target": "label"})
+    return encoded.select(
+        "row_id",
+        X.pad_truncate("ids", length, PAD).alias("input_ids"),
+        X.attention_mask("ids", length).alias("attention_mask"),
+        X.pad_truncate("target", length, PAD).alias("labels"),
     )
-    lists = looked_up.groupBy("row_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
-    return lists.select("row_id", F.col("placed.id").alias("ids"))
 
 
 def fixed_length(encoded: DataFrame, length: int, pad: int = PAD) -> DataFrame:

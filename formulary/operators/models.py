@@ -65,18 +65,20 @@ def _search(mode: str, max_models: int):
 
 
 def search_models(problems: DataFrame, mode: str, holds: str, max_models: int = MAX_MODELS) -> DataFrame:
-    """(key, verdict) for problems (key, formulas ARRAY<STRING>), keys unique.
+    """(key, n, verdict) for problems (key, formulas ARRAY<STRING>, n BIGINT), keys unique.
 
     The interpretations of one problem are cut into blocks that spread over all tasks, so a single hard
     problem does not hold up one of them.
     """
+    spark = problems.sparkSession
     # Small rows, much work behind each: a fixed number of partitions is not merged by size.
-    sc = problems.sparkSession.sparkContext
-    tasks = max(3 * sc.defaultParallelism, int(problems.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(3 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
     planned = cut(
-        problems.select("key", "formulas").repartition(tasks, "key").mapInPandas(
+        problems.select("key", "formulas", "n")
+        .repartition(tasks, "key")
+        .mapInPandas(
             _plan(mode, max_models),
-            "key string, formulas array<string>, settled string, decides boolean, "
+            "key string, formulas array<string>, n bigint, settled string, decides boolean, "
             "blocks array<struct<stage:int,lo:bigint,hi:bigint>>",
         )
     )
@@ -90,20 +92,25 @@ def search_models(problems: DataFrame, mode: str, holds: str, max_models: int =
         .when(F.col("decides"), holds)
         .otherwise("undetermined")
     )
-    return planned.select("key", "settled", "decides").join(late, "key", "left").select(
-        "key", verdict.alias("verdict")
+    return planned.select("key", "n", "settled", "decides").join(late, "key", "left").select(
+        "key", "n", verdict.alias("verdict")
     )
 
 
 def _judge(
     rows: DataFrame, mode: str, holds: str, out: str, spread: list[str], max_models: int, min_heavy_rows: int
 ) -> DataFrame:
-    """rows carry _formulas; each distinct problem is searched once and its verdict joined back."""
-    keyed = rows.withColumn("_key", text_key(F.to_json("_formulas")))
-    problems = keyed.groupBy(F.col("_key").alias("key")).agg(F.first("_formulas").alias("formulas"))
+    """rows carry _formulas or NULL; each distinct problem is searched once, its verdict joined back.
+
+    The rows are read twice: to find the distinct problems, and to receive the verdicts.
+    """
+    key = F.when(F.col("_formulas").isNotNull(), text_key(F.to_json("_formulas")))
+    keyed = rows.withColumn("_key", key)
+    distinct = keyed.filter(F.col("_formulas").isNotNull()).groupBy(F.col("_key").alias("key"))
+    problems = distinct.agg(F.first("_formulas").alias("formulas"), F.count("*").alias("n"))
     found = cut(search_models(problems, mode, holds, max_models))
-    found = found.select(F.col("key").alias("_key"), F.col("verdict").alias(out))
-    return lookup_join(keyed, found, "_key", out, spread, min_heavy_rows).drop("_key", "_formulas")
+    found = found.select(F.col("key").alias("_key"), F.col("verdict").alias(out), F.col("n").alias("_n"))
+    return lookup_join(keyed, found, "_key", out, spread, min_heavy_rows, "_n").drop("_key")
 
 
 def bounded_equivalence(
@@ -120,10 +127,9 @@ def bounded_equivalence(
     """
     same = F.coalesce(X.identical(pred, gt), F.lit(False))
     rows = pairs.withColumn("_formulas", F.when(~same, F.array(pred, gt)))
-    easy = rows.filter(F.col("_formulas").isNull()).drop("_formulas").withColumn("equivalence", F.lit("equivalent"))
-    hard = rows.filter(F.col("_formulas").isNotNull())
-    judged = _judge(hard, "differ", "equivalent", "equivalence", list(spread), max_models, min_heavy_rows)
-    return easy.unionByName(judged)
+    judged = _judge(rows, "differ", "equivalent", "equivalence", list(spread), max_models, min_heavy_rows)
+    easy = F.when(F.col("_formulas").isNull(), "equivalent").otherwise(F.col("equivalence"))
+    return judged.withColumn("equivalence", easy).drop("_formulas")
 
 
 def bounded_entailment(
@@ -137,7 +143,8 @@ def bounded_entailment(
     Needs premises_fol ARRAY<STRING> and conclusion_fol.
     """
     rows = examples.withColumn("_formulas", F.concat("premises_fol", F.array("conclusion_fol")))
-    return _judge(rows, "entail", "entailed", "entailment", list(spread), max_models, min_heavy_rows)
+    judged = _judge(rows, "entail", "entailed", "entailment", list(spread), max_models, min_heavy_rows)
+    return judged.drop("_formulas")
 
 
 def entailment_vs_label(results: DataFrame) -> DataFrame:

@@ -23,18 +23,21 @@ def lookup_join(
     payload: str,
     spread: list[str],
     min_rows: int = HEAVY_ROWS,
+    weight: str | None = None,
 ) -> DataFrame:
     """rows left-joined to `lookup` (unique on `key`, one `payload` column).
 
+    `weight` names a lookup column with the number of rows per key; without it the rows are counted.
+
     Heavy keys get their payload from a broadcast of bounded size. For the shuffle join that serves all
     other keys their rows, and those without a key, receive stand-in keys that match nothing. Those are a
     hash of the `spread` columns, so a recomputed task sends every row to the same place again.
     """
-    heavy = heavy_keys(rows.select(key), key, min_rows)
-    heavy = (
-        heavy.join(lookup, key, "left")
-        .select(F.col(key).alias("_hk"), F.col(payload).alias("_hp"), F.lit(True).alias("_hot"))
-    )
+    if weight is None:
+        heavy = heavy_keys(rows.select(key), key, min_rows).join(lookup, key, "left")
+    else:
+        heavy = lookup.filter(F.col(weight) >= min_rows).orderBy(F.desc(weight), key).limit(HEAVY_KEYS)
+    heavy = heavy.select(F.col(key).alias("_hk"), F.col(payload).alias("_hp"), F.lit(True).alias("_hot"))
     tagged = rows.join(F.broadcast(heavy), rows[key] == F.col("_hk"), "left").drop("_hk")
     stand_in = F.concat(F.lit("\x00"), F.xxhash64(*spread).cast("string"))
     tagged = tagged.withColumn("_jk", F.when(F.col("_hot") | F.col(key).isNull(), stand_in).otherwise(F.col(key)))

@@ -20,10 +20,10 @@ from formulary.operators import (
     sampling,
     scoring,
 )
-from formulary.plans import doubles
+from formulary.plans import doubles, flows
 from formulary.plans import fixed_texts as t
 from formulary.plans.fixtures import view
-from formulary.plans.prompt_spec import ROWS
+from formulary.plans.prompt_spec import ROWS, model_family as family_of
 from formulary.session import scratch_path, store
 from formulary.sources import readers, writers
 from formulary.streaming import predictions as stream
@@ -34,6 +34,7 @@ QUERIES: dict[str, Query] = {}
 VOCAB_SIZE = 5000
 BATCH = 32
 FIXED_LENGTH = 512
+TRAINING_LENGTH = 250
 MODELS_HOME = "/models"
 LABELS = "CASE example_id % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' ELSE 'Uncertain' END"
 FILE_ROWS = 200_000
@@ -561,6 +562,14 @@ def decode(spark, sf):
     return encoding.decode(encoding.encode(documents(spark, sf), vocab), vocab)
 
 
+@query
+def training_rows(spark, sf):
+    rows = prompts.seq2seq_prompt(corpus(spark, sf))
+    vocab = store(encoding.vocab_build(rows, VOCAB_SIZE, "nl"), "vocab")
+    fixed = encoding.training_rows(rows, vocab, TRAINING_LENGTH)
+    return fixed.select("row_id", *[_joined(c).alias(c) for c in ["input_ids", "attention_mask", "labels"]])
+
+
 @query
 def extend_vocab(spark, sf):
     return encoding.extend_vocab(_vocab(spark, sf), [*X.BRACKETS, "the", "new_token"])
@@ -634,6 +643,33 @@ def generate(spark, sf):
     return generation.generate(asked, doubles.load_echo, BATCH).select("row_id", "prompt", "fol_pred")
 
 
+@query
+def training_data(spark, sf):
+    return prompts.messages_to_rows(flows.training_data(corpus(spark, sf), "chat", "new_tokens"))
+
+
+@query
+def predict(spark, sf):
+    return flows.predict(corpus(spark, sf), doubles.load_last_turn, "chat", "standard")
+
+
+@query
+def predict_in_two_steps(spark, sf):
+    first = lambda df: store(df, "first-step")
+    return flows.predict_in_two_steps(
+        corpus(spark, sf), doubles.load_echo, doubles.load_echo, "seq2seq", store=first
+    )
+
+
+@query
+def model_family(spark, sf):
+    model = F.expr(
+        "CASE lang WHEN 'de' THEN '/models/google-t5/t5-base/standard' WHEN 'fr' THEN 'google/flan-t5-xxl' "
+        "WHEN 'es' THEN '/models/allenai/OLMo-2-0325-32B-Instruct/curiculum_step2' ELSE source END"
+    )
+    return documents(spark, sf).select("row_id", family_of(model, MODELS_HOME).alias("family"))
+
+
 @query
 def call_with_retry(spark, sf):
     asked = corpus(spark, sf).select("row_id", "nl", F.lit(t.FEW_SHOT_REASONING_HEAD + t.ANSWER).alias("system"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from formulary.plans import fixed_texts as t
-from formulary.plans.catalog import BATCH, FIXED_LENGTH, LABELS, VOCAB_SIZE
+from formulary.plans.catalog import BATCH, FIXED_LENGTH, LABELS, TRAINING_LENGTH, VOCAB_SIZE
 from formulary.plans.fixtures import with_views
 from formulary.plans.prompt_spec import COLUMNS, ROWS
 
@@ -429,21 +429,42 @@ add("arity_conflicts", f"WITH {_STATEMENTS}, {_CONFLICTS}", "fol_corpus")
 # The same answer is due from the parsed nodes, as no statement nests applications.
 add("arity_conflicts_from_nodes", f"WITH {_STATEMENTS}, {_CONFLICTS}", "fol_corpus")
 
-VOCAB = f"""
-  words AS (SELECT doc_id, unnest({tokens('text')}) AS token, generate_subscripts({tokens('text')}, 1) AS pos FROM documents),
+def encoding_of(out: str, table: str, key: str, text: str) -> str:
+    """CTE `out`(row_id, ids, text): ids of all tokens, and the known tokens, by the CTE vocab."""
+    return f"""
+  {out}_words AS (SELECT {key} AS row_id, unnest({tokens(text)}) AS token, generate_subscripts({tokens(text)}, 1) AS pos FROM {table}),
+  {out}_coded AS (SELECT w.row_id, w.pos, w.token, coalesce(v.id, 1) AS id, v.id IS NOT NULL AS known
+    FROM {out}_words w LEFT JOIN vocab v ON w.token = v.token),
+  {out} AS (SELECT d.{key} AS row_id, list(c.id ORDER BY c.pos) FILTER (c.id IS NOT NULL) AS ids,
+      string_agg(c.token, ' ' ORDER BY c.pos) FILTER (known) AS text
+    FROM {table} d LEFT JOIN {out}_coded c ON d.{key} = c.row_id GROUP BY d.{key})"""
+
+
+def vocab_of(table: str, text: str) -> str:
+    return f"""
   vocab AS (
     SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INT) AS id FROM (
-      SELECT token, count(*) AS n FROM words GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE}) top),
-  coded AS (SELECT w.doc_id, w.pos, w.token, coalesce(v.id, 1) AS id, v.id IS NOT NULL AS known
-    FROM words w LEFT JOIN vocab v ON w.token = v.token),
-  encoded AS (SELECT d.doc_id AS row_id, list(c.id ORDER BY c.pos) FILTER (c.id IS NOT NULL) AS ids,
-      string_agg(c.token, ' ' ORDER BY c.pos) FILTER (known) AS text
-    FROM documents d LEFT JOIN coded c ON d.doc_id = c.doc_id GROUP BY d.doc_id)"""
+      SELECT token, count(*) AS n FROM (SELECT unnest({tokens(text)}) AS token FROM {table}) words
+      GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE}) top)"""
+
+
+VOCAB = vocab_of("documents", "text") + "," + encoding_of("encoded", "documents", "doc_id", "text")
 add("vocab_build", f"WITH {VOCAB} SELECT token, id FROM vocab")
 _IDS = f"WITH {VOCAB} SELECT row_id, coalesce(array_to_string(ids, ' '), '') AS ids FROM encoded"
 add("encode", _IDS)
 add("encode_by_join", _IDS)
 add("decode", f"WITH {VOCAB} SELECT row_id, coalesce(text, '') AS text FROM encoded")
+_ASKED = f"asked AS (SELECT row_id, concat({lit(t.TRANSLATE)}, nl) AS nl, {to_words('fol')} AS label FROM fol_corpus)"
+_PADDED = f"array_to_string(list_resize(coalesce({{0}}, [])[1:{TRAINING_LENGTH}], {TRAINING_LENGTH}, 0), ' ')"
+add(
+    "training_rows",
+    f"WITH {_ASKED}, {vocab_of('asked', 'nl')}, {encoding_of('source', 'asked', 'row_id', 'nl')}, "
+    f"{encoding_of('target', 'asked', 'row_id', 'label')} SELECT s.row_id, {_PADDED.format('s.ids')} AS input_ids, "
+    f"trim(concat(repeat('1 ', least(len(s.ids), {TRAINING_LENGTH})), "
+    f"repeat('0 ', greatest({TRAINING_LENGTH} - len(s.ids), 0)))) AS attention_mask, "
+    f"{_PADDED.format('t.ids')} AS labels FROM source s JOIN target t ON s.row_id = t.row_id",
+    "fol_corpus",
+)
 _NEW = [f"[FOL_{b}]" for _, b in LITERALS] + ["the", "new_token"]
 add(
     "extend_vocab",
@@ -707,6 +728,32 @@ add(
     f"SELECT row_id, {_PROMPT} AS prompt, concat('echo: ', {_PROMPT}) AS fol_pred FROM fol_corpus",
     "fol_corpus",
 )
+add(
+    "training_data",
+    messages(
+        "fol_corpus", ("system", lit(t.SYSTEM)), ("user", "nl"), ("assistant", f"concat('𝜙=', {to_brackets('fol')})")
+    ),
+    "fol_corpus",
+)
+add(
+    "predict",
+    f"SELECT row_id, nl, concat('<|system|>', chr(10), {lit(t.SYSTEM)}, chr(10), '<|user|>', chr(10), nl, chr(10)) AS prompt, "
+    "fol AS fol_gt, concat('𝜙=', nl, chr(10)) AS fol_pred FROM fol_corpus",
+    "fol_corpus",
+)
+_TWO_STEPS = f"concat({lit(t.TRANSLATE_USING)}, {cut_list('preds_pred', 'last_marker')}, nl)"
+add(
+    "predict_in_two_steps",
+    f"WITH f AS (SELECT row_id, nl, fol, concat('echo: ', {lit(t.EXTRACT)}, nl) AS preds_pred FROM fol_corpus) "
+    f"SELECT row_id, nl, {_TWO_STEPS} AS prompt, fol AS fol_gt, concat('echo: ', {_TWO_STEPS}) AS fol_pred, "
+    f"{OWN} AS preds_gt FROM f",
+    "fol_corpus",
+)
+add(
+    "model_family",
+    "SELECT doc_id AS row_id, CASE lang WHEN 'de' THEN 'seq2seq' WHEN 'fr' THEN 'seq2seq' WHEN 'es' THEN 'chat' END "
+    "AS family FROM documents",
+)
 _FIRST = t.FEW_SHOT_REASONING_HEAD + t.ANSWER
 _SECOND = t.FEW_SHOT_REASONING_HEAD + t.EARLIER_THOUGHTS + "thinking" + t.ANSWER
 add(

@@ -5,8 +5,9 @@ The table has a fixed number of rows, so joining it by broadcast is safe at any
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from formulary.functions.text import base_model
 from formulary.plans import fixed_texts as t
 
 COLUMNS = (
@@ -27,6 +28,16 @@ def _few_shot(setting, head, tail="", preds="none", fmt="bare"):
     return ("few_shot", setting, "raw", head, tail, preds, fmt, "", "none", "none")
 
 
+# The models the task variants were made for, and their family.
+MODEL_FAMILIES = {
+    "google-t5/t5-base": "seq2seq",
+    "google-t5/t5-3b": "seq2seq",
+    "google/flan-t5-xxl": "seq2seq",
+    "meta-llama/Llama-3.1-8B-Instruct": "chat",
+    "mistralai/Mistral-Small-24B-Instruct-2501": "chat",
+    "allenai/OLMo-2-0325-32B-Instruct": "chat",
+}
+
 _PLAIN = ["standard", "multilingual", "curiculum_step3"]
 _OWN = ["gt_predicates", "curiculum_step1"]
 _NOISY = ["gt_predicates_noise", "curiculum_step2"]
@@ -82,5 +93,12 @@ def spec(family: str, setting: str, version: str = "raw") -> dict[str, str]:
     raise KeyError((family, setting, version))
 
 
+def model_family(path, home: str) -> Column:
+    """Family of a model named by its hub name or by a path of a tuned copy below `home`; NULL if unknown."""
+    base = base_model(path, home)
+    names = [F.lit(x) for pair in MODEL_FAMILIES.items() for x in pair]
+    return F.try_element_at(F.create_map(*names), base)
+
+
 def prompt_spec(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROWS, COLUMNS)

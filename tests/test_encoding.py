@@ -28,7 +28,7 @@ def test_both_ways_agree(spark):
     known = {r.token: r.id for r in vocab.collect()}
     text = {r.row_id: (r.text or "").split() for r in df.collect()}
     want = {i: [known.get(w, 1) for w in ws] for i, ws in text.items()}
-    tokens = df.select("row_id", F.coalesce(encoding.X.words("text"), F.array().cast("array<string>")).alias("tokens"))
+    tokens = df.select("row_id", F.coalesce(encoding.X.words("text"), F.array().cast("array<string>")).alias("ids"))
     ways = [
         encoding.encode(df, vocab),
         encoding.encode(df, vocab, max_shipped=3),
@@ -46,6 +46,17 @@ def test_both_ways_agree(spark):
         assert {r.row_id: r.text for r in way.collect()} == back
 
 
+def test_two_texts_in_one_pass(spark):
+    df = spark.createDataFrame([(1, "a b", "b"), (2, None, "c a c"), (3, "", "")], "row_id int, nl string, label string")
+    vocab = spark.createDataFrame([("a", 2), ("b", 3), ("c", 4)], "token string, id int")
+    want = {1: ([2, 3], [3]), 2: ([], [4, 2, 4]), 3: ([], [])}
+    for shipped in [10, 0]:
+        got = encoding.encode(df, vocab, {"x": "nl", "y": "label"}, max_shipped=shipped).collect()
+        assert {r.row_id: (r.x, r.y) for r in got} == want
+    r = encoding.training_rows(df, vocab, 3).filter("row_id = 2").first()
+    assert (r.input_ids, r.attention_mask, r.labels) == ([0, 0, 0], [0, 0, 0], [4, 2, 4])
+
+
 def test_decode_undoes_encode(spark):
     df = docs(spark)
     vocab = encoding.vocab_build(df, 1000)

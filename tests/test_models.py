@@ -128,7 +128,7 @@ def test_verdicts(spark):
 def test_a_hard_problem_is_cut_into_blocks(spark):
     """Four unary predicates need 65,536 interpretations; the only difference sits beyond the first look."""
     every = "∃x (Aa(x) ∧ Bb(x) ∧ Cc(x) ∧ Dd(x))"
-    df = spark.createDataFrame([("k", ["∀x (Aa(x) ∨ ¬Aa(x)) ∧ (" + every + ")", every])], "key string, formulas array<string>")
+    df = spark.createDataFrame([("k", ["∀x (Aa(x) ∨ ¬Aa(x)) ∧ (" + every + ")", every])], "key string, formulas array<string>").withColumn("n", F.lit(1))
     assert models.search_models(df, "differ", "equivalent").first().verdict == "equivalent"
     assert models.search_models(df, "differ", "equivalent", max_models=1000).first().verdict == "undetermined"
     # All sixteen element types are inhabited only in the very last interpretation.
@@ -137,7 +137,7 @@ def test_a_hard_problem_is_cut_into_blocks(spark):
         for t in range(16)
     ]
     rich = " ∧ ".join(f"({t})" for t in types)
-    df = spark.createDataFrame([("k", [rich, f"({rich}) ∧ ¬({rich})"])], "key string, formulas array<string>")
+    df = spark.createDataFrame([("k", [rich, f"({rich}) ∧ ¬({rich})"])], "key string, formulas array<string>").withColumn("n", F.lit(1))
     assert models.search_models(df, "differ", "equivalent").first().verdict == "refuted"
 
 
