@@ -7,12 +7,13 @@ from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
+from formulary.functions.text import PHI
 from formulary.operators.prompts import ChatTemplate
 from formulary.operators.results import ERROR
-from formulary.functions.text import PHI
 from formulary.plans import fixed_texts as t
 
 Model = Callable[[list[str]], list[str]]
@@ -29,6 +30,11 @@ def _call(model: Model, prompts: list[str]) -> list[str]:
     return answers
 
 
+def _extended(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
+    """The batch with its own columns untouched and some more behind them."""
+    return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
+
+
 def generate(
     df: DataFrame, load: Callable[[], Model], batch_size: int = 32, prompt: str = "prompt", out: str = "fol_pred"
 ) -> DataFrame:
@@ -37,28 +43,30 @@ def generate(
     Arrow batches are re-cut to `batch_size`; only the last batch of a task may be shorter.
     """
 
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        waiting: list[pd.DataFrame] = []
-        held = 0
 
-        def answer(batch: pd.DataFrame) -> pd.DataFrame:
-            return batch.assign(**{out: _call(model, batch[prompt].tolist())})
+        def answered(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+            for batch in rows.combine_chunks().to_batches():
+                answers = _call(model, batch.column(prompt).to_pylist())
+                yield _extended(batch, {out: pa.array(answers, pa.string())})
 
-        for chunk in chunks:
-            waiting.append(chunk)
-            held += len(chunk)
+        waiting: list[pa.RecordBatch] = []
+        held = 0
+        for batch in batches:
+            waiting.append(batch)
+            held += batch.num_rows
             if held < batch_size:
                 continue
-            rows = pd.concat(waiting, ignore_index=True) if len(waiting) > 1 else chunk
+            rows = pa.Table.from_batches(waiting)
             whole = held - held % batch_size
             for start in range(0, whole, batch_size):
-                yield answer(rows.iloc[start : start + batch_size])
-            waiting, held = [rows.iloc[whole:]], held - whole
+                yield from answered(rows.slice(start, batch_size))
+            waiting, held = rows.slice(whole).to_batches(), held - whole
         if held:
-            yield answer(pd.concat(waiting, ignore_index=True))
+            yield from answered(pa.Table.from_batches(waiting))
 
-    return df.mapInPandas(run, _with(df.schema, (out, T.StringType())))
+    return df.mapInArrow(run, _with(df.schema, (out, T.StringType())))
 
 
 @dataclass(frozen=True)
@@ -121,7 +129,7 @@ def call_with_retry(
         ("error", T.StringType()),
     ]
 
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         client = make_client()
         fallback = make_fallback() if make_fallback else None
 
@@ -141,11 +149,15 @@ def call_with_retry(
             return ERROR, thoughts, "failed", used, fallback is not None, error
 
         with ThreadPoolExecutor(policy.threads) as pool:
-            for chunk in chunks:
-                done = list(pool.map(one, zip(chunk["system"], chunk["nl"])))
-                yield chunk.assign(**{name: [d[i] for d in done] for i, (name, _) in enumerate(added)})
+            for batch in batches:
+                asked = zip(batch.column("system").to_pylist(), batch.column("nl").to_pylist())
+                done = list(pool.map(one, asked))
+                outcome = {
+                    name: pa.array([d[i] for d in done], to_arrow_type(kind)) for i, (name, kind) in enumerate(added)
+                }
+                yield _extended(batch, outcome)
 
-    return df.mapInPandas(run, _with(df.schema, *added))
+    return df.mapInArrow(run, _with(df.schema, *added))
 
 
 def _chain_prompt(template: ChatTemplate, text: str, formulas: list[str], always_header: bool) -> str:
@@ -171,23 +183,29 @@ def generate_sequential(
     of all examples of an Arrow batch at once.
     """
 
-    def run(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for chunk in chunks:
-            premises = [list(p) if p is not None else [] for p in chunk["premises"]]
+        for batch in batches:
+            premises = [p or [] for p in batch.column("premises").to_pylist()]
             formulas: list[list[str]] = [[] for _ in premises]
             for step in range(max(map(len, premises), default=0)):
                 live = [i for i, p in enumerate(premises) if len(p) > step]
                 asked = [_chain_prompt(template, premises[i][step], formulas[i], False) for i in live]
                 for i, answer in zip(live, _call(model, asked)):
                     formulas[i].append(_formula(answer))
-            ends = chunk["conclusion"].fillna("").tolist()
+            ends = batch.column("conclusion").to_pylist()
             live = [i for i, c in enumerate(ends) if c]
             asked = [_chain_prompt(template, ends[i], formulas[i], True) for i in live]
             last = dict(zip(live, map(_formula, _call(model, asked))))
-            yield chunk.assign(premises_fol=formulas, conclusion_fol=[last.get(i, "") for i in range(len(ends))])
-
-    return examples.mapInPandas(
+            yield _extended(
+                batch,
+                {
+                    "premises_fol": pa.array(formulas, pa.list_(pa.string())),
+                    "conclusion_fol": pa.array([last.get(i, "") for i in range(len(ends))], pa.string()),
+                },
+            )
+
+    return examples.mapInArrow(
         run,
         _with(examples.schema, ("premises_fol", T.ArrayType(T.StringType())), ("conclusion_fol", T.StringType())),
     )

@@ -22,6 +22,17 @@ def test_batches_are_recut(spark):
     assert sizes.count(16) == 96 and sizes.count(2) == 4  # per task 50 = 3 x 16 + 2
 
 
+def test_other_columns_pass_untouched(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (9007199254740993, NULL, map('a', 1), array(struct(1, 'x')), timestamp'2024-01-01 00:00:01') "
+        "AS t(big, gap, m, l, ts) UNION ALL SELECT NULL, 9007199254740993, NULL, NULL, NULL"
+    ).withColumn("prompt", F.lit("p"))
+    got = G.generate(df, lambda: lambda prompts: prompts, 8)
+    rows = {r.big: r for r in got.collect()}
+    assert rows[9007199254740993].m == {"a": 1} and rows[None].gap == 9007199254740993 and rows[None].m is None
+    assert rows[9007199254740993].l[0][1] == "x" and rows[9007199254740993].ts.second == 1
+
+
 def test_wrong_number_of_answers_is_an_error(spark):
     df = spark.range(3, numPartitions=1).select(F.col("id").alias("row_id"), F.lit("p").alias("prompt"))
     with pytest.raises(Exception, match="answers for"):
