@@ -23,15 +23,14 @@ PARSED = T.StructType(
 
 
 def _per_distinct(
-    df: DataFrame, column: str, out: str, kind: T.StructType | T.DataType, one: Callable[[str], object]
+    df: DataFrame, column: str, out: str, kind: T.DataType, work: Callable[[list[str]], pa.Array]
 ) -> DataFrame:
-    """Adds `out` = one(df[column]). Equal strings of an Arrow batch are worked on once; nothing is shuffled."""
-    arrow_kind = to_arrow_type(kind)
+    """Adds `out` = work(df[column]). Equal strings of an Arrow batch are worked on once; nothing is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             coded = batch.column(column).dictionary_encode()
-            done = pa.array([one(s) for s in coded.dictionary.to_pylist()], arrow_kind)
+            done = work(coded.dictionary.to_pylist())
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, done.take(coded.indices)], [*batch.schema.names, out]
             )
@@ -39,16 +38,30 @@ def _per_distinct(
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out, kind)]))
 
 
-_NODE_NAMES = [f.name for f in schemas.NODE.fields]
-
-
-def _parsed(text: str) -> dict:
-    try:
-        tree, ambiguous = grammar.parse(text)
-    except grammar.FormulaError as e:
-        return {"parse_ok": False, "reason": str(e), "ambiguous_scope": None, "nodes": []}
-    rows = [dict(zip(_NODE_NAMES, r)) for r in grammar.nodes(tree)]
-    return {"parse_ok": True, "reason": None, "ambiguous_scope": ambiguous, "nodes": rows}
+def _parsed(texts: list[str]) -> pa.Array:
+    """PARSED values, put together column by column."""
+    ok, reasons, ambiguous, ends, rows = [], [], [], [0], []
+    for text in texts:
+        reason = flag = None
+        try:
+            tree, flag = grammar.parse(text)
+            rows += grammar.nodes(tree)
+        except grammar.FormulaError as e:
+            reason = str(e)
+        ok.append(reason is None)
+        reasons.append(reason)
+        ambiguous.append(flag)
+        ends.append(len(rows))
+    columns = list(zip(*rows)) or [()] * len(schemas.NODE.fields)
+    fields = [(f.name, to_arrow_type(f.dataType)) for f in schemas.NODE.fields]
+    nodes = pa.StructArray.from_arrays(
+        [pa.array(c, kind) for c, (_, kind) in zip(columns, fields)], [name for name, _ in fields]
+    )
+    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), nodes)
+    return pa.StructArray.from_arrays(
+        [pa.array(ok, pa.bool_()), pa.array(reasons, pa.string()), pa.array(ambiguous, pa.bool_()), lists],
+        PARSED.names,
+    )
 
 
 def parse_formulas(df: DataFrame, formula: str = "fol") -> DataFrame:

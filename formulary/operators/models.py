@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from formulary.functions import countermodels as C, text as X
+from formulary.functions import countermodels as C, predicates as P, text as X
 from formulary.functions.grammar import FormulaError
 from formulary.operators.skew import HEAVY_ROWS, lookup_join, text_key
 from formulary.session import cut
@@ -100,17 +100,21 @@ def search_models(problems: DataFrame, mode: str, holds: str, max_models: int =
 def _judge(
     rows: DataFrame, mode: str, holds: str, out: str, spread: list[str], max_models: int, min_heavy_rows: int
 ) -> DataFrame:
-    """rows carry _formulas or NULL; each distinct problem is searched once, its verdict joined back.
+    """rows carry _formulas or NULL; each problem, up to names, is searched once and its verdict joined back.
 
     The rows are read twice: to find the distinct problems, and to receive the verdicts.
     """
-    key = F.when(F.col("_formulas").isNotNull(), text_key(F.to_json("_formulas")))
-    keyed = rows.withColumn("_key", key)
-    distinct = keyed.filter(F.col("_formulas").isNotNull()).groupBy(F.col("_key").alias("key"))
-    problems = distinct.agg(F.first("_formulas").alias("formulas"), F.count("*").alias("n"))
+    def keyed(df: DataFrame) -> DataFrame:
+        shaped = P.with_same_shape(df, "_formulas")
+        return shaped.withColumn("_key", F.when(F.col("_formulas").isNotNull(), text_key(F.to_json("_formulas"))))
+
+    asked = keyed(rows.filter(F.col("_formulas").isNotNull()).select("_formulas"))
+    problems = asked.groupBy(F.col("_key").alias("key")).agg(
+        F.first("_formulas").alias("formulas"), F.count("*").alias("n")
+    )
     found = cut(search_models(problems, mode, holds, max_models))
     found = found.select(F.col("key").alias("_key"), F.col("verdict").alias(out), F.col("n").alias("_n"))
-    return lookup_join(keyed, found, "_key", out, spread, min_heavy_rows, "_n").drop("_key")
+    return lookup_join(keyed(rows), found, "_key", out, spread, min_heavy_rows, "_n").drop("_key")
 
 
 def bounded_equivalence(
@@ -126,7 +130,8 @@ def bounded_equivalence(
     Textually identical pairs are equivalent without a search.
     """
     same = F.coalesce(X.identical(pred, gt), F.lit(False))
-    rows = pairs.withColumn("_formulas", F.when(~same, F.array(pred, gt)))
+    # Sorted, as the question is the same both ways.
+    rows = pairs.withColumn("_formulas", F.when(~same, F.sort_array(F.array(pred, gt))))
     judged = _judge(rows, "differ", "equivalent", "equivalence", list(spread), max_models, min_heavy_rows)
     easy = F.when(F.col("_formulas").isNull(), "equivalent").otherwise(F.col("equivalence"))
     return judged.withColumn("equivalence", easy).drop("_formulas")

@@ -88,11 +88,11 @@ def drawn_positions(row_id: Column, n: Column, k: int, seed: int) -> Column:
         ),
         lambda s: s["j"],
     )
-    digests = F.array(*[F.md5(F.concat(key, F.lit(str(i)))) for i in range(max(DRAWS, 2 * k) // 2)])
-    draws = F.flatten(F.transform(digests, lambda h: F.array(_hash60(h, 0) % n, _hash60(h, 1) % n)))
-    first = _hash60(F.md5(F.concat(key, F.lit("0"))), 0) % n
-    following = F.transform(F.sequence(F.lit(1), F.lit(k)), lambda i: (first + i) % n)
-    spread = F.array_distinct(F.concat(draws, following))
+    # Written out one by one, as these stay in generated code, which a function over an array does not.
+    digests = [F.md5(F.concat(key, F.lit(str(i)))) for i in range(max(DRAWS, 2 * k) // 2)]
+    draws = [_hash60(d, half) % n for d in digests for half in (0, 1)]
+    following = [(draws[0] + i) % n for i in range(1, k + 1)]
+    spread = F.array_distinct(F.array(*draws, *following))
     return F.slice(F.when(n <= max(SMALL, 8 * k), ranked).otherwise(spread), 1, k)
 
 

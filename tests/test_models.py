@@ -188,6 +188,46 @@ def test_inner_binding_wins(text):
     assert grammar.parse(text)[0][0] == "quantified"
 
 
+SHAPES = [
+    (["∀x (Cat(x) → BigCat(x))", "∀x (BigCat(x) → Cat(tom))"], ["∀x (p0_(x) → p1_(x))", "∀x (p1_(x) → p0_(c0_))"]),
+    (["Rel(tom, New-York, x) ∧ Rel(x,y)", "¬Tom(tom)"], ["p0_(c0_, c1_, x) ∧ p0_(x,y)", "¬p1_(c0_)"]),
+    (["∀x(Größe(x) → ¬(Holds() ∨ Aa(A)))"], ["∀x(p0_(x) → ¬(p1_() ∨ p2_(c0_)))"]),
+    (["p1_(x) ∧ p0_(x)"], ["p0_(x) ∧ p1_(x)"]),
+    (["c1_(c1_) ∧ Cat(c0_)"], ["p0_(c0_) ∧ p1_(c1_)"]),
+    (["Aa( tom , tim )"], ["p0_( c0_ , c1_ )"]),
+    # unclear: kept
+    (["∀xCat(x)"], ["∀xCat(x)"]),
+    (["Cat (x)"], ["Cat (x)"]),
+    (["Cat('x')"], ["Cat('x')"]),
+    (["Cat(x)", None], ["Cat(x)", None]),
+]
+
+
+def test_same_shape(spark):
+    from formulary.functions.predicates import with_same_shape
+
+    df = spark.createDataFrame([(i, f) for i, (f, _) in enumerate(SHAPES)], "i int, f array<string>")
+    got = [r.f for r in with_same_shape(df, "f").orderBy("i").collect()]
+    assert got == [want for _, want in SHAPES]
+
+
+def test_renaming_keeps_verdicts(spark):
+    from formulary.functions.predicates import with_same_shape
+
+    rng = random.Random(21)
+    names = {"Aa": "Cat", "Bb": "BigCat", "Rr": "Cat_Cat", "tom": "Cat"}
+    pairs = []
+    for _ in range(120):
+        pair = [random_formula(rng, 3, [], rng.random() < 0.5) for _ in range(2)]
+        for old, new in names.items():
+            pair = [f.replace(old, new) for f in pair]
+        pairs.append(pair)
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(pairs)], "i int, f array<string>")
+    shaped = [r.f for r in with_same_shape(df, "f").orderBy("i").collect()]
+    assert sum(a != b for a, b in zip(shaped, pairs)) == len(pairs)
+    assert [decide(*s) for s in shaped] == [decide(*p) for p in pairs]
+
+
 def test_repeated_pairs_are_searched_once(spark):
     df = spark.range(3000).select(
         F.col("id").alias("row_id"), F.lit("∀x Aa(x)").alias("fol_pred"), F.lit("∃x Aa(x)").alias("fol_gt")
