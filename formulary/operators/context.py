@@ -27,6 +27,7 @@ def _running(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     The result itself grows with the square of a group, so the writing is spread: rows are cut into blocks
     of BLOCK positions, each block's lines are written once, and every row joins the text of the blocks
     before its own with the earlier rows of its block. Only one row per block is ordered within a group.
+    Group and position identify a row and are never NULL.
     """
     rows = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumn(
         "_value", F.coalesce(F.col(value), F.lit(""))

@@ -23,7 +23,8 @@ def early_stop(metrics: DataFrame, patience: int = 4, width: int = 4096) -> Data
     """First epoch after `patience` epochs without strict improvement, and the best epoch up to there.
 
     Runs may be long, so no window spans a run: epochs are cut into buckets of `width`, each bucket knows
-    the minimum and count before it, and only one summary row per bucket is ordered within the run.
+    the minimum and count before it, and only one summary row per bucket is ordered within the run. Run and
+    epoch identify a row and are never NULL.
     """
     rows = metrics.select(
         "run_id", "epoch", _loss().alias("loss"), F.floor(F.col("epoch") / width).alias("bucket")
