@@ -1,0 +1,64 @@
+"""Plain versions of the operators, one row or one pair at a time, for small tables."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import re
+
+WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+SPACE_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def lower(text):
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+
+
+def base_licences(text):
+    phrases = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
+    words = WORD.findall(lower(text))
+    places = [
+        (i, label) for i in range(len(words)) for p, label in phrases.items() if tuple(words[i : i + len(p)]) == p
+    ]
+    at = [i for i, _ in places]
+    labels = ",".join(sorted({label for _, label in places}))
+    return len(words), len(places), min(at, default=None), max(at, default=None), labels
+
+
+def nearest(rows, k, modulo):
+    def ok(v):
+        return v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    known = sorted({(i, tuple(map(float, v))) for i, v in rows if i is not None and ok(v)})
+    out = {}
+    for q, v in known:
+        if q % modulo:
+            continue
+        scores = []
+        for i, w in known:
+            if i != q and len(v) == len(w):
+                dot = sum(a * b for a, b in zip(v, w))
+                scores.append((-dot / math.sqrt(sum(a * a for a in v)) / math.sqrt(sum(b * b for b in w)), i))
+        out[q] = sorted(scores)[:k]
+    return out
+
+
+def without_repeats(docs, size=13):
+    """doc_id, n_words, n_removed, digest per row of (doc_id, text)."""
+    words = [SPACE_WORD.findall(t or "") for _, t in docs]
+    first = {}
+    for (i, _), w in zip(docs, words):
+        if i is not None:
+            for k in range(len(w) - size + 1):
+                key = tuple(w[k : k + size])
+                first[key] = min(first.get(key, i), i)
+    out = []
+    for (i, _), w in zip(docs, words):
+        gone = set()
+        if i is not None:
+            for k in range(len(w) - size + 1):
+                if first[tuple(w[k : k + size])] < i:
+                    gone.update(range(k, k + size))
+        kept = [x for k, x in enumerate(w) if k not in gone]
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
+    return out
