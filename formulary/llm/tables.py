@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from formulary.session import store
@@ -23,6 +25,22 @@ def text_key(c: str | Column = "text") -> Column:
     return F.xxhash64(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("\x00null")))
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of jobs that nothing refers to any more.
+
+    Spark does so when the driver collects garbage; between the phases of one operator that may be too late.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a table written in the shared folder; what led to it needs no disk from here on."""
+    out = store(df, name)
+    release(df.sparkSession)
+    return out
+
+
 def numbered(df: DataFrame, by: list[str], name: str = "idx") -> DataFrame:
     """Adds `name`: 0, 1, 2, ... without gaps within each group `by`.
 
@@ -34,7 +52,7 @@ def numbered(df: DataFrame, by: list[str], name: str = "idx") -> DataFrame:
         "_pid": F.spark_partition_id(),
         "_pos": F.monotonically_increasing_id(),
     }
-    kept = store(df.withColumns(place), "numbered")
+    kept = stored(df.withColumns(place), "numbered")
     keys = [F.coalesce(F.col(c).cast("string"), F.lit("\x00null")) for c in by]
     kept = kept.withColumn("_by", F.xxhash64(*keys, *by))
     within = Window.partitionBy("_pid", "_by").orderBy("_pos")
