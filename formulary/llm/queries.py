@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import toxicity
+from formulary.llm import ann, licences, substrings, toxicity
 from formulary.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,3 +22,20 @@ def query(fn: Query) -> Query:
 @query
 def op1_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     return toxicity.toxicity(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
+@query
+def op2_licence_scan(spark: SparkSession, sf: str) -> DataFrame:
+    return licences.licence_scan(table(spark, sf, "documents"))
+
+
+@query
+def op3_hnsw(spark: SparkSession, sf: str) -> DataFrame:
+    """The 5 nearest of every vector whose id is divisible by 50, found by the graphs of all shards."""
+    vectors = table(spark, sf, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), k=5)
+
+
+@query
+def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return substrings.repeat_digests(table(spark, sf, "documents"))
