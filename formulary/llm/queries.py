@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import ann, licences, substrings, toxicity
+from formulary.llm import ann, jaccard, licences, mixing, packing, sharding, simhash, substrings, toxicity, warc
 from formulary.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -39,3 +39,34 @@ def op3_hnsw(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op4_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return substrings.repeat_digests(table(spark, sf, "documents"))
+
+
+@query
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.edited_fingerprints(table(spark, sf, "documents"))
+
+
+@query
+def op6_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.archived_pages(table(spark, sf, "pages"), min_bytes=0)
+
+
+@query
+def op7_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
+    """doc_id, class_id and n_links of every document: five-word shingles, similarity of 0.8 or more."""
+    return jaccard.jaccard_join(table(spark, sf, "documents"))
+
+
+@query
+def op8_jump_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf, "documents"), shards=24, grown=25)
+
+
+@query
+def op9_pivotal_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf, "documents"))
+
+
+@query
+def op10_bin_completion(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.packed(table(spark, sf, "documents"))

@@ -62,3 +62,111 @@ def without_repeats(docs, size=13):
         kept = [x for k, x in enumerate(w) if k not in gone]
         out.append((i, len(w), len(gone), hashlib.sha256(" ".join(kept).encode()).hexdigest()))
     return out
+
+
+def simhash(text):
+    import xxhash
+
+    def signed(h):
+        return h - (1 << 64) if h >> 63 else h
+
+    votes = [0] * 64
+    for word in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()):
+        h = xxhash.xxh64_intdigest(word.encode(), seed=42)
+        for bit in range(64):
+            votes[bit] += min(len(word), 16) * (1 if h >> bit & 1 else -1)
+    return sum(1 << bit for bit in range(64) if votes[bit] > 0)
+
+
+def edited(rows):
+    """(doc_id, n_chars, digest, fp, edited fp, near edited, near next, n near) of (doc_id, text), ids all different."""
+    rows = sorted(((i, t or "") for i, t in rows), reverse=True)
+    texts = [t for _, t in rows]
+    fps = [simhash(t) for t in texts]
+    out = []
+    for k, (i, t) in enumerate(rows):
+        following = (k + 1) % len(rows)
+        third = len(t) // 3
+        new = t[: len(t) - third] + texts[following][:third]
+        fp = simhash(new)
+        near = [1 - (fps[k] ^ other).bit_count() / 64 for other in (fp, fps[following])]
+        n_near = sum((fps[k] ^ other).bit_count() <= 3 for other in fps) - 1
+        digest = hashlib.sha256(new.encode()).hexdigest()
+        out.append((i, len(t), digest, f"{fps[k]:016x}", f"{fp:016x}", *near, n_near))
+    return out
+
+
+def archived(rows):
+    """(page_id, bytes, digest, type, refers to) of (page_id, html), ids all different."""
+    import base64
+
+    payloads = {i: (h or "").encode() for i, h in rows}
+    first = {}
+    for i, p in payloads.items():
+        first[p] = max(first.get(p, i), i)
+    out = []
+    for i, p in payloads.items():
+        digest = base64.b32encode(hashlib.sha1(p).digest()).decode()
+        mine = first[p] == i
+        out.append((i, len(p), digest, "response" if mine else "revisit", None if mine else first[p]))
+    return out
+
+
+def jump(key, shards):
+    key &= (1 << 64) - 1
+    b, j = -1, 0
+    while j < shards:
+        b = j
+        key = (key * 2862933555777941757 + 1) & ((1 << 64) - 1)
+        j = int((b + 1) * (float(1 << 31) / float((key >> 33) + 1)))
+    return b
+
+
+def targets(sizes, weights=(1, 2, 3), most=3):
+    """source -> target for source -> size, sharing the excess again until no source is above its limit."""
+    order = sorted((s for s in sizes if s is not None), key=lambda s: s.encode("utf-8"))
+    order += [None] if None in sizes else []
+    weight = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    out, open_, rest = {}, set(sizes), float(sum(sizes.values()))
+    while open_:
+        total = sum(weight[s] for s in open_)
+        above = {s for s in open_ if rest * weight[s] / total >= most * sizes[s]}
+        if not above:
+            return out | {s: rest * weight[s] / total for s in open_}
+        out |= {s: float(most * sizes[s]) for s in above}
+        rest -= sum(most * sizes[s] for s in above)
+        open_ -= above
+    return out
+
+
+def near_duplicates(rows, size=5, threshold=0.8):
+    """{doc_id: (class_id, n_links)} of (doc_id, text), ids all different."""
+    sets = {}
+    for i, t in rows:
+        w = SPACE_WORD.findall(t or "")
+        sets[i] = {tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set()
+    holders = {}
+    for i, s in sets.items():
+        for g in s:
+            holders.setdefault(g, []).append(i)
+    common = {}
+    for held in holders.values():
+        for a in held:
+            for b in held:
+                if a < b:
+                    common[a, b] = common.get((a, b), 0) + 1
+    root = {i: i for i in sets}
+    n = dict.fromkeys(sets, 0)
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for (a, b), c in common.items():
+        if c >= threshold * (len(sets[a]) + len(sets[b]) - c) - 1e-9:
+            n[a] += 1
+            n[b] += 1
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    return {i: (find(i), n[i]) for i in sets}
