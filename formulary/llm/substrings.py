@@ -10,11 +10,12 @@ compared one by one. Matched windows that touch make up the maximal repeats.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable, Iterator
+import re
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from formulary.llm.tables import stored
 
@@ -208,14 +209,20 @@ def _window_rows(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     return run
 
 
+def text_tag() -> Column:
+    """A short hash of the text, which tells texts apart that share a doc_id."""
+    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << (TAG_BITS - 1)) - 1)).cast("int")
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """doc_id, tag, text of the rows with an id. The tag tells texts apart that share a doc_id."""
-    tag = F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << (TAG_BITS - 1)) - 1)).cast("int")
-    return docs.select(F.col("doc_id").cast("bigint"), tag.alias("tag"), "text").filter("doc_id IS NOT NULL")
+    """doc_id, tag and text of the rows with an id."""
+    return docs.select(F.col("doc_id").cast("bigint"), text_tag().alias("tag"), "text").filter("doc_id IS NOT NULL")
 
 
-def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
-    """(the keyed texts by doc_id, their repeats): doc_id, tag, starts, lengths.
+def repeats(
+    docs: DataFrame, size: int = SIZE, seed: int = SEED, more: Sequence[str] = ()
+) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, tag, text and `more` columns by doc_id and tag; their repeats: doc_id, tag, start, length).
 
     A repeat is a run of words, here possibly touching or overlapping others of its text, all covered by
     windows of `size` words that also start in a text with a smaller doc_id. The shared anchors are found
@@ -225,20 +232,29 @@ def repeats(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> tuple[DataFr
         raise ValueError("seed and size must be at least 1 word, size at most 256, and seed no longer than size")
     texts = keyed_texts(docs)
     rows = texts.mapInArrow(_anchor_rows(size, seed), Anchors)
-    ends = rows.groupBy("a").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    seeds = stored(rows.join(ends.filter("lo < hi").select("a"), "a"), "shared-anchors")
-
-    # Of equal extensions the one in the smallest doc_id stays to be compared, all others are matched.
-    kinds = seeds.groupBy("a", "e").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"))
-    differ = kinds.groupBy("a").agg((F.count("*") > 1).alias("differ"))
-    kinds = kinds.join(differ, "a").filter("differ OR least < most")
-    runs = seeds.join(kinds, ["a", "e"]).select(
-        "doc_id", "place", (F.col("doc_id") > F.col("least")).alias("matched"), "differ"
+    ends = rows.groupBy("a").agg(
+        F.min("doc_id").alias("lo"),
+        F.max("doc_id").alias("hi"),
+        (F.min("e") != F.max("e")).alias("differ"),
     )
+    shared = rows.join(ends.filter("lo < hi").select("a", "lo", "differ"), "a").filter("differ OR doc_id > lo")
+    # Where all extensions of an anchor are equal, every document but the smallest repeats it.
+    only = [F.when(F.col("differ"), F.col(c)).alias(c) for c in ("a", "e")]
+    seeds = stored(shared.select(*only, "doc_id", "place", "differ"), "shared-anchors")
+
+    # Of extensions that are equal among differing ones, the one in the smallest doc_id stays to be compared.
+    differing = seeds.filter("differ").select("a", "e", "doc_id", "place")
+    least = differing.groupBy("a", "e").agg(F.min("doc_id").alias("least"))
     tag = F.shiftright("place", 48).cast("int").alias("tag")
-    runs = stored(runs.filter("matched OR differ").select("doc_id", tag, "place", "matched"), "runs")
+    runs = differing.join(least, ["a", "e"]).select(
+        "doc_id", tag, "place", (F.col("doc_id") > F.col("least")).alias("matched")
+    )
+    equal = seeds.filter("NOT differ").select("doc_id", tag, "place", F.lit(True).alias("matched"))
+    runs = stored(runs.unionByName(equal), "runs")
 
-    by_doc = texts.repartition("doc_id", "tag")
+    named = docs.filter("doc_id IS NOT NULL")
+    by_doc = named.select(F.col("doc_id").cast("bigint"), text_tag().alias("tag"), "text", *more)
+    by_doc = by_doc.repartition("doc_id", "tag")
     open_runs = runs.filter("NOT matched").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("open"))
     opened = by_doc.join(open_runs, ["doc_id", "tag"]).select("doc_id", "text", "open")
     windows = opened.mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, place bigint")
@@ -305,3 +321,49 @@ def repeat_digests(docs: DataFrame, size: int = SIZE, seed: int = SEED) -> DataF
         F.col("doc_id").cast("bigint"), "text", nothing.alias("start"), nothing.alias("length")
     )
     return joined.unionByName(unnamed).mapInArrow(_digests, whole)
+
+
+BYTES_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def cut_text(text: str, gone: np.ndarray) -> str:
+    """The text without the words marked as gone; what stays together keeps its white space."""
+    data = text.encode("utf-8", "surrogatepass")
+    at = np.array([m.span() for m in BYTES_WORD.finditer(data)])
+    kept = np.flatnonzero(~gone)
+    if not len(kept):
+        return ""
+    first = np.flatnonzero(np.append(True, np.diff(kept) != 1))
+    last = np.append(first[1:], len(kept)) - 1
+    parts = [data[at[kept[a], 0] : at[kept[b], 1]] for a, b in zip(first, last)]
+    return b" ".join(parts).decode("utf-8", "surrogatepass")
+
+
+def without_repeats(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """doc_id, text, lang, source and n_chars of `docs` without repeated passages of at least `size` words.
+
+    What counts as repeated is as in repeat_digests. Where words go, n_chars is counted again; a text that
+    loses all of its words goes as a row. All other rows stay as they are.
+    """
+    more = ["lang", "source", "n_chars"]
+    by_doc, spans = repeats(docs, size, seed, more)
+    joined = by_doc.join(spans, ["doc_id", "tag"], "left")
+    columns = ["doc_id", "text", *more]
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, sizes = batch.column("text").to_pylist(), batch.column("n_chars").to_pylist()
+            keep = np.ones(len(texts), bool)
+            for k, text in enumerate(texts):
+                found = _spans_of(batch, k)
+                if found is not None:
+                    texts[k] = cut_text(text, covered(len(split_words(text)), *found))
+                    sizes[k] = len(texts[k])
+                    keep[k] = bool(texts[k])
+            new = {"text": pa.array(texts, pa.string()), "n_chars": pa.array(sizes, pa.int64())}
+            out = pa.RecordBatch.from_arrays([new.get(c, batch.column(c)) for c in columns], columns)
+            yield out.filter(pa.array(keep))
+
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    changed = joined.select(*columns, "start", "length").mapInArrow(cut, schema)
+    return changed.unionByName(docs.filter("doc_id IS NULL").select(columns))
