@@ -4,25 +4,50 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import toxicity
+from formulary.llm import jaccard, mixing, packing, substrings, toxicity
 from formulary.llm.tables import DOC_COLUMNS, table
 from formulary.session import scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # trained models, random rounding and a search are not SQL
+PASSAGE_WORDS, PASSAGE_SEED = 50, 8
 
 
-def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity model does not reject."""
+def toxic_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that the toxicity model does not reject, unchanged."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     return toxicity.keep_ordinary(docs.select(DOC_COLUMNS), model)
 
 
+def near_duplicates_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, unchanged, of every class of near-duplicates."""
+    return jaccard.one_per_class(docs.select(DOC_COLUMNS))
+
+
+def repeats_out(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 50 words and more that a document with a smaller doc_id has too."""
+    return substrings.without_repeats(docs.select(DOC_COLUMNS), PASSAGE_WORDS, PASSAGE_SEED)
+
+
+def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its source's target weight asks for."""
+    return mixing.mix(docs.select(DOC_COLUMNS))
+
+
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every copy's pieces with their places in sequences of 1024 tokens."""
+    return packing.packed(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("toxicity", drop_toxic),
+    ("toxicity", toxic_out),
+    ("n-gram Jaccard join", near_duplicates_out),
+    ("substring dedup", repeats_out),
+    ("mixing sources to target weights", to_target_weights),
+    ("best-fit packing", into_sequences),
 ]
 
 

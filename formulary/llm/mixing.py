@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from formulary.llm.tables import numbered, stored
 from formulary.operators.sampling import dense_index
@@ -151,17 +151,20 @@ def rounded(items: DataFrame, levels: int) -> DataFrame:
     return out
 
 
-def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
-    """doc_id, size, source_size, target, copies and taken (size times copies) of every row.
+def doc_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")), "source")
+
+
+def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """key, doc_id, size, source_size, target and copies of every row.
 
-    size is the number of words; a null text has none. A document without words is taken once for every
-    whole copy its source gets and moves no words. Rows without a source are one source, the last. Repeated
-    rows count as documents of their own. A source's taken words differ from its target by at most half of
+    size is the number of words; a null text has none. A document without words gets
+    the whole copies of its source and moves no words. Rows without a source are one source, the last. Repeated
+    rows count as documents of their own. A source's words differ from its target by at most half of
     one of its documents. Only doc_id, text and source are read; narrow rows are written when this is called.
     """
-    key = F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")))
     source = F.col("source").cast("string")
-    sizes = docs.select(F.col("doc_id").cast("bigint"), source, n_words("text").alias("size"), key.alias("key"))
+    sizes = docs.select(F.col("doc_id").cast("bigint"), source, n_words("text").alias("size"), doc_key().alias("key"))
     # Rows with equal keys are told apart by a number of their own.
     sizes = stored(numbered(sizes, ["key"], "dup"), "sizes")
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
@@ -183,6 +186,21 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST)
     parts = rounded(items, levels).withColumnRenamed("part", "more")
     out = known.join(parts, ["key", "dup"], "left")
     copies = (F.col("whole") + F.coalesce("more", F.lit(0.0)).cast("bigint")).alias("copies")
-    return out.select("doc_id", "size", "source_size", "target", copies).select(
-        "*", (F.col("size") * F.col("copies")).alias("taken")
-    )
+    return out.select("key", "doc_id", "size", "source_size", "target", copies)
+
+
+def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """doc_id, size, source_size, target, taken (size times copies) and copies of every row; see copies."""
+    taken = (F.col("size") * F.col("copies")).alias("taken")
+    return copies(docs, weights, most).select("doc_id", "size", "source_size", "target", taken, "copies")
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -> DataFrame:
+    """The rows of `docs`, unchanged, each as often as the mix takes it.
+
+    Rows that agree in doc_id, text and source stand for each other: one of them carries all their copies.
+    """
+    often = copies(docs, weights, most).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"))
+    keyed = docs.withColumn("_key", doc_key()).join(often.filter("_copies > 0"), "_key")
+    one = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1")
+    return one.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(*docs.columns)
