@@ -86,11 +86,19 @@ class Model:
     ordinary: bytes
     short: bytes
     weights: list[float] = field(default_factory=list)
+    without_gain: float = 0.0  # log odds of texts in which no window gains
+
+    def log_odds(self, words: list[bytes], gains: Gains) -> float:
+        found = _features(words, gains)
+        return float(found @ np.array(self.weights)) if found[GAINED] else self.without_gain
 
     def gains(self) -> Gains:
         return Gains(self.toxic, self.ordinary, self.short)
 
 
+GAINED = TOP + 1  # place of the windows that gain at least a byte over both dictionaries
+
+
 def _features(words: list[bytes], gains: Gains) -> np.ndarray:
     """log(1 + windows with at least i and j bytes of gain) for all i, j, the log of all windows, and 1."""
     codes = np.fromiter(map(gains.__getitem__, words), dtype=np.int64, count=len(words))
@@ -123,8 +131,8 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
     docs, y = [words_of(t) for t in texts], np.array(labels, float)
     n_toxic, n_plain = int(y.sum()), int(len(y) - y.sum())
     if not n_toxic or not n_plain:  # nothing to tell apart: every document scores as the labels do
-        constant = [0.0] * (TOP * TOP) + [30.0 if n_toxic else -30.0]
-        return Model(FRAME + FRAME, FRAME + FRAME, FRAME + FRAME, constant)
+        odds = 30.0 if n_toxic else -30.0
+        return Model(FRAME + FRAME, FRAME + FRAME, FRAME + FRAME, [0.0] * (TOP * TOP) + [odds], odds)
     heads = Counter(), Counter()
     for words, label in zip(docs, labels):
         heads[label].update(set().union(*map(_heads, set(words))) if words else ())
@@ -154,6 +162,9 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
     x = np.array([_features(words, gains) for words in docs])
     share = np.where(y == 1, toxic_share * len(y) / n_toxic, (1 - toxic_share) * len(y) / n_plain)
     model.weights = _logistic(x, y, share).tolist()
+    quiet = x[:, GAINED] == 0
+    rate = (share[quiet] @ y[quiet] + toxic_share / 2) / (share[quiet].sum() + 1)
+    model.without_gain = math.log(rate / (1 - rate))
     return model
 
 
@@ -206,16 +217,15 @@ def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars:
 def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score of every whole text; no shuffle.
 
-    Null and empty texts have no window and get the score of a text without any gain. Repeated rows stay
+    Null and empty texts have no window. A text in which no window gains, as they, gets the rate of toxic ones
+    among such texts in training. Repeated rows stay
     repeated, null ids stay null, further columns are left out.
     """
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains, weights = model.gains(), np.array(model.weights)
+        gains = model.gains()
         for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            z = np.array([_features(words_of(t.as_py()), gains) @ weights for t in batch.column("text")])
+            z = np.array([model.log_odds(words_of(t.as_py()), gains) for t in batch.column("text")], float)
             scores = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores)], ["doc_id", "score"])
 
@@ -241,10 +251,10 @@ def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     """The rows of `docs`, unchanged, whose score is below `threshold`; no shuffle."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        gains, weights = model.gains(), np.array(model.weights)
+        gains = model.gains()
         limit = math.log(threshold / (1 - threshold))
         for batch in batches:
-            z = [float(_features(words_of(t.as_py()), gains) @ weights) < limit for t in batch.column("text")]
-            yield batch.filter(pa.array(z, pa.bool_()))
+            kept = [model.log_odds(words_of(t.as_py()), gains) < limit for t in batch.column("text")]
+            yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
