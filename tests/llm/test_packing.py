@@ -1,0 +1,98 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from formulary.llm import packing, queries
+
+SF = "/root/testdata/sf0.001"
+SCHEMA = "doc_id bigint, text string, length string, offset int"
+
+
+def check(got, docs, size=1024):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+
+    full = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = []
+    for i, t in docs:
+        ids = np.array(full.encode(t or "", add_special_tokens=False).ids + [2], "<u4")
+        cuts = packing.cut(len(ids), size)
+        assert sum(n for _, n in cuts) == len(ids) and all(n == size for _, n in cuts[1:])
+        want += [(i, k, s, n, zlib.crc32(ids[s : s + n].tobytes())) for k, (s, n) in enumerate(cuts)]
+    assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
+    sequences = {}
+    for r in got:
+        sequences.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for held in sequences.values():
+        at = 0
+        for offset, length in sorted(held):
+            assert offset == at
+            at += length
+        assert at <= size
+    return len(sequences), -(-sum(r.length for r in got) // size)
+
+
+def test_whole_table_against_the_full_tokenizer(spark):
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    n, bound = check(queries.op10_bin_completion(spark, SF).collect(), docs)
+    assert n <= bound * 1.02 + 1
+
+
+def test_hard_texts(spark):
+    docs = [(1, None), (2, ""), (None, "x"), (3, "a<|endoftext|>b"), (4, "word " * 60_000), (5, " " * 50_000), (3, "a<|endoftext|>b")]
+    docs += [(6, "Ünïcode ✓ \U0001f600   é"), (7, "\x00\x01\r\n\t")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in docs], SCHEMA)
+    check(packing.packed(df).collect(), docs)
+    assert packing.packed(df.limit(0)).count() == 0
+
+
+def optimum(lengths, size):
+    best = len(lengths)
+
+    def walk(k, rooms):
+        nonlocal best
+        if len(rooms) >= best:
+            return
+        if k == len(lengths):
+            best = len(rooms)
+            return
+        for j in range(len(rooms)):
+            if rooms[j] >= lengths[k] and rooms[j] not in rooms[:j]:
+                walk(k + 1, rooms[:j] + [rooms[j] - lengths[k]] + rooms[j + 1 :])
+        walk(k + 1, rooms + [size - lengths[k]])
+
+    lengths = sorted(lengths, reverse=True)
+    walk(0, [])
+    return best
+
+
+def test_plans_hold_every_piece_and_reach_the_optimum_on_small_cases():
+    rng = random.Random(0)
+    for _ in range(150):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(0, 9))]
+        counts = [lengths.count(n) for n in range(21)]
+        patterns = packing.plan(counts, 20)
+        back = [0] * 21
+        for filling, times in patterns:
+            assert sum(n * m for n, m in filling) <= 20
+            for n, m in filling:
+                back[n] += m * times
+        assert back == counts
+        assert sum(t for _, t in patterns) == optimum(lengths, 20)
+
+
+def test_plan_of_very_many_pieces_depends_on_lengths_only():
+    counts = [0] * 1025
+    for n in (1, 3, 100, 400, 511, 512, 513, 900, 1024):
+        counts[n] = 10**12 + n
+    patterns = packing.plan(counts)
+    assert len(patterns) < 100
+    total = sum(n * c for n, c in enumerate(counts))
+    assert sum(t for _, t in patterns) <= total / 1024 * 1.3
+
+
+@pytest.mark.parametrize("a, b, want", [(((5, 1),), ((3, 1), (2, 1)), True), (((3, 1), (2, 1)), ((5, 1),), False)])
+def test_dominance(a, b, want):
+    assert packing.dominates(a, b) is want
