@@ -37,8 +37,6 @@ HEADLINE = [
     "parse_nodes",
     "formula_profile",
     "export_prover_text",
-    "bounded_equivalence",
-    "bounded_entailment",
     "generate",
     "generate_sequential",
     "call_with_retry",

@@ -82,35 +82,3 @@ def renames(names, gt_names) -> Column:
     gt = F.array_distinct(_col(gt_names))
     pairs = F.transform(_col(names), lambda a: F.struct(a.alias("old"), best_match(a, gt).alias("new")))
     return F.filter(pairs, lambda r: r["old"] != r["new"])
-
-
-_WORD = r"[\p{L}\p{N}_]"
-_DELIMITER = r"\s,()∀∃∧⊕∨→↔¬"
-# Predicate names of two or more characters, and constants in argument places.
-_PREDICATE_SYMBOL = rf"(?U)(?<!{_WORD})({_WORD}{{2,}}+)(?=\()"
-_CONSTANT_SYMBOL = rf"(?U)(?<![^{_DELIMITER}])(?![a-z](?:[{_DELIMITER}]|$))([^{_DELIMITER}]++)(?=\s*[,)])"
-# Spellings in which a symbol cannot be told from the text around it: a variable that touches what
-# follows, a blank between name and bracket, quotes, and the marks used here.
-_UNCLEAR = rf"(?U)[∀∃]\s*[a-z]{_WORD}|{_WORD}{{2}}\s+\(|[\"'\x01-\x04\x1e]"
-
-
-def with_same_shape(df: DataFrame, column: str) -> DataFrame:
-    """The array<string> column with predicates and constants renamed by order of appearance.
-
-    Truth does not depend on the names, so formulas that differ in names only share one search. Texts
-    whose symbols are not plain to see, and arrays with a NULL, stay as they are.
-    """
-    # Step by step, each intermediate in a projection of its own, so that none is evaluated twice.
-    marked = F.regexp_replace(F.array_join(column, "\x1e"), _PREDICATE_SYMBOL, "\x01$1\x02")
-    df = df.withColumn("_marked", F.regexp_replace(marked, _CONSTANT_SYMBOL, "\x03$1\x04"))
-
-    def renamed(acc: Column, mark: str, letter: str) -> Column:
-        found = F.array_distinct(F.regexp_extract_all("_marked", F.lit(mark), F.lit(0)))
-        new = F.transform(
-            found, lambda s, i: F.struct(s.alias("old"), F.concat(F.lit(letter), i.cast("string"), F.lit("_")).alias("new"))
-        )
-        return F.aggregate(new, acc, lambda t, r: F.replace(t, r["old"], r["new"]))
-
-    plain = renamed(renamed(F.col("_marked"), "\x01[^\x02]*\x02", "p"), "\x03[^\x04]*\x04", "c")
-    unclear = F.exists(column, lambda f: f.isNull() | F.regexp_like(f, F.lit(_UNCLEAR)))
-    return df.withColumn(column, F.when(unclear, F.col(column)).otherwise(F.split(plain, "\x1e"))).drop("_marked")

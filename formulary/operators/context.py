@@ -25,28 +25,38 @@ def _running(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Adds `before`: the numbered earlier values of the row's group as lines, '' for the first row.
 
     The result itself grows with the square of a group, so the writing is spread: rows are cut into blocks
-    of BLOCK positions, each block's lines are written once, and every row joins the text of the blocks
-    before its own with the earlier rows of its block. Only one row per block is ordered within a group.
-    Group and position identify a row and are never NULL.
+    of BLOCK positions, each block's lines are written once, every block meets the lines of the blocks before
+    it in an equi-join, and every row adds the earlier rows of its block. Within a whole group only one
+    number per block is ordered. Group and position identify a row and are never NULL.
     """
     rows = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumn(
         "_value", F.coalesce(F.col(value), F.lit(""))
     )
-    in_group = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     blocks = rows.groupBy(group, "_block").agg(
         F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(order, "_value"))).alias("v")
     )
-    blocks = blocks.withColumn("_n", F.coalesce(F.sum("n").over(in_group), F.lit(0)))
-    text = blocks.withColumn("text", numbered(F.col("v._value"), F.col("_n")))
-    carried = text.select(
-        group, "_block", "_n", F.array_join(F.collect_list("text").over(in_group), "\n").alias("_head")
+    in_group = Window.partitionBy(group).orderBy("_block")
+    earlier = F.sum("n").over(in_group.rowsBetween(Window.unboundedPreceding, -1))
+    numbers = rows.groupBy(group, "_block").agg(F.count("*").alias("n")).select(
+        group, "_block", F.coalesce(earlier, F.lit(0)).alias("_n"), F.row_number().over(in_group).alias("_k")
+    )
+    lines = blocks.join(numbers, [group, "_block"]).select(
+        group, F.col("_k").alias("_j"), numbered(F.col("v._value"), F.col("_n")).alias("_lines")
+    )
+    later = numbers.filter("_k > 1").select(group, "_block", F.explode(F.sequence(F.lit(1), F.col("_k") - 1)).alias("_j"))
+    heads = later.join(lines, [group, "_j"]).groupBy(group, "_block").agg(
+        F.sort_array(F.collect_list(F.struct("_j", "_lines"))).alias("_h")
     )
     in_block = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = rows.join(carried, [group, "_block"]).withColumn("_tail", F.collect_list("_value").over(in_block))
-    tail = numbered("_tail", F.col("_n"))
+    joined = (
+        rows.join(numbers, [group, "_block"])
+        .join(heads, [group, "_block"], "left")
+        .withColumn("_tail", F.collect_list("_value").over(in_block))
+    )
+    head = F.coalesce(F.array_join("_h._lines", "\n"), F.lit(""))
     between = F.when((F.col("_n") > 0) & (F.size("_tail") > 0), "\n").otherwise("")
-    return joined.withColumn("before", F.concat("_head", between, tail)).drop(
-        "_block", "_value", "_n", "_head", "_tail"
+    return joined.withColumn("before", F.concat(head, between, numbered("_tail", F.col("_n")))).drop(
+        "_block", "_value", "_n", "_k", "_h", "_tail"
     )
 
 

@@ -9,18 +9,27 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from formulary.functions import text as X
+from formulary.operators.sampling import dense_index
 from formulary.operators.skew import HEAVY_ROWS, lookup_join
+from formulary.session import store
 
 PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 # Beyond these the vocabulary is joined, not sent to every task.
 MAX_SHIPPED_VOCAB = 500_000
 MAX_SHIPPED_BYTES = 64 << 20
+MAX_EXTENSION = 10_000
 
 
-def vocab_build(df: DataFrame, size: int, text: str = "text") -> DataFrame:
-    """(token, id) of the `size` most frequent tokens, ties by token. Ids follow the rank."""
+def vocab_build(df: DataFrame, size: int | None = None, text: str = "text") -> DataFrame:
+    """(token, id) of the `size` most frequent tokens, or of all; ties by token. Ids follow the rank.
+
+    Without a size the tokens are numbered by a distributed sort, which runs jobs when this is called.
+    """
     tokens = df.select(F.explode_outer(X.words(text)).alias("token")).filter(F.col("token").isNotNull())
     counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+    if size is None:
+        ranked = dense_index(counts.select("token", F.struct(-F.col("n"), "token").alias("rank")), "rank")
+        return ranked.select("token", (F.col("idx") + FIRST_ID).cast("int").alias("id"))
     top = counts.orderBy(F.desc("n"), "token").limit(size)
     # The limit leaves at most `size` rows for this unpartitioned window.
     rank = F.row_number().over(Window.orderBy(F.desc("n"), "token"))
@@ -28,7 +37,12 @@ def vocab_build(df: DataFrame, size: int, text: str = "text") -> DataFrame:
 
 
 def extend_vocab(vocab: DataFrame, tokens: list[str]) -> DataFrame:
-    """Add the missing ones of a short token list with ids above the current maximum; others stay."""
+    """Add the missing ones of a short token list with ids above the current maximum; others stay.
+
+    The list is the caller's own, goes to every task and may hold at most MAX_EXTENSION tokens.
+    """
+    if len(tokens) > MAX_EXTENSION:
+        raise ValueError(f"{len(tokens)} tokens; join a table of them instead")
     spark = vocab.sparkSession
     new = spark.createDataFrame(list(enumerate(dict.fromkeys(tokens))), "pos int, token string")
     known = vocab.join(F.broadcast(new), "token", "left_semi").select("token")
@@ -71,7 +85,9 @@ def encode(
     Several texts of a row are encoded in one pass when given as {result column: text column}.
 
     A vocabulary of checked size is shipped to the tasks and looked up per Arrow batch, without a
-    shuffle of the tokens. A larger one is joined; frequent tokens are then served by broadcast.
+    shuffle of the tokens. A larger one is joined; frequent tokens are then served by broadcast. Both give
+    the same rows. Jobs run when this is called: the vocabulary is measured, and for a join the rows are
+    numbered and frequent tokens counted.
     """
     texts = {"ids": text} if isinstance(text, str) else text
     none = F.array().cast("array<string>")
@@ -96,18 +112,26 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
+def _own_rows(df: DataFrame) -> DataFrame:
+    """Rows with a number of their own, written down once: rows that share a row_id stay apart, and nothing
+    that computes them runs for each of the passes of a join."""
+    return store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 def _encode_by_join(tokens: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     outs = [c for c in tokens.columns if c != "row_id"]
     lists = F.array(*[F.struct(F.lit(i).alias("which"), F.col(o).alias("t")) for i, o in enumerate(outs)])
-    each = tokens.select("row_id", F.explode(lists).alias("l"))
-    flat = each.select("row_id", F.col("l.which").alias("which"), F.posexplode_outer("l.t").alias("pos", "token"))
+    each = _own_rows(tokens).select("_row", "row_id", F.explode(lists).alias("l"))
+    flat = each.select(
+        "_row", "row_id", F.col("l.which").alias("which"), F.posexplode_outer("l.t").alias("pos", "token")
+    )
     looked_up = lookup_join(
-        flat, vocab.select("token", "id"), "token", "id", ["row_id", "which", "pos"], min_heavy_rows
+        flat, vocab.select("token", "id"), "token", "id", ["_row", "which", "pos"], min_heavy_rows
     )
     placed = F.when(
         F.col("pos").isNotNull(), F.struct("which", "pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
     )
-    rows = looked_up.groupBy("row_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+    rows = looked_up.groupBy("_row", "row_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
 
     def ids_of(i: int, out: str):
         mine = F.filter("placed", lambda p: p["which"] == i) if len(outs) > 1 else F.col("placed")
@@ -177,10 +201,10 @@ def decode(
 
 def _decode_by_join(kept: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     by_key = vocab.select(F.col("id").cast("string").alias("key"), "token")
-    flat = kept.select("row_id", F.posexplode_outer("ids").alias("pos", "key")).withColumn(
+    flat = _own_rows(kept).select("_row", "row_id", F.posexplode_outer("ids").alias("pos", "key")).withColumn(
         "key", F.col("key").cast("string")
     )
-    named = lookup_join(flat, by_key, "key", "token", ["row_id", "pos"], min_heavy_rows)
+    named = lookup_join(flat, by_key, "key", "token", ["_row", "pos"], min_heavy_rows)
     placed = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    lists = named.groupBy("row_id").agg(F.sort_array(F.collect_list(placed)).alias("p"))
+    lists = named.groupBy("_row", "row_id").agg(F.sort_array(F.collect_list(placed)).alias("p"))
     return lists.select("row_id", F.array_join(F.col("p.token"), " ").alias("text"))

@@ -17,6 +17,7 @@ from formulary.operators.results import ERROR
 from formulary.plans import fixed_texts as t
 
 Model = Callable[[list[str]], list[str]]
+PER_THREAD = 4  # requests per thread whose answers are held back until all of them are there
 
 
 def _with(schema: T.StructType, *fields: tuple[str, T.DataType]) -> T.StructType:
@@ -30,6 +31,11 @@ def _call(model: Model, prompts: list[str]) -> list[str]:
     return answers
 
 
+def _portions(batch: pa.RecordBatch, size: int) -> Iterator[pa.RecordBatch]:
+    for start in range(0, batch.num_rows, size):
+        yield batch.slice(start, size)
+
+
 def _extended(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBatch:
     """The batch with its own columns untouched and some more behind them."""
     return pa.RecordBatch.from_arrays([*batch.columns, *added.values()], [*batch.schema.names, *added])
@@ -98,7 +104,8 @@ def _try(client: Client, system: str, user: str, policy: RetryPolicy) -> tuple[R
             return client(system, user), attempt + 1, error
         except Exception as e:  # noqa: BLE001 - any failure of a remote call is retried
             error = f"{type(e).__name__}: {e}"
-            policy.sleep(policy.wait(attempt))
+            if attempt + 1 < policy.attempts:
+                policy.sleep(policy.wait(attempt))
     return None, policy.attempts, error
 
 
@@ -118,7 +125,9 @@ def call_with_retry(
     Failures are retried with growing waits. An empty answer is a failure that goes straight to the
     fallback client, whose system text quotes the thoughts received so far. Adds fol_pred,
     fol_pred_reasoning, status (ok, fallback, failed), attempts, fallback_used, error. Requests in
-    flight: running tasks x threads.
+    flight: running tasks x threads; answers leave in portions of PER_THREAD times that, so a slow request
+    holds back few others. To keep paid answers when a task is lost, run portions of rows one after the
+    other (flows.predict_remote).
     """
     added = [
         ("fol_pred", T.StringType()),
@@ -149,7 +158,7 @@ def call_with_retry(
             return ERROR, thoughts, "failed", used, fallback is not None, error
 
         with ThreadPoolExecutor(policy.threads) as pool:
-            for batch in batches:
+            for batch in (part for whole in batches for part in _portions(whole, policy.threads * PER_THREAD)):
                 asked = zip(batch.column("system").to_pylist(), batch.column("nl").to_pylist())
                 done = list(pool.map(one, asked))
                 outcome = {
@@ -174,18 +183,18 @@ def _formula(answer: str) -> str:
 
 
 def generate_sequential(
-    examples: DataFrame, load: Callable[[], Model], template: ChatTemplate = ChatTemplate()
+    examples: DataFrame, load: Callable[[], Model], template: ChatTemplate = ChatTemplate(), batch_size: int = 32
 ) -> DataFrame:
     """Adds `premises_fol` and `conclusion_fol`: premises strictly in order, each prompt showing the
     formulas so far, then the conclusion; an empty conclusion is not sent.
 
     An example is one row, so examples spread over tasks without a shuffle. The model sees the same step
-    of all examples of an Arrow batch at once.
+    of up to `batch_size` examples at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load()
-        for batch in batches:
+        for batch in (part for whole in batches for part in _portions(whole, batch_size)):
             premises = [p or [] for p in batch.column("premises").to_pylist()]
             formulas: list[list[str]] = [[] for _ in premises]
             for step in range(max(map(len, premises), default=0)):

@@ -93,10 +93,15 @@ def harmonise_results(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def progress(corpus: DataFrame, results: DataFrame, batch_size: int = 32) -> DataFrame:
-    """Rows, results and batches per (model, setting)."""
+def progress(
+    corpus: DataFrame, results: DataFrame, batch_size: int = 32, runs: DataFrame | None = None
+) -> DataFrame:
+    """Rows, results and batches per (model, setting); with `runs` (model, setting) also those without results."""
     total = corpus.agg(F.count("*")).scalar()
     done = results.groupBy("model", "setting").agg(F.count("*").alias("done"))
+    if runs is not None:
+        none = runs.select("model", "setting", F.lit(0).cast("bigint").alias("done"))
+        done = done.unionByName(none).groupBy("model", "setting").agg(F.max("done").alias("done"))
     return done.withColumn("total", total).select(
         "model",
         "setting",

@@ -9,7 +9,6 @@ from formulary.operators import prompts
 from formulary.session import cut, store
 
 DRAWS = 10  # least number of hashed positions tried per row, two per md5
-SMALL = 128  # up to this many peers are ranked outright
 MAX_BROADCAST_OFFSETS = 200_000
 
 
@@ -18,7 +17,8 @@ def dense_index(df: DataFrame, order: str = "row_id", by: str | None = None) ->
 
     Two passes instead of one global window: the rows are sorted in range partitions and written down with
     their place in the partition, which then never changes; counts per partition give each partition its
-    first position.
+    first position. The rows are sorted and written whole, so hand in keys, not wide rows: see with_index.
+    Jobs run when this is called.
     """
     group = by or "_all"
     keyed = df if by else df.withColumn("_all", F.lit(0))
@@ -44,10 +44,31 @@ def dense_index(df: DataFrame, order: str = "row_id", by: str | None = None) ->
     return out.drop("_pid", "_pos", "_shift", "_all")
 
 
-def assign_batches(df: DataFrame, batch_size: int, order: str = "row_id") -> DataFrame:
-    """Consecutive batches of `batch_size` rows, the last one possibly short: [batch_start, batch_end)."""
+def with_index(df: DataFrame, keys: DataFrame, order: str = "row_id", by: str | None = None) -> DataFrame:
+    """`df` with `idx` and `n` as dense_index gives them, numbering only the `order` (and `by`) columns of `keys`.
+
+    `keys` holds the same values as `df`, cheap to read: wide rows are then neither sorted nor copied, and
+    nothing that computes them runs twice. They are joined to their numbers by `order`. Rows that share a
+    value share out its numbers.
+    """
+    names = [order, by] if by else [order]
+    numbers = dense_index(keys.select(*names), order, by).groupBy(*names).agg(
+        F.sort_array(F.collect_list("idx")).alias("_idx"), F.first("n").alias("n")
+    )
+    shared = Window.partitionBy(*names).orderBy(order)
+    joined = df.join(numbers, names).withColumn("_k", F.row_number().over(shared))
+    return joined.withColumn("idx", F.element_at("_idx", F.col("_k"))).select(*df.columns, "idx", "n")
+
+
+def assign_batches(
+    df: DataFrame, batch_size: int, order: str = "row_id", keys: DataFrame | None = None
+) -> DataFrame:
+    """Consecutive batches of `batch_size` rows, the last one possibly short: [batch_start, batch_end).
+
+    `keys` holds the `order` values of `df` where `df` itself is expensive to compute (see with_index).
+    """
     size = F.lit(batch_size)
-    return dense_index(df, order).select(
+    return with_index(df, df if keys is None else keys, order).select(
         *df.columns,
         "idx",
         F.expr(f"idx div {batch_size}").alias("batch_id"),
@@ -75,44 +96,28 @@ def _hash60(digest: Column, half: int) -> Column:
 def drawn_positions(row_id: Column, n: Column, k: int, seed: int) -> Column:
     """min(k, n) distinct positions below n, a function of row, seed and n only.
 
-    Small n: all positions ranked by hash. Otherwise hashed draws with repeats removed; should too few
-    differ, the positions after the first draw follow.
+    Hashed draws with repeats removed; should too few differ, the positions after the first draw follow, of
+    which min(k, n) always differ.
     """
     key = F.concat(row_id.cast("string"), F.lit(f":{seed}:"))
-    ranked = F.transform(
-        F.sort_array(
-            F.transform(
-                F.sequence(F.lit(0).cast("bigint"), n - 1),
-                lambda j: F.struct(F.md5(F.concat(key, j.cast("string"))).alias("h"), j.alias("j")),
-            )
-        ),
-        lambda s: s["j"],
-    )
     # Written out one by one, as these stay in generated code, which a function over an array does not.
     digests = [F.md5(F.concat(key, F.lit(str(i)))) for i in range(max(DRAWS, 2 * k) // 2)]
     draws = [_hash60(d, half) % n for d in digests for half in (0, 1)]
     following = [(draws[0] + i) % n for i in range(1, k + 1)]
-    spread = F.array_distinct(F.array(*draws, *following))
-    return F.slice(F.when(n <= max(SMALL, 8 * k), ranked).otherwise(spread), 1, k)
-
-
-def _draw(indexed: DataFrame, k: int, seed: int) -> DataFrame:
-    drawn = indexed.select(
-        "row_id", "split", F.explode(drawn_positions(F.col("row_id"), F.col("n"), k, seed)).alias("idx")
-    )
-    peers = indexed.select(
-        "split", "idx", F.col("row_id").alias("peer_id"), P.extract_predicates("fol").alias("preds")
-    )
-    return drawn.join(peers, ["split", "idx"]).select("row_id", "peer_id", "preds")
+    return F.slice(F.array_distinct(F.array(*draws, *following)), 1, k)
 
 
 def noise_rows(corpus: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """(row_id, peer_id, preds): min(k, n) distinct random rows of the same split, the row itself possible.
 
     An equi-join on (split, idx); positions are uniform, so no join key is hot and the output is k rows
-    per input row.
+    per input row. Only (row_id, split) is sorted to number the rows.
     """
-    return _draw(dense_index(corpus.select("row_id", "split", "fol"), by="split"), k, seed)
+    keys = corpus.select("row_id", "split")
+    peers = with_index(corpus.select("row_id", "split", "fol"), keys, by="split")
+    positions = F.explode(drawn_positions(F.col("row_id"), F.col("n"), k, seed)).alias("idx")
+    named = peers.select("split", "idx", F.col("row_id").alias("peer_id"), P.extract_predicates("fol").alias("preds"))
+    return peers.select("row_id", "split", positions).join(named, ["split", "idx"]).select("row_id", "peer_id", "preds")
 
 
 def noise_predicate_set(noise: DataFrame) -> DataFrame:
@@ -124,9 +129,7 @@ def noise_predicate_set(noise: DataFrame) -> DataFrame:
 
 def with_noise(corpus: DataFrame, k: int = 5, seed: int = 0) -> DataFrame:
     """The corpus with sampled predicate names in `noise`."""
-    indexed = dense_index(corpus, by="split")
-    names = noise_predicate_set(_draw(indexed, k, seed))
-    return indexed.join(names, "row_id").select(*corpus.columns, "noise")
+    return corpus.join(noise_predicate_set(noise_rows(corpus, k, seed)), "row_id").select(*corpus.columns, "noise")
 
 
 def prompt_noisy_preds(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -14,7 +15,6 @@ from formulary.operators import (
     formulas,
     generation,
     metrics,
-    models,
     prompts,
     results,
     sampling,
@@ -31,13 +31,13 @@ from formulary.streaming import predictions as stream
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
-VOCAB_SIZE = 5000
+VOCAB_SIZE = 5000  # of vocab_build, whose feature it is
 BATCH = 32
 FIXED_LENGTH = 512
 TRAINING_LENGTH = 250
 MODELS_HOME = "/models"
 LABELS = "CASE example_id % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' ELSE 'Uncertain' END"
-FILE_ROWS = 200_000
+FILE_ROWS = 150
 
 
 def query(fn: Query) -> Query:
@@ -87,21 +87,6 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-def syllogisms(spark: SparkSession, sf: str) -> DataFrame:
-    """Two premises per part; the conclusion follows for half of the sizes and names a new predicate otherwise."""
-    name, kind = F.replace("p_name", F.lit(" "), F.lit("_")), F.concat(F.lower("p_type"), F.lit("_part"))
-    follows = F.col("p_size") % 2 == 0
-    thing = F.concat(F.lit("(item"), F.col("p_partkey").cast("string"), F.lit(")"))
-    return view(spark, sf, "part").select(
-        F.col("p_partkey").alias("example_id"),
-        F.array(
-            F.concat(F.lit("∀x ("), name, F.lit("(x) → "), kind, F.lit("(x))")), F.concat(name, thing)
-        ).alias("premises_fol"),
-        F.when(follows, F.concat(kind, thing)).otherwise(F.concat(F.lit("spare"), thing)).alias("conclusion_fol"),
-        F.when(follows, "True").otherwise("Uncertain").alias("label"),
-    )
-
-
 def _joined(c: str, sep: str = " ") -> F.Column:
     return F.array_join(F.transform(c, lambda i: i.cast("string")), sep)
 
@@ -250,6 +235,24 @@ def errors_to_requeue(spark, sf):
     return results.errors_to_requeue(predictions(spark, sf)).select("row_id", "run", "nl")
 
 
+@query
+def result_files(spark, sf):
+    """Every stored variant written, read back and brought to one set of columns."""
+    path = scratch_path(spark, "result-files")
+    rows = predictions(spark, sf).withColumns(
+        {
+            "prompt": F.concat(F.lit("Q: "), "nl"),
+            "preds_pred": F.array_join(P.sorted_names(P.extract_predicates("fol_pred")), ", "),
+            "preds_gt": F.array_join(P.sorted_names(P.extract_predicates("fol_gt")), ", "),
+            "reasoning": F.concat(F.lit("because "), "model"),
+            "fallback_used": F.col("run") == 1,
+        }
+    )
+    for variant in writers.RESULT_VARIANTS:
+        writers.write_results(rows, f"{path}/variant={variant}", variant)
+    return results.harmonise_results(readers.read_results(spark, path, folders="variant"))
+
+
 @query
 def harmonise_results(spark, sf):
     return results.harmonise_results(view(spark, sf, "fol_stage1"))
@@ -334,6 +337,14 @@ def progress(spark, sf):
     return results.progress(corpus(spark, sf), predictions(spark, sf), BATCH)
 
 
+@query
+def progress_of_runs(spark, sf):
+    """A run that has no result yet is listed too."""
+    rows = predictions(spark, sf)
+    runs = rows.select("model", "setting").distinct().union(spark.sql("SELECT 'model_c', 'standard'"))
+    return results.progress(corpus(spark, sf), rows, BATCH, runs)
+
+
 @query
 def best_epoch(spark, sf):
     return metrics.best_epoch(view(spark, sf, "train_metrics"))
@@ -411,6 +422,12 @@ def assign_batches(spark, sf):
 
 @query
 def batch_slice(spark, sf):
+    batches = sampling.assign_batches(corpus(spark, sf).select("row_id"), BATCH)
+    return sampling.batch_slice(batches, 3).select("row_id", "idx", "batch_id")
+
+
+@query
+def batch_rows(spark, sf):
     batches = sampling.assign_batches(corpus(spark, sf).select("row_id"), BATCH)
     return sampling.batch_rows(batches).select("batch_id", _joined("row_ids").alias("row_ids"))
 
@@ -541,7 +558,7 @@ def next_stage(spark, sf):
 
 def _vocab(spark, sf):
     """Built once and written down, as a vocabulary is ready before anything is encoded."""
-    return store(encoding.vocab_build(texts(spark, sf), VOCAB_SIZE), "vocab")
+    return store(encoding.vocab_build(texts(spark, sf)), "vocab")
 
 
 @query
@@ -556,6 +573,14 @@ def encode_by_join(spark, sf):
     return ids.select("row_id", _joined("ids").alias("ids"))
 
 
+@query
+def encode_repeated_ids(spark, sf):
+    """Each row_id stands in two rows; the joined way keeps them apart as the shipped way does."""
+    rows = predictions(spark, sf).select("row_id", F.col("fol_pred").alias("text"))
+    ids = encoding.encode(rows, store(encoding.vocab_build(rows), "vocab"), max_shipped=0)
+    return ids.select("row_id", _joined("ids").alias("ids"))
+
+
 @query
 def decode(spark, sf):
     vocab = _vocab(spark, sf)
@@ -565,7 +590,7 @@ def decode(spark, sf):
 @query
 def training_rows(spark, sf):
     rows = prompts.seq2seq_prompt(corpus(spark, sf))
-    vocab = store(encoding.vocab_build(rows, VOCAB_SIZE, "nl"), "vocab")
+    vocab = store(encoding.vocab_build(rows, text="nl"), "vocab")
     fixed = encoding.training_rows(rows, vocab, TRAINING_LENGTH)
     return fixed.select("row_id", *[_joined(c).alias(c) for c in ["input_ids", "attention_mask", "labels"]])
 
@@ -577,8 +602,9 @@ def extend_vocab(spark, sf):
 
 @query
 def batch_pad(spark, sf):
-    ids = encoding.encode(documents(spark, sf), _vocab(spark, sf))
-    batched = sampling.assign_batches(ids, BATCH)
+    rows = documents(spark, sf)
+    ids = encoding.encode(rows, _vocab(spark, sf))
+    batched = sampling.assign_batches(ids, BATCH, keys=rows)
     padded = encoding.batch_pad(batched)
     return padded.select("row_id", "batch_id", _joined("padded").alias("padded"), _joined("mask").alias("mask"))
 
@@ -611,46 +637,74 @@ def verdicts(spark, sf):
     return scoring.verdicts(predictions(spark, sf)).select("row_id", "run", "verdict")
 
 
+# -- generation and streaming ----------------------------------------------------------------------
+
+
 @query
-def bounded_equivalence(spark, sf):
-    judged = models.bounded_equivalence(
-        scoring.verdicts(predictions(spark, sf)), "formula", "fol_gt", spread=("row_id", "run")
-    )
-    return judged.select("row_id", "run", "equivalence")
+def generate(spark, sf):
+    asked = prompts.seq2seq_prompt(corpus(spark, sf)).withColumnRenamed("nl", "prompt")
+    return generation.generate(asked, doubles.load_echo, BATCH).select("row_id", "prompt", "fol_pred")
 
 
 @query
-def bounded_entailment(spark, sf):
-    return models.bounded_entailment(syllogisms(spark, sf)).select("example_id", "label", "entailment")
+def training_data(spark, sf):
+    return prompts.messages_to_rows(flows.training_data(corpus(spark, sf), "chat", "new_tokens"))
 
 
 @query
-def bounded_entailment_chain(spark, sf):
-    return models.bounded_entailment(examples(spark, sf)).select("example_id", "label", "entailment")
+def predict(spark, sf):
+    return flows.predict(corpus(spark, sf), doubles.load_last_turn, "chat", "standard")
+
+
+def _resumed(spark, sf, setting):
+    """A first call is cut short and leaves a half-written batch; the second one goes on."""
+    out = scratch_path(spark, "resumed")
+    rows = corpus(spark, sf)
+    batch_rows = max(1, rows.count() // 4)
+    run = partial(flows.predict_resumable, rows, doubles.load_echo, out, "seq2seq", setting, batch_rows=batch_rows)
+    run(stop_after=2)
+    half = spark.createDataFrame([(-1, "half", "half", "half", "half")], "row_id bigint, nl string, prompt string, fol_gt string, fol_pred string")
+    half.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/batch_id=2")
+    run()
+    return run()
 
 
 @query
-def entailment_vs_label(spark, sf):
-    return models.entailment_vs_label(models.bounded_entailment(syllogisms(spark, sf)))
+def predict_resumable(spark, sf):
+    return _resumed(spark, sf, "standard")
 
 
-# -- generation and streaming ----------------------------------------------------------------------
+@query
+def predict_resumable_noisy(spark, sf):
+    return _resumed(spark, sf, "gt_predicates_noise")
+
+
+def _remote(spark, sf, mode):
+    out = scratch_path(spark, "remote")
+    run = partial(
+        flows.predict_remote, corpus(spark, sf), doubles.flaky_client, out, mode, doubles.NO_WAIT, doubles.steady_client
+    )
+    return run(batch_rows=5_000).drop("attempts", "error")
 
 
 @query
-def generate(spark, sf):
-    asked = prompts.seq2seq_prompt(corpus(spark, sf)).withColumnRenamed("nl", "prompt")
-    return generation.generate(asked, doubles.load_echo, BATCH).select("row_id", "prompt", "fol_pred")
+def predict_remote_none(spark, sf):
+    return _remote(spark, sf, "none")
 
 
 @query
-def training_data(spark, sf):
-    return prompts.messages_to_rows(flows.training_data(corpus(spark, sf), "chat", "new_tokens"))
+def predict_remote_own(spark, sf):
+    return _remote(spark, sf, "own")
 
 
 @query
-def predict(spark, sf):
-    return flows.predict(corpus(spark, sf), doubles.load_last_turn, "chat", "standard")
+def predict_remote_own_noise(spark, sf):
+    return _remote(spark, sf, "own_noise")
+
+
+@query
+def predict_remote_reasoning(spark, sf):
+    return _remote(spark, sf, "reasoning")
 
 
 @query

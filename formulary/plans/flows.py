@@ -1,4 +1,4 @@
-"""The two everyday runs as one call each: training rows, and predictions next to the truth."""
+"""The everyday runs as one call each: training rows, and predictions next to the truth."""
 
 from __future__ import annotations
 
@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from formulary.functions import predicates as P
 from formulary.operators import prompts, sampling
-from formulary.operators.generation import Model, generate
+from formulary.operators.generation import Client, Model, RetryPolicy, call_with_retry, generate
 from formulary.operators.prompts import ChatTemplate
-from formulary.operators.results import chain_stages
+from formulary.operators.results import chain_stages, pending
 from formulary.plans.prompt_spec import spec
+from formulary.session import path_exists, scratch_path
+from formulary.sources.writers import append_progress
 
 
 def training_data(corpus: DataFrame, family: str, setting: str, version: str = "raw", seed: int = 0) -> DataFrame:
@@ -35,15 +37,132 @@ def predict(
     seed: int = 0,
 ) -> DataFrame:
     """(row_id, nl, prompt, fol_pred, fol_gt): one answer per row of (row_id, nl, fol) and what the variant needs."""
-    if spec(family, setting, version)["preds_from"] == "own_noise":
-        corpus = sampling.with_noise(corpus, seed=seed)
-    routed = prompts.route_prompts(corpus, [(family, setting, version)], keep=("nl", "fol"))
-    if family == "seq2seq":
-        asked = routed
-    else:
+    corpus = _with_noise(corpus, family, setting, version, seed)
+    return generate(_asked(corpus, family, setting, version, template, add_generation_prompt), load, batch_size)
+
+
+def _with_noise(corpus: DataFrame, family: str, setting: str, version: str, seed: int) -> DataFrame:
+    noisy = spec(family, setting, version)["preds_from"] == "own_noise"
+    return sampling.with_noise(corpus, seed=seed) if noisy else corpus
+
+
+def _asked(
+    corpus: DataFrame, family: str, setting: str, version: str, template: ChatTemplate, add_generation_prompt: bool
+) -> DataFrame:
+    """(row_id, nl, prompt, fol_gt)."""
+    asked = prompts.route_prompts(corpus, [(family, setting, version)], keep=("nl", "fol"))
+    if family != "seq2seq":
         turns = F.array(prompts.message("system", F.col("system")), prompts.message("user", F.col("nl")))
-        asked = routed.withColumn("prompt", prompts.render_chat(turns, template, add_generation_prompt))
-    return generate(asked.select("row_id", "nl", "prompt", F.col("fol").alias("fol_gt")), load, batch_size)
+        asked = asked.withColumn("prompt", prompts.render_chat(turns, template, add_generation_prompt))
+    return asked.select("row_id", "nl", "prompt", F.col("fol").alias("fol_gt"))
+
+
+def _in_batches(
+    corpus: DataFrame,
+    out_dir: str,
+    batch_rows: int,
+    answer: Callable[[DataFrame], DataFrame],
+    done: DataFrame | None,
+    stop_after: int | None,
+) -> DataFrame:
+    """Answers batch by batch of `batch_rows` rows in the order of row_id, each written before the next begins.
+
+    A batch that an earlier call has finished is not asked again, one that it left half-written is replaced.
+    What is in `done` is not asked. The corpus is written once, a folder per batch, so a batch reads only
+    its rows. `corpus` and `batch_rows` must be those of the earlier call.
+    """
+    spark, root = corpus.sparkSession, scratch_path(corpus.sparkSession, "batches")
+    batches = sampling.assign_batches(corpus, batch_rows).select(*corpus.columns, "batch_id")
+    batches.write.partitionBy("batch_id").parquet(root)
+    batches = spark.read.schema(batches.schema).parquet(root)
+    last = batches.agg(F.max("batch_id")).first()[0]
+    asked = 0
+    for batch_id in range(0 if last is None else last + 1):
+        folder = f"{out_dir.rstrip('/')}/batch_id={batch_id}"
+        if path_exists(spark, f"{folder}/_SUCCESS"):
+            continue
+        if stop_after is not None and asked == stop_after:
+            break
+        rows = batches.filter(F.col("batch_id") == batch_id).drop("batch_id")
+        append_progress(answer(rows if done is None else pending(rows, done)), out_dir, batch_id)
+        asked += 1
+    schema = answer(batches.drop("batch_id").limit(0)).schema
+    if not path_exists(spark, out_dir):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema.add("batch_id", "long")).parquet(out_dir).drop("batch_id")
+
+
+def predict_resumable(
+    corpus: DataFrame,
+    load: Callable[[], Model],
+    out_dir: str,
+    family: str,
+    setting: str,
+    version: str = "raw",
+    batch_size: int = 32,
+    template: ChatTemplate = ChatTemplate(),
+    add_generation_prompt: bool = False,
+    seed: int = 0,
+    batch_rows: int = 1_000_000,
+    done: DataFrame | None = None,
+    stop_after: int | None = None,
+) -> DataFrame:
+    """What predict gives, written under `out_dir` in batches; a call after a broken one goes on where it broke.
+
+    `done` (nl, ...) holds answers of other runs, `stop_after` ends the call after so many batches.
+    """
+    corpus = _with_noise(corpus, family, setting, version, seed)
+
+    def answer(rows: DataFrame) -> DataFrame:
+        return generate(_asked(rows, family, setting, version, template, add_generation_prompt), load, batch_size)
+
+    return _in_batches(corpus, out_dir, batch_rows, answer, done, stop_after)
+
+
+FEW_SHOT_SETTINGS = {
+    "none": "standard",
+    "own": "gt_predicates",
+    "own_noise": "gt_predicates_noise",
+    "reasoning": "reasoning",
+}
+
+
+def predict_remote(
+    corpus: DataFrame,
+    make_client: Callable[[], Client],
+    out_dir: str,
+    mode: str,
+    policy: RetryPolicy = RetryPolicy(),
+    make_fallback: Callable[[], Client] | None = None,
+    seed: int = 0,
+    batch_rows: int = 10_000,
+    done: DataFrame | None = None,
+    stop_after: int | None = None,
+) -> DataFrame:
+    """One remote request per row with the worked examples of `mode`: none, own, own_noise or reasoning.
+
+    (row_id, nl, fol_pred, fol_gt, reasoning, fallback_used, status, attempts, error), written in batches as
+    predict_resumable does, so what has been paid for is kept.
+    """
+    setting = FEW_SHOT_SETTINGS[mode]
+    corpus = _with_noise(corpus, "few_shot", setting, "raw", seed)
+
+    def answer(rows: DataFrame) -> DataFrame:
+        asked = prompts.route_prompts(rows, [("few_shot", setting, "raw")], keep=("nl", "fol"))
+        answered = call_with_retry(asked.select("row_id", "nl", "system", "fol"), make_client, policy, make_fallback)
+        return answered.select(
+            "row_id",
+            "nl",
+            "fol_pred",
+            F.col("fol").alias("fol_gt"),
+            F.col("fol_pred_reasoning").alias("reasoning"),
+            "fallback_used",
+            "status",
+            "attempts",
+            "error",
+        )
+
+    return _in_batches(corpus, out_dir, batch_rows, answer, done, stop_after)
 
 
 def predict_in_two_steps(

@@ -157,7 +157,7 @@ add(
     "fol_corpus",
 )
 
-# 60 bits of md5 per draw; 10 draws, then the positions after the first one. Up to 128 rows: all ranked.
+# 60 bits of md5 per draw; 10 draws, then the positions after the first one.
 NOISE = f"""
   indexed AS (
     SELECT *, row_number() OVER (PARTITION BY split ORDER BY row_id) - 1 AS idx,
@@ -171,15 +171,9 @@ NOISE = f"""
     UNION ALL
     SELECT row_id, split, n, 9 + i, (idx + i) % n FROM hashed, (SELECT unnest(range(1, 6)) AS i) r WHERE ord = 0),
   firsts AS (SELECT row_id, split, n, idx, min(ord) AS ord FROM spread GROUP BY ALL),
-  ranked AS (
-    SELECT a.row_id, a.split, p.idx, row_number() OVER (PARTITION BY a.row_id
-      ORDER BY md5(concat(CAST(a.row_id AS VARCHAR), ':0:', CAST(p.idx AS VARCHAR)))) AS rn
-    FROM indexed a JOIN indexed p ON a.split = p.split WHERE a.n <= 128),
   drawn AS (
-    SELECT row_id, split, idx FROM ranked WHERE rn <= 5
-    UNION ALL
     SELECT row_id, split, idx FROM (
-      SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY ord) AS rn FROM firsts WHERE n > 128) f WHERE rn <= 5),
+      SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY ord) AS rn FROM firsts) f WHERE rn <= 5),
   noise AS (
     SELECT d.row_id, p.row_id AS peer_id, {preds('p.fol')} AS preds
     FROM drawn d JOIN indexed p ON d.split = p.split AND d.idx = p.idx),
@@ -269,6 +263,32 @@ add(
     "fol_stage1",
 )
 
+_STORED = {  # what each stored variant keeps
+    "seq2seq": ["nl", "fol_pred", "fol_gt"],
+    "chat": ["prompt", "fol_pred"],
+    "raw": ["nl", "fol_pred", "fol_gt"],
+    "first_step": ["nl", "preds_pred", "preds_gt", "fol_gt"],
+    "first_step_hyphen": ["nl", "preds_pred", "preds_gt", "fol_gt"],
+    "second_step": ["nl", "fol_pred", "preds_pred", "preds_gt", "fol_gt"],
+    "second_step_hyphen": ["nl", "fol_pred", "preds_pred", "preds_gt", "fol_gt"],
+    "remote": ["nl", "fol_pred", "fol_gt", "reasoning", "fallback_used"],
+}
+_RESULT_COLUMNS = ["nl", "prompt", "fol_pred", "fol_gt", "preds_pred", "preds_gt", "reasoning"]
+add(
+    "result_files",
+    f"WITH r AS (SELECT nl, concat('Q: ', nl) AS prompt, fol_pred, fol_gt, {names(preds('fol_pred'))} AS preds_pred, "
+    f"{names(preds('fol_gt'))} AS preds_gt, concat('because ', model) AS reasoning, run = 1 AS fallback_used "
+    "FROM fol_predictions) "
+    + " UNION ALL ".join(
+        f"SELECT '{variant}' AS variant, "
+        + ", ".join(c if c in kept else f"{_NULL} AS {c}" for c in _RESULT_COLUMNS)
+        + (", fallback_used" if "fallback_used" in kept else ", CAST(NULL AS BOOLEAN) AS fallback_used")
+        + " FROM r"
+        for variant, kept in _STORED.items()
+    ),
+    "fol_predictions",
+)
+
 # -- joins and sets --------------------------------------------------------------------------------
 
 add(
@@ -378,6 +398,11 @@ add(
     "fol_corpus",
     "fol_predictions",
 )
+add(
+    "progress_of_runs",
+    f"{ORACLE['progress']} UNION ALL SELECT 'model_c', 'standard', (SELECT count(*) FROM fol_corpus), 0, "
+    f"CAST(ceil((SELECT count(*) FROM fol_corpus) / {BATCH}.0) AS BIGINT), 0",
+)
 add(
     "best_epoch",
     "SELECT run_id, epoch AS best_epoch, eval_loss AS best_loss FROM (SELECT *, row_number() OVER "
@@ -440,19 +465,27 @@ def encoding_of(out: str, table: str, key: str, text: str) -> str:
     FROM {table} d LEFT JOIN {out}_coded c ON d.{key} = c.row_id GROUP BY d.{key})"""
 
 
-def vocab_of(table: str, text: str) -> str:
+def vocab_of(table: str, text: str, size: int | None = None) -> str:
+    limit = f"ORDER BY n DESC, token LIMIT {size}" if size else ""
     return f"""
   vocab AS (
     SELECT token, CAST(row_number() OVER (ORDER BY n DESC, token) + 1 AS INT) AS id FROM (
       SELECT token, count(*) AS n FROM (SELECT unnest({tokens(text)}) AS token FROM {table}) words
-      GROUP BY token ORDER BY n DESC, token LIMIT {VOCAB_SIZE}) top)"""
+      GROUP BY token {limit}) top)"""
 
 
 VOCAB = vocab_of("documents", "text") + "," + encoding_of("encoded", "documents", "doc_id", "text")
-add("vocab_build", f"WITH {VOCAB} SELECT token, id FROM vocab")
+add("vocab_build", f"WITH {vocab_of('documents', 'text', VOCAB_SIZE)} SELECT token, id FROM vocab")
 _IDS = f"WITH {VOCAB} SELECT row_id, coalesce(array_to_string(ids, ' '), '') AS ids FROM encoded"
 add("encode", _IDS)
 add("encode_by_join", _IDS)
+_RUNS = "runs AS (SELECT concat(row_id, '/', run) AS row_id, fol_pred AS text FROM fol_predictions)"
+add(
+    "encode_repeated_ids",
+    f"WITH {_RUNS}, {vocab_of('runs', 'text')}, {encoding_of('encoded', 'runs', 'row_id', 'text')} "
+    "SELECT CAST(split_part(row_id, '/', 1) AS BIGINT) AS row_id, coalesce(array_to_string(ids, ' '), '') AS ids FROM encoded",
+    "fol_predictions",
+)
 add("decode", f"WITH {VOCAB} SELECT row_id, coalesce(text, '') AS text FROM encoded")
 _ASKED = f"asked AS (SELECT row_id, concat({lit(t.TRANSLATE)}, nl) AS nl, {to_words('fol')} AS label FROM fol_corpus)"
 _PADDED = f"array_to_string(list_resize(coalesce({{0}}, [])[1:{TRAINING_LENGTH}], {TRAINING_LENGTH}, 0), ' ')"
@@ -520,6 +553,11 @@ add(
 )
 add(
     "batch_slice",
+    f"{_BATCHES} SELECT row_id, idx, idx // {BATCH} AS batch_id FROM b WHERE idx // {BATCH} = 3",
+    "fol_corpus",
+)
+add(
+    "batch_rows",
     f"{_BATCHES} SELECT idx // {BATCH} AS batch_id, string_agg(row_id, ' ' ORDER BY idx) AS row_ids FROM b "
     f"GROUP BY idx // {BATCH}",
     "fol_corpus",
@@ -700,25 +738,6 @@ add(
   FROM f GROUP BY example_id""",
 )
 add("verdicts", f"WITH RECURSIVE {CLEAN_MATCH} SELECT row_id, run, verdict FROM judged", "fol_predictions")
-# Known by construction: a prediction equals the truth, is the bare word ERROR, or uses a predicate the
-# truth lacks, and then some interpretation tells them apart.
-add(
-    "bounded_equivalence",
-    f"SELECT row_id, run, CASE WHEN fol_pred = 'ERROR' THEN 'unsupported' "
-    f"WHEN {bare(last_equals('fol_pred'))} = {bare('fol_gt')} THEN 'equivalent' ELSE 'refuted' END AS equivalence "
-    "FROM fol_predictions",
-    "fol_predictions",
-)
-# Known by construction: the conclusion follows exactly for the parts of even size.
-_SYLLOGISMS = (
-    "s AS (SELECT p_partkey AS example_id, CASE WHEN p_size % 2 = 0 THEN 'True' ELSE 'Uncertain' END AS label, "
-    "CASE WHEN p_size % 2 = 0 THEN 'entailed' ELSE 'refuted' END AS entailment FROM part)"
-)
-add("bounded_entailment", f"WITH {_SYLLOGISMS} SELECT example_id, label, entailment FROM s")
-add(
-    "entailment_vs_label",
-    f"WITH {_SYLLOGISMS} SELECT label, entailment AS verdict, count(*) AS n FROM s GROUP BY label, entailment",
-)
 
 # -- generation and streaming ----------------------------------------------------------------------
 
@@ -741,6 +760,18 @@ add(
     "fol AS fol_gt, concat('𝜙=', nl, chr(10)) AS fol_pred FROM fol_corpus",
     "fol_corpus",
 )
+add(
+    "predict_resumable",
+    f"SELECT row_id, nl, {_PROMPT} AS prompt, fol AS fol_gt, concat('echo: ', {_PROMPT}) AS fol_pred FROM fol_corpus",
+    "fol_corpus",
+)
+_NOISY_PROMPT = f"concat({lit(t.TRANSLATE_USING)}, {formatted(BOTH, 'quoted')}, nl)"
+add(
+    "predict_resumable_noisy",
+    f"WITH {NOISE} SELECT row_id, nl, {_NOISY_PROMPT} AS prompt, fol AS fol_gt, concat('echo: ', {_NOISY_PROMPT}) AS fol_pred "
+    "FROM with_noise",
+    "fol_corpus",
+)
 _TWO_STEPS = f"concat({lit(t.TRANSLATE_USING)}, {cut_list('preds_pred', 'last_marker')}, nl)"
 add(
     "predict_in_two_steps",
@@ -769,6 +800,23 @@ add(
   FROM c""",
     "fol_corpus",
 )
+_USING_SHOTS = {names: f"concat({lit(t.FEW_SHOT_USING_HEAD)}, {formatted(names, 'quoted')}, {lit(t.ANSWER)})" for names in (OWN, BOTH)}
+for _mode, _system in {
+    "none": lit(t.FEW_SHOT),
+    "own": _USING_SHOTS[OWN],
+    "own_noise": _USING_SHOTS[BOTH],
+    "reasoning": lit(_FIRST),
+}.items():
+    add(
+        f"predict_remote_{_mode}",
+        f"""WITH {NOISE}, c AS (SELECT row_id, nl, fol, length(nl) % 4 AS fails, nl LIKE '%Brand 7.' AS silent,
+      length({_system}) AS asked FROM with_noise)
+  SELECT row_id, nl, fol AS fol_gt,
+    CASE WHEN fails = 3 THEN 'fallback {len(_FIRST)}' WHEN silent THEN 'fallback {len(_SECOND)}' ELSE concat('𝜙=', asked) END AS fol_pred,
+    CASE WHEN fails < 3 AND silent THEN 'thinking' ELSE '' END AS reasoning, fails = 3 OR silent AS fallback_used,
+    CASE WHEN fails = 3 OR silent THEN 'fallback' ELSE 'ok' END AS status FROM c""",
+        "fol_corpus",
+    )
 add(
     "generate_sequential",
     f"WITH {EXAMPLES} SELECT example_id, premises AS premises_fol, conclusion AS conclusion_fol FROM ex",

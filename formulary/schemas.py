@@ -18,6 +18,21 @@ EXAMPLE_RESULT_FILE = _struct(
     ("conclusion-FOL", _s),
     ("label", _s),
 )
+# Every stored spelling of a result column; a file holds some of them.
+RESULT_FILE = _struct(
+    ("NL", _s),
+    ("PROMPT", _s),
+    ("PRED", _s),
+    ("FOL_PRED", _s),
+    ("GROUND-TRUTH", _s),
+    ("FOL_GROUND-TRUTH", _s),
+    ("FOL-GROUND-TRUTH", _s),
+    ("PREDICATES_PRED", _s),
+    ("PREDICATES_GROUND-TRUTH", _s),
+    ("PREDICATES-GROUND-TRUTH", _s),
+    ("FOL_PRED_REASONING", _s),
+    ("FALLBACK_USED", _b),
+)
 ANSWERED = _struct(("nl", _s), ("prompt", _s), ("fol_pred", _s), ("fol_gt", _s))
 
 NODE = _struct(

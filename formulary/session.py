@@ -62,3 +62,19 @@ def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: fixes partitions and row order, and survives a lost executor."""
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes what this application wrote in the shared folder. Tables that still read it end here."""
+    files, at = _file_system(spark, f"{shared_dir(spark).rstrip('/')}/formulary-{spark.sparkContext.applicationId}")
+    files.delete(at, True)

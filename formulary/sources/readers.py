@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from formulary import schemas
 
@@ -34,3 +34,15 @@ def read_split(spark: SparkSession, root: str, split: str) -> DataFrame:
 def training_languages(df: DataFrame, langs: list[str]) -> DataFrame:
     """Training rows of the given languages. Prunes folders when the table is partitioned by `lang`."""
     return df.filter(F.col("lang").isin(list(langs)))
+
+
+def read_results(spark: SparkSession, path: str, lines: bool = True, folders: str | None = None) -> DataFrame:
+    """Stored results of any variant, with all their spellings; harmonise_results merges those.
+
+    One JSON object per line, or with lines=False one JSON array per file. `folders` names the column of a
+    table that is partitioned by one.
+    """
+    schema = T.StructType(schemas.RESULT_FILE.fields)
+    if folders:
+        schema = schema.add(folders, "string")
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)

@@ -32,3 +32,40 @@ def write_examples_jsonl(df: DataFrame, path: str) -> None:
 def append_progress(df: DataFrame, path: str, batch_id: int) -> None:
     """Add one batch. A repeated batch_id replaces its own rows only, so a retry adds nothing."""
     df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
+
+
+# The stored names of each variant's columns.
+_TWO_STEPS = {"NL": "nl", "PREDICATES_PRED": "preds_pred"}
+RESULT_VARIANTS = {
+    "seq2seq": {"NL": "nl", "PRED": "fol_pred", "GROUND-TRUTH": "fol_gt"},
+    "chat": {"PROMPT": "prompt", "PRED": "fol_pred"},
+    "raw": {"NL": "nl", "FOL_PRED": "fol_pred", "FOL_GROUND-TRUTH": "fol_gt"},
+    "first_step": {**_TWO_STEPS, "PREDICATES_GROUND-TRUTH": "preds_gt", "FOL_GROUND-TRUTH": "fol_gt"},
+    "first_step_hyphen": {**_TWO_STEPS, "PREDICATES_GROUND-TRUTH": "preds_gt", "FOL-GROUND-TRUTH": "fol_gt"},
+    "second_step": {
+        **_TWO_STEPS,
+        "FOL_PRED": "fol_pred",
+        "PREDICATES-GROUND-TRUTH": "preds_gt",
+        "FOL_GROUND-TRUTH": "fol_gt",
+    },
+    "second_step_hyphen": {
+        **_TWO_STEPS,
+        "FOL_PRED": "fol_pred",
+        "PREDICATES-GROUND-TRUTH": "preds_gt",
+        "FOL-GROUND-TRUTH": "fol_gt",
+    },
+    "remote": {
+        "NL": "nl",
+        "FOL_PRED": "fol_pred",
+        "FOL_GROUND-TRUTH": "fol_gt",
+        "FOL_PRED_REASONING": "reasoning",
+        "FALLBACK_USED": "fallback_used",
+    },
+}
+
+
+def write_results(df: DataFrame, path: str, variant: str) -> None:
+    """Results as JSON lines under the stored names of a variant; columns it does not store are left out."""
+    names = RESULT_VARIANTS[variant]
+    out = df.select(*[F.col(c).alias(stored) for stored, c in names.items()])
+    out.write.mode("overwrite").option("ignoreNullFields", False).json(path)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -50,10 +51,18 @@ def predict_batch(
     batch.unpersist()
 
 
-def _first_of_each(chunks: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Repeats within an Arrow batch go before the shuffle, so one frequent sentence fills no task."""
-    for chunk in chunks:
-        yield chunk.drop_duplicates("row_id")
+    for batch in batches:
+        codes = batch.column("key").dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        yield batch.take(pa.array(np.sort(np.unique(codes, return_index=True)[1])))
+
+
+def _demand_large_state(spark: SparkSession) -> None:
+    """Keys are kept for good, so on a cluster they must not lie in the executors' heaps."""
+    provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    if not spark.sparkContext.master.startswith("local") and "RocksDB" not in provider:
+        raise RuntimeError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider")
 
 
 def stream_predictions(
@@ -67,25 +76,30 @@ def stream_predictions(
     files_per_batch: int | None = None,
     done: DataFrame | None = None,
 ) -> StreamingQuery:
-    """Predict once per sentence for the corpus files that appear in `src_dir`, then stop.
+    """Predict once per sentence and formula for the corpus files that appear in `src_dir`, then stop.
 
-    A restart goes on behind the checkpoint. Sentences seen before are known from the query's state, so a
-    batch costs what it brings and never rereads the output; `done` adds results that are older than the
-    query. For a large corpus choose the RocksDB state store.
+    A restart goes on behind the checkpoint. Pairs seen before are known from the query's state by a key of
+    32 bytes, so a batch costs what it brings and never rereads the output; `done` adds results that are
+    older than the query. A sentence with several true formulas is answered next to each of them. The state
+    grows with the different pairs: on a cluster the RocksDB state store is demanded.
     """
+    _demand_large_state(spark)
     reader = spark.readStream.schema(schemas.PAIR_FILE).option("multiLine", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     pairs = reader.json(src_dir).select(
-        text_key("NL").alias("row_id"), F.col("NL").alias("nl"), F.col("FOL").alias("fol")
+        F.unhex(F.sha2(F.to_json(F.array("NL", "FOL")), 256)).alias("key"),
+        text_key("NL").alias("row_id"),
+        F.col("NL").alias("nl"),
+        F.col("FOL").alias("fol"),
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        predict_batch(batch, batch_id, out_dir, load, request, batch_size, done)
+        predict_batch(batch.drop("key"), batch_id, out_dir, load, request, batch_size, done)
 
     return (
-        pairs.mapInPandas(_first_of_each, pairs.schema)
-        .dropDuplicates(["row_id"])
+        pairs.mapInArrow(_first_of_each, pairs.schema)
+        .dropDuplicates(["key"])
         .writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,3 +1,4 @@
+import pytest
 import random
 
 from pyspark.sql import functions as F
@@ -79,3 +80,26 @@ def test_padding(spark):
     assert right[2] == ([8, 9, 9], [1, 0, 0])
     fixed = encoding.fixed_length(df, 2).orderBy("row_id").collect()
     assert [(r.input_ids, r.attention_mask) for r in fixed] == [([5, 6], [1, 1]), ([8, 0], [1, 0]), ([0, 0], [0, 0])]
+
+
+def test_rows_that_share_an_id_stay_apart(spark):
+    rows = [(1, "a b"), (1, "b c"), (2, "a"), (2, None), (3, "zz")]
+    df = spark.createDataFrame(rows, "row_id int, text string")
+    vocab = encoding.vocab_build(df)
+    shipped, joined = (encoding.encode(df, vocab, max_shipped=n) for n in (100, 0))
+    as_list = lambda out: sorted((r.row_id, list(r[1])) for r in out.collect())
+    assert as_list(shipped) == as_list(joined) and len(as_list(joined)) == 5
+    texts = [sorted(map(tuple, encoding.decode(shipped, vocab, max_shipped=n).collect())) for n in (100, 0)]
+    assert texts[0] == texts[1] == sorted((i, t or "") for i, t in rows)
+
+
+def test_whole_vocabulary(spark):
+    df = spark.createDataFrame([(1, "b a a c c c"), (2, "d b")], "row_id int, text string")
+    got = [(r.token, r.id) for r in encoding.vocab_build(df).orderBy("id").collect()]
+    assert got == [("c", 2), ("a", 3), ("b", 4), ("d", 5)]
+
+
+def test_extension_is_a_short_list(spark):
+    vocab = spark.createDataFrame([("a", 2)], "token string, id int")
+    with pytest.raises(ValueError):
+        encoding.extend_vocab(vocab, [f"t{i}" for i in range(encoding.MAX_EXTENSION + 1)])

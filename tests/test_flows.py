@@ -39,3 +39,46 @@ def test_families(spark):
     paths = [(f"/hf/{m}/standard",) for m in MODEL_FAMILIES] + [(m,) for m in MODEL_FAMILIES] + [("other/model",)]
     got = [r.f for r in spark.createDataFrame(paths, "p string").select(model_family("p", "/hf").alias("f")).collect()]
     assert got == [*MODEL_FAMILIES.values(), *MODEL_FAMILIES.values(), None]
+
+
+def test_resume_goes_on_where_it_broke(spark, tmp_path):
+    out = str(tmp_path / "answers")
+    rows = corpus(spark)
+    asked = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(prompts):
+            asked.add(len(prompts))
+            return [f"echo: {p}" for p in prompts]
+
+        return model
+
+    run = lambda **kw: flows.predict_resumable(rows, load, out, "seq2seq", "standard", batch_rows=5, **kw)
+    assert run(stop_after=1).count() == 5 and asked.value == 5
+    spark.createDataFrame([(99, "half", "", "", "")], "row_id bigint, nl string, prompt string, fol_gt string, fol_pred string").write.option(
+        "mapreduce.fileoutputcommitter.marksuccessfuljobs", "false"
+    ).parquet(f"{out}/batch_id=1")
+    want = sorted(map(tuple, flows.predict(rows, doubles.load_echo, "seq2seq", "standard").select("row_id", "fol_pred").collect()))
+    assert sorted(map(tuple, run().select("row_id", "fol_pred").collect())) == want and asked.value == 12
+    assert sorted(map(tuple, run().select("row_id", "fol_pred").collect())) == want and asked.value == 12
+
+
+def test_earlier_results_are_not_asked_again(spark, tmp_path):
+    done = spark.createDataFrame([("Sentence 3.", "x")], "nl string, fol_pred string")
+    got = flows.predict_resumable(corpus(spark), doubles.load_echo, str(tmp_path / "o"), "seq2seq", "standard", done=done)
+    assert got.count() == 11 and "Sentence 3." not in {r.nl for r in got.collect()}
+
+
+def test_remote_run_keeps_what_was_paid_for(spark, tmp_path):
+    out = str(tmp_path / "paid")
+    run = lambda **kw: flows.predict_remote(
+        corpus(spark), doubles.steady_client, out, "own", doubles.NO_WAIT, batch_rows=4, **kw
+    )
+    assert run(stop_after=2).count() == 8
+    got = run().collect()
+    assert len(got) == 12 and all(r.status == "ok" and r.fol_pred.startswith("fallback ") for r in got)
+
+
+def test_empty_corpus(spark, tmp_path):
+    got = flows.predict_resumable(corpus(spark).limit(0), doubles.load_echo, str(tmp_path / "e"), "seq2seq", "standard")
+    assert got.count() == 0 and "fol_pred" in got.columns

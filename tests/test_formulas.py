@@ -60,11 +60,17 @@ def test_broken(text):
 
 
 def test_deep_nesting():
-    deep = "(" * 1500 + "Cat(x)" + ")" * 1500
+    deep = "(" * 12_000 + "Cat(x)" + ")" * 12_000
     assert written(grammar.parse(deep)[0]) == "Cat(x)"
-    assert grammar.parse("¬" * 3000 + "Cat(x)")[0][0] == "not"
+    tree = grammar.parse("¬" * 25_000 + "Cat(x)")[0]
+    assert len(grammar.nodes(tree)) == 25_002 and grammar.prover_text(tree) == "-" * 25_000 + "Cat(x)"
+    tree = grammar.parse("∀x " * 2_000 + "Cat(x)")[0]
+    assert grammar.nodes(tree)[-1][6] == 2_000
+    tree, _ = grammar.parse(" → ".join(f"Cat{i}(x)" for i in range(3_000)))
+    assert tree[0] == "implies" and tree[2][0][1] == "Cat0"
     with pytest.raises(grammar.FormulaError):
-        grammar.parse("(" * 50_000 + "Cat(x)" + ")" * 50_000)
+        grammar.parse("(" * 12_000 + "Cat(x)")
+
 
 
 def test_parse_columns(spark):

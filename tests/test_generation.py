@@ -92,7 +92,7 @@ def test_waits_grow():
         raise OSError("down")
 
     assert G._try(broken, "s", "u", policy) == (None, 4, "OSError: down")
-    assert waits == [4, 8, 16, 32]
+    assert waits == [4, 8, 16]  # none after the last attempt
 
 
 def test_chain(spark):
@@ -112,3 +112,39 @@ def test_chain(spark):
     assert "<assistant>;<user>t;" in first
     assert "<assistant>Previously translated premises in FOL:\n;<user>t;" in G._chain_prompt(template, "t", [], True)
     assert "FOL:\n𝜙1 = A\n𝜙2 = B;<user>t;" in G._chain_prompt(template, "t", ["A", "B"], False)
+
+
+def test_chain_sees_small_batches(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def load():
+        def model(asked):
+            assert len(asked) <= 8
+            seen.add(1)
+            return ["𝜙=A(x)"] * len(asked)
+
+        return model
+
+    rows = [(i, ["One.", "Two."], "Three.") for i in range(50)]
+    df = spark.createDataFrame(rows, "example_id int, premises array<string>, conclusion string").coalesce(1)
+    done = G.generate_sequential(df, load, batch_size=8).collect()
+    assert all(r.premises_fol == ["A(x)", "A(x)"] and r.conclusion_fol == "A(x)" for r in done) and len(done) == 50
+    assert seen.value == 21
+
+
+def test_no_wait_after_the_last_attempt():
+    waits = []
+    policy = G.RetryPolicy(attempts=3, sleep=waits.append)
+
+    def client(system, user):
+        raise ConnectionError("busy")
+
+    assert G._try(client, "", "", policy) == (None, 3, "ConnectionError: busy")
+    assert waits == [4.0, 8.0]
+
+
+def test_answers_leave_in_small_portions():
+    import pyarrow as pa
+
+    parts = list(G._portions(pa.RecordBatch.from_pydict({"a": list(range(10))}), 4))
+    assert [p.num_rows for p in parts] == [4, 4, 2]

@@ -74,18 +74,21 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert stream.stored(spark, out).count() == 0
     write_pairs(src, "1.json", ["a", "b", "a"])
     write_pairs(src, "2.json", ["b", "c"])
+    write_pairs(src, "2b.json", ["b", "c"])
     run = lambda **kw: stream.stream_predictions(
         spark, str(src), out, state, doubles.load_echo, files_per_batch=1, **kw
     ).awaitTermination()
     run()
     first = stream.stored(spark, out)
-    assert sorted(r.nl for r in first.collect()) == ["a", "b", "c"]
+    # A pair of sentence and formula is answered once, wherever it is repeated.
+    pairs = lambda rows: sorted((r.nl, r.fol_gt) for r in rows)
+    assert pairs(first.collect()) == [("a", "F0(x)"), ("a", "F2(x)"), ("b", "F0(x)"), ("b", "F1(x)"), ("c", "F1(x)")]
     run()
-    assert stream.stored(spark, out).count() == 3
+    assert stream.stored(spark, out).count() == 5
     write_pairs(src, "3.json", ["c", "d", "e", "d"])
     run(done=spark.createDataFrame([("e",)], "nl string"))
     rows = stream.stored(spark, out).collect()
-    assert sorted(r.nl for r in rows) == ["a", "b", "c", "d"]
+    assert pairs(rows)[5:] == [("c", "F1(x)"), ("d", "F1(x)"), ("d", "F3(x)")] and len(rows) == 8
     batch = spark.createDataFrame([(i, n, "F") for i, n in enumerate("abcd")], "row_id int, nl string, fol string")
     asked = prompts.seq2seq_prompt(batch).withColumnRenamed("nl", "prompt")
     want = {(r.prompt, r.fol_pred) for r in generation.generate(asked, doubles.load_echo).collect()}

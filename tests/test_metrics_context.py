@@ -68,3 +68,14 @@ def test_conclusion_context(spark):
     got = {r.example_id: r.context for r in context.conclusion_context(df).collect()}
     head = "Previously translated premises in FOL:\n"
     assert got == {1: head + "𝜙1 = A\n𝜙2 = B", 2: head}
+
+
+def test_long_conversation_and_its_plan(spark):
+    from conftest import plan_of
+
+    turns = spark.range(3_000).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "concat('t', id) AS text")
+    out = context.running_chat_context(turns)
+    last = out.filter("turn = 2999").first().messages[1]["content"].split("\n")
+    assert last[-1].endswith("2999 = t2998") and len([x for x in last if " = t" in x]) == 2999
+    windows = [line for line in plan_of(out).splitlines() if "Window" in line and "_lines" in line]
+    assert not windows  # texts are never ordered over a whole conversation

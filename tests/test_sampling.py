@@ -68,3 +68,28 @@ def test_noise_set(spark):
     assert all(v == sorted(v) and "Both" in v and len(v) == 6 for v in sets.values())
     kept = sampling.with_noise(df).collect()
     assert {r.row_id: r.noise for r in kept} == sets
+
+
+def test_numbering_sorts_keys_only(spark):
+    from conftest import plan_of
+
+    rows = spark.range(500).selectExpr("id AS row_id", "repeat('x', 100) AS wide")
+    out = sampling.assign_batches(rows, 32)
+    assert sorted((r.row_id, r.batch_id) for r in out.collect()) == [(i, i // 32) for i in range(500)]
+    assert "rangepartitioning" not in plan_of(out)  # the sort is done, over row_id alone, and written down
+    numbered = [line for line in plan_of(out).splitlines() if "indexed" in line]
+    assert not any("wide" in line for line in numbered)
+
+
+def test_rows_that_share_an_order_value_share_out_its_numbers(spark):
+    rows = spark.createDataFrame([(1, "a"), (1, "b"), (1, "c"), (0, "d")], "row_id int, x string")
+    got = sampling.with_index(rows, rows).collect()
+    assert sorted(r.idx for r in got if r.row_id == 1) == [1, 2, 3] and {r.n for r in got} == {4}
+
+
+def test_draws_follow_one_rule_for_every_size(spark):
+    for n in (1, 2, 4, 5, 6, 128, 129, 10_000):
+        df = spark.range(40).withColumn("n", F.lit(n).cast("bigint"))
+        got = df.select(sampling.drawn_positions(F.col("id"), F.col("n"), 5, 0).alias("p")).collect()
+        for r in got:
+            assert len(r.p) == len(set(r.p)) == min(5, n) and all(0 <= p < n for p in r.p)
