@@ -1,4 +1,7 @@
-"""Registered queries of the numbered operators: each applies one operator to its whole table."""
+"""Registered queries of the numbered operators: each applies one operator to its whole table.
+
+SQL holds the checking SQL of some of them.
+"""
 
 from __future__ import annotations
 
@@ -7,11 +10,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from formulary.llm import ann, jaccard, licences, mixing, packing, sharding, simhash, substrings, toxicity, warc
+from formulary.llm.oracle import SQL
 from formulary.llm.tables import table
 
+__all__ = ["QUERIES", "SQL"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
