@@ -27,7 +27,10 @@ TOP = 10  # gains are counted as 0 .. TOP - 1 bytes
 CACHED_WORDS = 400_000
 CACHED_BYTES = 40
 LEVEL = 6
-TOXIC_BYTES, ORDINARY_BYTES, SHORT_BYTES = 512, 2048, 256
+SHORT_BYTES = 256
+# Sizes of the toxic and the ordinary dictionary to choose from, on TRIED labelled texts of each class.
+SIZES = ((256, 2048), (384, 2048), (512, 2048), (768, 2048), (1024, 2048), (1024, 8192), (2048, 8192))
+TRIED = 300
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -126,6 +129,20 @@ def _logistic(x: np.ndarray, y: np.ndarray, share: np.ndarray, ridge: float = 0.
     return out
 
 
+def _separation(model: Model, plain: list[list[bytes]], toxic: list[list[bytes]]) -> float:
+    """How well the number of windows that gain over both dictionaries tells two lists of texts apart, 0 to 1."""
+    gains = model.gains()
+    least = np.minimum(np.arange(TOP * TOP) // TOP, np.arange(TOP * TOP) % TOP)
+    found = [[least[[gains[w] for w in words] or [0]] for words in docs] for docs in (plain, toxic)]
+    best = 0.0
+    for level in (2, 3, 4):
+        low, high = (np.array([(g >= level).sum() for g in docs]) for docs in found)
+        low = np.sort(low)
+        under, upto = (np.searchsorted(low, high, side) for side in ("left", "right"))
+        best = max(best, float((under + upto).mean() / (2 * len(low))))
+    return best
+
+
 def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: int = 0) -> Model:
     """Train dictionaries and calibration on labelled texts; `toxic_share` is the rate among all labelled rows."""
     docs, y = [words_of(t) for t in texts], np.array(labels, float)
@@ -152,12 +169,10 @@ def fit(texts: list[str | None], labels: list[int], toxic_share: float, seed: in
     strong = [s for s in sorted(stems) for _ in range(200)] or [b"\x06"]
     rng.shuffle(strong)
     rng.shuffle(plain)
-    short = _dictionary(SHORT_BYTES, plain[:20_000])
-    model = Model(
-        _dictionary(TOXIC_BYTES, strong),
-        _dictionary(ORDINARY_BYTES, plain[:20_000]),
-        short[: -10 - 60] + FRAME + FRAME,
-    )
+    short = _dictionary(SHORT_BYTES, plain[:20_000])[: -10 - 60] + FRAME + FRAME
+    tried = [[w for w, label in zip(docs, labels) if label == kind][:TRIED] for kind in (0, 1)]
+    made = (Model(_dictionary(a, strong), _dictionary(b, plain[:20_000]), short) for a, b in SIZES)
+    model = max(made, key=lambda m: _separation(m, *tried))
     gains = model.gains()
     x = np.array([_features(words, gains) for words in docs])
     share = np.where(y == 1, toxic_share * len(y) / n_toxic, (1 - toxic_share) * len(y) / n_plain)
