@@ -25,9 +25,9 @@ SIZE = 1024
 END = 2  # id after every document
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"  # the one string that the vocabulary treats apart
-NODES = 3_000  # nodes of the search; whatever is best by then is used
+NODES = 1_000  # nodes of the search beyond its first plan; whatever is best by then is used
 WIDTH = 4  # fillings tried around one longest piece
-STEPS = 3_000  # steps to list the fillings of one room
+STEPS = 400  # steps to list the fillings of one room
 
 
 # -- token ids -------------------------------------------------------------------------------------
@@ -118,42 +118,46 @@ def dominates(a: Filling, b: Filling) -> bool:
 def fillings(counts: list[int], room: int, width: int = WIDTH, steps: int = STEPS) -> list[Filling]:
     """Up to `width` undominated fillings of `room` from `counts` pieces per length, least waste first.
 
-    The greedy filling, longest piece first, is always listed, so the search never ends without one.
+    Longest pieces come first, so the greedy filling is always among the listed ones. Listing ends after
+    `width` fillings without waste or after `steps` steps.
     """
+    if room and room < len(counts) and counts[room]:
+        return [((room, 1),)]  # fills the room alone and so dominates every other filling
     present = [length for length in range(min(room, len(counts) - 1), 0, -1) if counts[length] > 0]
+    if not present:
+        return [()]
     found: list[tuple[int, int, Filling]] = []
-    left = steps
-
-    def walk(k: int, room: int, held: list[tuple[int, int]], n: int) -> None:
-        nonlocal left
-        while k < len(present) and present[k] > room:
-            k += 1
-        if room == 0 or k == len(present):
-            found.append((room, n, tuple(held)))
-            return
-        exact = [f for f in found if f[0] == 0]
-        if left <= 0 or len(exact) >= width:
-            return
+    exact, left, least = 0, steps, present[-1]
+
+    def walk(k: int, room: int, held: Filling, n: int) -> None:
+        nonlocal exact, left
         left -= 1
+        if room < least:
+            found.append((room, n, held))
+            exact += room == 0
+            return
+        stuck = True
         for j in range(k, len(present)):
             length = present[j]
             if length > room:
                 continue
-            many = min(counts[length], room // length)
-            for m in range(many, 0, -1):
-                walk(j + 1, room - m * length, [*held, (length, m)], n + m)
-                if left <= 0 or sum(1 for f in found if f[0] == 0) >= width:
+            stuck = False
+            for m in range(min(counts[length], room // length), 0, -1):
+                walk(j + 1, room - m * length, (*held, (length, m)), n + m)
+                if left <= 0 or exact >= width:
                     return
+        if stuck:
+            found.append((room, n, held))
 
-    walk(0, room, [], 0)
+    walk(0, room, (), 0)
     found.sort(key=lambda f: (f[0], f[1], [-length for length, _ in f[2]]))
     out: list[Filling] = []
-    for _, _, filling in found[: 8 * width]:
+    for _, _, filling in found[: 4 * width]:
         if not any(dominates(kept, filling) for kept in out):
             out.append(filling)
         if len(out) == width:
             break
-    return out or [()]
+    return out
 
 
 Pattern = tuple[Filling, int]  # pieces of a sequence, and how many sequences are like it
@@ -200,9 +204,9 @@ def plan(counts: list[int], size: int = SIZE, nodes: int = NODES) -> list[Patter
         if best is not None and (best_n == bound or spent >= nodes):
             return best
         if not dead:
-            spent += 1
+            spent += best is not None
             at[top] -= 1
-            options = fillings(at, size - top, 1 if best is None and spent > nodes else WIDTH)
+            options = fillings(at, size - top)
             at[top] += 1
             options = [_around(top, f) for f in options]
             stack.append((options[1:], list(at), used, waste))
