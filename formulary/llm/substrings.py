@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -92,7 +92,7 @@ class Hasher:
             at = end + 1
         return np.concatenate(parts) if parts else np.zeros(0, np.uint64)
 
-    def portions(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def portions(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(row numbers, words of each row, hashes of all their words), about CHUNK bytes of text at once."""
         rows: list[int] = []
         counts: list[int] = []
@@ -172,7 +172,7 @@ def _anchor_rows(size: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], I
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
-            for rows, counts, words in hasher.portions(batch.column("text").to_pylist()):
+            for rows, counts, words in hasher.portions(t.as_py() for t in batch.column("text")):
                 row, a, e, first, n = anchors_of(words, counts, size, seed, hasher)
                 place = (tags[rows[row]] << 48) | (first << RUN_BITS) | (n - 1)
                 yield pa.RecordBatch.from_arrays(
@@ -190,7 +190,7 @@ def _window_rows(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             runs = batch.column("open")
-            for rows, counts, words in hasher.portions(batch.column("text").to_pylist()):
+            for rows, counts, words in hasher.portions(t.as_py() for t in batch.column("text")):
                 listed = runs.take(pa.array(rows))
                 places = listed.flatten().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(rows)), listed.value_lengths().to_numpy(zero_copy_only=False))
@@ -237,20 +237,22 @@ def repeats(
         F.max("doc_id").alias("hi"),
         (F.min("e") != F.max("e")).alias("differ"),
     )
-    shared = rows.join(ends.filter("lo < hi").select("a", "lo", "differ"), "a").filter("differ OR doc_id > lo")
+    # Written down, both sides of the join are plain exchanges, in which Spark splits a frequent anchor.
+    ends = stored(ends.filter("lo < hi").select("a", "lo", "differ"), "anchors", heavy=True)
+    shared = rows.join(ends, "a").filter("differ OR doc_id > lo")
     # Where all extensions of an anchor are equal, every document but the smallest repeats it.
     only = [F.when(F.col("differ"), F.col(c)).alias(c) for c in ("a", "e")]
-    seeds = stored(shared.select(*only, "doc_id", "place", "differ"), "shared-anchors")
+    seeds = stored(shared.select(*only, "doc_id", "place", "differ"), "shared-anchors", heavy=True)
 
     # Of extensions that are equal among differing ones, the one in the smallest doc_id stays to be compared.
     differing = seeds.filter("differ").select("a", "e", "doc_id", "place")
-    least = differing.groupBy("a", "e").agg(F.min("doc_id").alias("least"))
+    least = stored(differing.groupBy("a", "e").agg(F.min("doc_id").alias("least")), "extensions")
     tag = F.shiftright("place", 48).cast("int").alias("tag")
     runs = differing.join(least, ["a", "e"]).select(
         "doc_id", tag, "place", (F.col("doc_id") > F.col("least")).alias("matched")
     )
     equal = seeds.filter("NOT differ").select("doc_id", tag, "place", F.lit(True).alias("matched"))
-    runs = stored(runs.unionByName(equal), "runs")
+    runs = stored(runs.unionByName(equal), "runs", heavy=True)
 
     named = docs.filter("doc_id IS NOT NULL")
     by_doc = named.select(F.col("doc_id").cast("bigint"), text_tag().alias("tag"), "text", *more)
@@ -260,8 +262,10 @@ def repeats(
     windows = opened.mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, place bigint")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     late = windows.join(least.filter("lo < hi").select("w1", "w2", "lo"), ["w1", "w2"]).filter("doc_id > lo")
+    # Written down, so that the windows' shuffle files can go before the texts meet their repeats.
+    late = stored(late.select("doc_id", tag, "place"), "late-windows", heavy=True)
     matched = runs.filter("matched").select("doc_id", "tag", "place")
-    found = matched.unionByName(late.select("doc_id", tag, "place")).select(
+    found = matched.unionByName(late).select(
         "doc_id",
         "tag",
         F.expr(f"shiftright(place & {(1 << 48) - 1}, {RUN_BITS})").alias("start"),

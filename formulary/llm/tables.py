@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
@@ -28,16 +29,20 @@ def text_key(c: str | Column = "text") -> Column:
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of jobs that nothing refers to any more.
 
-    Spark does so when the driver collects garbage; between the phases of one operator that may be too late.
+    Spark does so some time after the driver has collected garbage; between the phases of one operator that
+    may be too late, so this collects, twice as the first round only finds what can go, and gives it a moment.
     """
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.7)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """`df` as a table written in the shared folder; what led to it needs no disk from here on."""
+def stored(df: DataFrame, name: str, heavy: bool = False) -> DataFrame:
+    """`df` as a table written in the shared folder. `heavy`: what led to it shuffled much that can go now."""
     out = store(df, name)
-    release(df.sparkSession)
+    if heavy:
+        release(df.sparkSession)
     return out
 
 
