@@ -5,7 +5,7 @@ from __future__ import annotations
 import gc
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from formulary.session import store
 
@@ -16,16 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def same(a: Column, b: Column) -> Column:
-    """Equality under which null equals null, for join conditions."""
-    return a.eqNullSafe(b)
-
-
-def text_key(c: str | Column = "text") -> Column:
-    """64-bit key of a text. Next to doc_id it tells rows apart whose doc_id is repeated."""
-    return F.xxhash64(F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("\x00null")))
-
-
 def release(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of jobs that nothing refers to any more.
 
