@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from formulary.functions import predicates as P, text as X
 from formulary.plans import fixed_texts as t
-from formulary.plans.prompt_spec import prompt_spec, spec
+from formulary.plans.prompt_spec import spec
 
 
 @dataclass(frozen=True)
@@ -50,11 +50,13 @@ def _names(df: DataFrame, formula: Column) -> tuple[Column, Column]:
 def _text(df: DataFrame, s: dict[str, Column], own: Column, both: Column) -> Column:
     """Instruction text of a row: head, predicate list, tail."""
     predicted = F.col("preds_pred") if "preds_pred" in df.columns else F.lit("")
+    thoughts = F.coalesce("thoughts", F.lit("")) if "thoughts" in df.columns else F.lit("")
     listed = (
         F.when(s["preds_from"] == "own", P.format_bare(own, s["list_fmt"]))
         .when(s["preds_from"] == "own_noise", P.format_bare(both, s["list_fmt"]))
         .when(s["preds_from"] == "predicted", X.predicted_list(predicted, s["list_rule"]))
-        .otherwise("")
+        .when((s["preds_from"] == "thoughts") & (thoughts != ""), F.concat(F.lit(t.EARLIER_THOUGHTS), thoughts))
+        .otherwise("")  # a running context is a message of its own
     )
     return F.concat(s["head"], listed, s["tail"])
 
@@ -166,17 +168,12 @@ def route_prompts(
 ) -> DataFrame:
     """Prompts for several (family, setting, version) requests in one pass over the corpus.
 
-    Each row is exploded to the requested variants and meets the routing table in a broadcast equi-join;
-    the table is a fixed list of some dozens of rows.
+    Each row is exploded to the requested variants with what the routing table says of them: that is known
+    while planning, so nothing is joined.
     """
-    wanted = F.array(
-        *[
-            F.struct(F.lit(f).alias("family"), F.lit(s).alias("setting"), F.lit(v).alias("version"))
-            for f, s, v in requests
-        ]
-    )
     # What several variants share is worked out once per row, and only if some variant asks for it.
     specs = [spec(*r) for r in requests]
+    wanted = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in s.items()]) for s in specs])
     spellings = {s["literal_map"] for s in specs}
     listing = any(s["preds_from"] in ("own", "own_noise") or s["label_kind"] == "list" for s in specs)
     shared = {"_none": F.col("fol")}
@@ -185,8 +182,7 @@ def route_prompts(
         shared[f"{m}_own"], shared[f"{m}_both"] = _names(df, shared[m])
     prepared = df.withColumns(shared)
 
-    tagged = prepared.withColumn("_req", F.explode(wanted)).select("*", "_req.*").drop("_req")
-    routed = tagged.join(F.broadcast(prompt_spec(df.sparkSession)), ["family", "setting", "version"])
+    routed = prepared.withColumn("_req", F.explode(wanted)).select("*", "_req.*").drop("_req")
     s = {
         name: F.col(name)
         for name in ["head", "tail", "preds_from", "list_fmt", "list_rule", "label_kind", "literal_map"]

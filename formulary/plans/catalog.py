@@ -224,6 +224,15 @@ def route_prompts(spark, sf):
     return prompts.route_prompts(sampling.with_noise(corpus(spark, sf)), requests)
 
 
+@query
+def route_prompts_given(spark, sf):
+    """The variants whose text depends on what a model said before, and the premise chain."""
+    thoughts = F.when(F.col("row_id") % 2 == 1, F.concat(F.lit("I think "), "nl"))
+    rows = corpus(spark, sf).join(view(spark, sf, "fol_stage1").select("row_id", "preds_pred"), "row_id")
+    requests = [r[:3] for r in ROWS if r[5] in ("predicted", "thoughts", "context")]
+    return prompts.route_prompts(rows.withColumn("thoughts", thoughts), requests)
+
+
 @query
 def nonempty_conclusions(spark, sf):
     ends = view(spark, sf, "fol_premises").filter(F.col("kind") == "conclusion")

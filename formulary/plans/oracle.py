@@ -245,6 +245,33 @@ add(
     f"WITH {NOISE} " + "\nUNION ALL ".join(_routed(r) for r in ROWS if r[5] in ("none", "own", "own_noise")),
     "fol_corpus",
 )
+# Stated one by one, without the routing table.
+_NO_TEXT = "CAST(NULL AS VARCHAR)"
+_GIVEN = [
+    ("seq2seq", "2step_2", "raw", _NO_TEXT, f"concat({lit(t.TRANSLATE_USING)}, {cut_list('preds_pred', 'last_marker')}, c.nl)", "c.fol"),
+    ("chat", "2step_2", "raw", f"concat({lit(t.SYSTEM_USING_HEAD)}, {cut_list('preds_pred', 'last_line')}, {lit(t.ANSWER)})", "c.nl", _NO_TEXT),
+    ("chat", "2step_2", "raw_marker", f"concat({lit(t.SYSTEM_USING_HEAD)}, {cut_list('preds_pred', 'last_marker')}, {lit(t.ANSWER)})", "c.nl", _NO_TEXT),
+    (
+        "few_shot",
+        "reasoning_fallback",
+        "raw",
+        f"concat({lit(t.FEW_SHOT_REASONING_HEAD)}, CASE WHEN c.row_id % 2 = 1 THEN concat({lit(t.EARLIER_THOUGHTS)}, 'I think ', c.nl) "
+        f"ELSE '' END, {lit(t.ANSWER)})",
+        "c.nl",
+        _NO_TEXT,
+    ),
+    ("chain", "premises", "raw", lit(t.CHAIN_SYSTEM), "c.nl", _NO_TEXT),
+]
+add(
+    "route_prompts_given",
+    "\nUNION ALL ".join(
+        f"SELECT c.row_id, '{f}' AS family, '{s}' AS setting, '{v}' AS version, {system} AS system, {prompt} AS prompt, {label} AS label "
+        "FROM fol_corpus c JOIN fol_stage1 s ON c.row_id = s.row_id"
+        for f, s, v, system, prompt, label in _GIVEN
+    ),
+    "fol_corpus",
+    "fol_stage1",
+)
 add(
     "nonempty_conclusions",
     "SELECT example_id, text AS conclusion FROM fol_premises WHERE kind = 'conclusion' AND text <> ''",
