@@ -8,7 +8,7 @@ node's texts. Equal shingle sets count as one text with copies.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ def prefix_length(threshold: float, recall: float, trees: int = TREES, deepest:
     raise ValueError("too few trees for this recall")
 
 
-def shingle_sets(texts: list[str | None], hasher: Hasher, size: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
+def shingle_sets(texts: Iterable[str | None], hasher: Hasher, size: int = WORDS) -> Iterator[tuple[int, np.ndarray]]:
     """(row, its shingles as sorted different hashes) of every text with a word.
 
     A text of fewer than `size` words is one shingle.
@@ -104,7 +104,7 @@ def labels(texts: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
                     [ids, tags, keys, counts, nodes], ["doc_id", "tag", "item", "shingles", "nodes"]
                 )
 
-            for row, shingles in shingle_sets(batch.column("text").to_pylist(), hasher, size):
+            for row, shingles in shingle_sets((t.as_py() for t in batch.column("text")), hasher, size):
                 rows.append(row)
                 sets.append(shingles)
                 held += len(shingles)
@@ -208,7 +208,7 @@ def _verify(threshold: float, size: int):
             keys = list(zip(*(batch.column(c).to_pylist() for c in BLOCK)))
             items, copies, part = (batch.column(c).to_pylist() for c in ("item", "copies", "part"))
             nodes = batch.column("nodes").flatten().to_numpy().reshape(len(keys), -1)
-            for row, shingles in shingle_sets(batch.column("text").to_pylist(), hasher, size):
+            for row, shingles in shingle_sets((t.as_py() for t in batch.column("text")), hasher, size):
                 if keys[row] != key:
                     if (done := block()) is not None:
                         yield done
@@ -250,7 +250,7 @@ def links(docs: DataFrame, threshold: float, recall: float, size: int) -> tuple[
     members = at.join(nodes, ["tree", "node"]).select(
         "tree", "node", "item", "chunks", F.pmod(F.xxhash64("item", "tree"), F.col("chunks")).cast("int").alias("part")
     )
-    members = stored(members, "members")
+    members = stored(members, "members", heavy=True)
     # A text meets each chunk of its node in one block.
     pairs = members.withColumn("q", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "tree", "node", F.least("part", "q").alias("low"), F.greatest("part", "q").alias("high"), "part", "item"
@@ -259,7 +259,7 @@ def links(docs: DataFrame, threshold: float, recall: float, size: int) -> tuple[
     wanted = wanted.join(texts, ["doc_id", "tag"]).select("item", "copies", "nodes", "text").dropDuplicates(["item"])
     blocks = pairs.join(wanted, "item").repartition(*BLOCK).sortWithinPartitions(*BLOCK)
     found = blocks.select(*BLOCK, "part", "item", "copies", "nodes", "text").mapInArrow(_verify(threshold, size), LINKS)
-    return known.select("doc_id", "tag", "item"), stored(found, "links")
+    return known.select("doc_id", "tag", "item"), stored(found, "links", heavy=True)
 
 
 def classes(
