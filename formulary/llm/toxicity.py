@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 WORD = re.compile(rb"[^\x00-\x40\x5b-\x60\x7b-\x7f]+")
 FRAME = b"\x01\x02\x03\x04\x05"
 TOP = 10  # gains are counted as 0 .. TOP - 1 bytes
-CACHED_WORDS = 400_000
+CACHED_WORDS = 150_000
 CACHED_BYTES = 40
 LEVEL = 6
 SHORT_BYTES = 256
@@ -223,7 +223,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, per_class: int, max_char
     return [r["text"] for r in rows], [r["toxic"] for r in rows], counts.get(1, 0) / sum(counts.values())
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 50_000) -> Model:
+def train(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 50_000) -> Model:
     """The model for `docs`, from a bounded sample of its labelled rows (see training_sample)."""
     texts, marks, share = training_sample(docs, labels, per_class, max_chars)
     return fit(texts, marks, share)
@@ -247,7 +247,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(score, "doc_id bigint, score double")
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2500, max_chars: int = 50_000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, per_class: int = 2000, max_chars: int = 50_000) -> DataFrame:
     """doc_id, held_out, score, predicted for every document, by a model of its own labels.
 
     Training runs when this is called: two small jobs over `labels` and one scan of `docs`.
