@@ -3,7 +3,8 @@
 Every document of a source gets the same copy probability. Its whole part is taken for certain. Fractions
 are rounded in pairs: words move at random from one document to the other until one of the two has no
 fraction left. What one group leaves over meets what other groups leave over, level by level, so the words
-of a source stay what they should be up to its last document.
+of a source stay what they should be up to its last document. That one is rounded, and the words it adds or
+lacks are made good by whole documents, chosen by counts per size over all documents of the source.
 """
 
 from __future__ import annotations
@@ -96,15 +97,18 @@ def pair_off(sizes: list[int], parts: list[float], coins: list[float]) -> list[f
     return out
 
 
-def close(sizes: list[int], parts: list[float]) -> list[float]:
-    """The last fraction rounded too, and its words made good by whole documents, large ones first."""
-    out = [float(math.floor(p + 0.5)) for p in parts]
-    missing = sum(size * (p - q) for size, p, q in zip(sizes, parts, out))
-    for k in sorted(range(len(sizes)), key=lambda k: (-sizes[k], k)):
-        change = sizes[k] if out[k] == 0.0 else -sizes[k]
-        if parts[k] in (0.0, 1.0) and abs(missing - change) < abs(missing):
-            out[k] = 1.0 - out[k]
-            missing -= change
+def close(counts: dict[int, tuple[int, int]], missing: float) -> dict[int, int]:
+    """size -> documents to turn over, so that `missing` words are made good by whole documents, large ones first.
+
+    `counts` holds how many documents of a size were rounded down and up: one rounded down and turned over gives
+    its words, one rounded up takes them. A document is turned over where that brings the sum closer.
+    """
+    out = {}
+    for size in sorted(counts, reverse=True):
+        turned = min(counts[size][missing < 0], max(0, math.ceil(abs(missing) / size - 0.5)))
+        if turned:
+            out[size] = -turned if missing < 0 else turned
+            missing -= size * out[size]
     return out
 
 
@@ -126,24 +130,25 @@ def _settle(last: bool, level: int):
         coins = [coin(key, dup, level) for key, dup in named]
         parts = pair_off(rows["size"].tolist(), rows["part"].tolist(), coins)
         if last:
-            parts = close(rows["size"].tolist(), parts)
+            parts = [float(math.floor(p + 0.5)) for p in parts]
         return rows.assign(part=parts)[["source", "grp", "key", "dup", "size", "part"]]
 
     return run
 
 
 def rounded(items: DataFrame, levels: int) -> DataFrame:
-    """key, dup and part (now 0 or 1) of items (source, grp, key, dup, size, part).
+    """source, key, dup, size and part (now 0 or 1) of items (source, grp, key, dup, size, part).
 
     Level by level every group (source, grp) is paired off and passes on at most one item with a fraction;
-    `levels` times FAN_IN groups become one, after which each source has a single group.
+    `levels` times FAN_IN groups become one, after which each source has a single group, whose last fraction
+    is rounded to the nearer side.
     """
     done, open_ = [], items
     for level in range(levels + 1):
         last = level == levels
         after = stored(open_.groupBy("source", "grp").applyInPandas(_settle(last, level), PLACED), f"mixed-{level}")
         settled = F.col("part").isin(0.0, 1.0)
-        done.append(after.filter(settled).select("key", "dup", "part"))
+        done.append(after.filter(settled).select("source", "key", "dup", "size", "part"))
         open_ = after.filter(~settled).withColumn("grp", F.expr(f"grp div {FAN_IN}"))
     out = done[0]
     for more in done[1:]:
@@ -151,6 +156,34 @@ def rounded(items: DataFrame, levels: int) -> DataFrame:
     return out
 
 
+def turned(parts: DataFrame, goals: DataFrame) -> DataFrame:
+    """key, dup and turn (1 or -1) of the rounded documents to turn over, so that each source meets its target.
+
+    All documents of a source count, by size; only the counts per size of a source meet in one task. Among
+    documents of one size those of the least keys are turned over.
+    """
+    # Every document of a source had the same fraction.
+    odds = F.col("target") / F.col("source_size")
+    goals = goals.filter("source_size > 0").select(F.col("source").alias("_s"), (odds - F.floor(odds)).alias("want"))
+    counts = parts.groupBy("source", "size").agg(F.count("*").alias("n"), F.sum("part").cast("bigint").alias("up"))
+    counts = counts.join(goals, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
+
+    def choose(rows: pd.DataFrame) -> pd.DataFrame:
+        sizes, n, up = (rows[c].tolist() for c in ("size", "n", "up"))
+        missing = float(rows["want"].iloc[0]) * sum(s * a for s, a in zip(sizes, n)) - sum(s * b for s, b in zip(sizes, up))
+        turns = close({s: (a - b, b) for s, a, b in zip(sizes, n, up)}, missing)
+        name = rows["source"].iloc[0]
+        out = [(None if pd.isna(name) else name, s, 0.0 if t > 0 else 1.0, abs(t)) for s, t in turns.items()]
+        return pd.DataFrame(out, columns=["source", "size", "part", "turns"], dtype=object)
+
+    chosen = counts.groupBy("source").applyInPandas(choose, "source string, size bigint, part double, turns bigint")
+    chosen = stored(chosen.withColumn("kind", F.monotonically_increasing_id()), "turned")
+    same = [parts["source"].eqNullSafe(chosen["source"]), parts["size"] == chosen["size"], parts["part"] == chosen["part"]]
+    able = parts.join(chosen, same).select("kind", F.struct("key", "dup").alias("o"), parts["part"], "turns")
+    first = dense_index(able, "o", by="kind").filter("idx < turns")
+    return first.select("o.key", "o.dup", (1 - 2 * F.col("part")).cast("bigint").alias("turn"))
+
+
 def doc_key() -> Column:
     return F.xxhash64(F.col("doc_id").cast("bigint"), F.coalesce("text", F.lit("")), "source")
 
@@ -161,7 +194,7 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     size is the number of words; a null text has none. A document without words gets
     the whole copies of its source and moves no words. Rows without a source are one source, the last. Repeated
     rows count as documents of their own. A source's words differ from its target by at most half of
-    one of its documents. Only doc_id, text and source are read; narrow rows are written when this is called.
+    one of its documents, and by less where shorter ones can make that good. Only doc_id, text and source are read; narrow rows are written when this is called.
     """
     source = F.col("source").cast("string")
     sizes = docs.select(F.col("doc_id").cast("bigint"), source, n_words("text").alias("size"), doc_key().alias("key"))
@@ -183,9 +216,12 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST
     levels = 0
     while FAN_IN**levels < groups_most:
         levels += 1
-    parts = rounded(items, levels).withColumnRenamed("part", "more")
-    out = known.join(parts, ["key", "dup"], "left")
-    copies = (F.col("whole") + F.coalesce("more", F.lit(0.0)).cast("bigint")).alias("copies")
+    parts = rounded(items, levels)
+    turns = turned(parts, goals)
+    out = known.join(parts.select("key", "dup", F.col("part").alias("more")), ["key", "dup"], "left")
+    out = out.join(turns, ["key", "dup"], "left")
+    more = F.coalesce("more", F.lit(0.0)).cast("bigint") + F.coalesce("turn", F.lit(0))
+    copies = (F.col("whole") + more).alias("copies")
     return out.select("key", "doc_id", "size", "source_size", "target", copies)
 
 

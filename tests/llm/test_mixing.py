@@ -83,3 +83,26 @@ def test_pairing_keeps_words_and_means():
         assert sum(s * p for s, p in zip(sizes, out)) == pytest.approx(sum(s * p for s, p in zip(sizes, parts)))
         mean = [m + p / 20_000 for m, p in zip(mean, out)]
     assert all(m == pytest.approx(0.3, abs=0.02) for m in mean)
+
+
+def test_a_small_source_meets_its_target_beside_one_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP_ROWS", 40)
+    monkeypatch.setattr(mixing, "FAN_IN", 3)
+    docs = [(i, "w " * (1 + i % 50), "large") for i in range(900)]
+    docs += [(1000 + i, "w " * (1 + i % 9), "small") for i in range(29)] + [(1029, "w " * 997, "small")]
+    docs += [(2000 + i, "w " * (1 + i % 7), None) for i in range(36)] + [(2036, "w " * 2003, None)]
+    got = mixing.mixed(frame(spark, docs)).collect()
+    check(got, docs)
+    source = {i: s for i, _, s in docs}
+    for name in ("large", "small", None):
+        rows = [r for r in got if source[r.doc_id] == name]
+        short = sum(r["size"] for r in rows) - max(r["size"] for r in rows)
+        last = max(0, max(r["size"] for r in rows) / 2 - short)
+        assert abs(sum(r.taken for r in rows) - rows[0].target) <= last + 1, name
+    assert sorted(got) == sorted(mixing.mixed(frame(spark, docs).repartition(7)).collect())
+
+
+def test_turning_documents_over_makes_missing_words_good():
+    assert mixing.close({100: (1, 0), 7: (9, 9), 1: (5, 5)}, 45.0) == {7: 6, 1: 3}
+    assert mixing.close({7: (9, 9), 4: (9, 9), 1: (5, 5)}, -12.0) == {7: -2, 1: 2}
+    assert mixing.close({50: (3, 3)}, 20.0) == {} and mixing.close({}, 3.0) == {}
