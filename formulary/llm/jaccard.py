@@ -145,13 +145,17 @@ def _common(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def linked(sets: list[np.ndarray], nodes: np.ndarray, part: np.ndarray, tree: int, threshold: float) -> np.ndarray:
-    """Which pairs of a block are similar and meet in no earlier tree. Texts of one part meet in another block,
-    unless the block has only one part."""
+def linked(
+    sets: list[np.ndarray], nodes: np.ndarray, part: np.ndarray, tree: int, inside: bool, threshold: float
+) -> np.ndarray:
+    """Which pairs of a block are similar and meet in no earlier tree. Texts of one part meet in the block
+    `inside` that part alone, those of two parts in the block across them, where one part may have no texts."""
+    if not inside and part.min() == part.max():
+        return np.zeros((len(sets), len(sets)), bool)
     common = _common(sets)
     sizes = common.diagonal()
     out = common >= threshold * (sizes[:, None] + sizes[None, :] - common) - 1e-9
-    if part.min() != part.max():
+    if not inside:
         out &= part[:, None] != part[None, :]
     np.fill_diagonal(out, False)
     a, b = np.nonzero(out)
@@ -189,7 +193,7 @@ def _verify(threshold: float, size: int):
             if len(held) < 2:
                 return None
             items, copies, part, nodes, sets = zip(*held)
-            out = linked(list(sets), np.array(nodes), np.array(part), key[0], threshold)
+            out = linked(list(sets), np.array(nodes), np.array(part), key[0], key[2] == key[3], threshold)
             some = np.flatnonzero(out.any(axis=1))
             if not len(some):
                 return None

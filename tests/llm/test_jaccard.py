@@ -43,6 +43,15 @@ def test_large_groups_in_blocks_and_chains(spark, monkeypatch):
     assert sum(n for _, n in got.values()) >= 0.99 * links and all(got[i][1] <= want[i][1] for i in want)
 
 
+def test_few_long_texts_in_many_chunks(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 50)
+    rows = []
+    for g in range(12):  # two near copies each, in about eight chunks of a node, most of them without a text
+        words = [f"g{g}w{i}" for i in range(200)]
+        rows += [(2 * g, " ".join(words)), (2 * g + 1, " ".join(words + ["more"]))]
+    assert joined(spark, rows) == brute.near_duplicates(rows)
+
+
 def test_null_empty_and_very_long_texts(spark):
     long = " ".join(str(i) for i in range(200_000))
     rows = [(1, None), (2, ""), (3, " \n"), (4, long), (5, long + " more"), (6, "a"), (7, "a " * 50_000), (8, "a " * 6)]
