@@ -48,16 +48,31 @@ def with_index(df: DataFrame, keys: DataFrame, order: str = "row_id", by: str |
     """`df` with `idx` and `n` as dense_index gives them, numbering only the `order` (and `by`) columns of `keys`.
 
     `keys` holds the same values as `df`, cheap to read: wide rows are then neither sorted nor copied, and
-    nothing that computes them runs twice. They are joined to their numbers by `order`. Rows that share a
-    value share out its numbers.
+    nothing that computes them runs twice. They are joined to their numbers by `order`, null being a value like
+    any other. Rows that share a value share out its numbers: only where some do, `df` is written down with
+    the place of each row, and counts per partition and value give each partition its first number.
     """
     names = [order, by] if by else [order]
-    numbers = dense_index(keys.select(*names), order, by).groupBy(*names).agg(
-        F.sort_array(F.collect_list("idx")).alias("_idx"), F.first("n").alias("n")
-    )
-    shared = Window.partitionBy(*names).orderBy(order)
-    joined = df.join(numbers, names).withColumn("_k", F.row_number().over(shared))
-    return joined.withColumn("idx", F.element_at("_idx", F.col("_k"))).select(*df.columns, "idx", "n")
+    positions = dense_index(keys.select(*names), order, by).groupBy(*names)
+    firsts = store(positions.agg(F.min("idx").alias("_first"), F.first("n").alias("n"), F.count("*").alias("_c")), "numbers")
+
+    def joined(rows: DataFrame, found: DataFrame, on: list[str]) -> DataFrame:
+        found = found.withColumnsRenamed({name: f"_on{name}" for name in on})
+        same = [rows[name].eqNullSafe(found[f"_on{name}"]) for name in on]
+        return rows.join(found, same)
+
+    if firsts.filter("_c > 1").isEmpty():
+        return joined(df, firsts, names).withColumn("idx", F.col("_first")).select(*df.columns, "idx", "n")
+    place = {"_pid": F.spark_partition_id(), "_pos": F.monotonically_increasing_id()}
+    placed = store(df.withColumns(place), "shared")
+    earlier = Window.partitionBy(*names).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("_pid", *names).agg(F.count("*").alias("_rows"))
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)))
+    starts = joined(sizes, firsts, names).select("_pid", *names, (F.col("_first") + F.col("_before")).alias("_start"), "n")
+    within = Window.partitionBy("_pid", *names).orderBy("_pos")
+    ranked = placed.withColumn("_k", F.row_number().over(within) - 1)
+    out = joined(ranked, starts, ["_pid", *names])
+    return out.withColumn("idx", F.col("_start") + F.col("_k")).select(*df.columns, "idx", "n")
 
 
 def assign_batches(

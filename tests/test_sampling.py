@@ -87,6 +87,17 @@ def test_rows_that_share_an_order_value_share_out_its_numbers(spark):
     assert sorted(r.idx for r in got if r.row_id == 1) == [1, 2, 3] and {r.n for r in got} == {4}
 
 
+def test_rows_without_an_order_value_are_numbered_too(spark):
+    one = spark.createDataFrame([(2, "a"), (None, "b"), (1, "c")], "row_id int, x string")
+    got = sampling.assign_batches(one, 2).collect()
+    assert sorted((r.idx, r.x, r.batch_id, r.batch_end) for r in got) == [(0, "b", 0, 2), (1, "c", 0, 2), (2, "a", 1, 3)]
+    rows = spark.range(900).selectExpr("IF(id % 3 = 0, NULL, IF(id % 3 = 1, 7, id + 10)) AS row_id", "id AS x").repartition(5)
+    got = sorted(sampling.with_index(rows, rows).collect(), key=lambda r: r.idx)
+    assert [r.idx for r in got] == list(range(900)) and {r.n for r in got} == {900}
+    assert [r.row_id for r in got] == [None] * 300 + [7] * 300 + [i + 10 for i in range(900) if i % 3 == 2]
+    assert sorted(r.x for r in got) == list(range(900))
+
+
 def test_draws_follow_one_rule_for_every_size(spark):
     for n in (1, 2, 4, 5, 6, 128, 129, 10_000):
         df = spark.range(40).withColumn("n", F.lit(n).cast("bigint"))
