@@ -1,8 +1,8 @@
 """Near-duplicate texts: all pairs whose five-word shingles have a Jaccard similarity of at least 0.8.
 
-A MinHash LSH forest: each text has a MinHash label in every tree, and texts whose labels share a prefix
-are candidates. Prefixes are shortened from the full label until the expected share of pairs at the
-threshold that meet in some tree reaches the target. Candidates are compared exactly, in blocks of a trie
+MinHash LSH in bands: each text has a MinHash label in every tree, and texts with equal labels are candidates.
+Labels have one length, the longest at which the expected share of pairs at the threshold that meet in some
+tree reaches the target, so a pair can be missed, with at most the rest of that probability. Candidates are compared exactly, in blocks of a trie
 node's texts. Equal shingle sets count as one text with copies.
 """
 
@@ -20,8 +20,8 @@ from formulary.llm.tables import stored
 
 WORDS = 5  # of a shingle
 THRESHOLD = 0.8
-TREES, DEEPEST = 20, 8
-RECALL = 0.999
+TREES, DEEPEST = 36, 8
+RECALL = 0.999999  # at the threshold; more similar pairs meet more often
 BLOCK_TEXTS = 256  # texts of a node compared at once with as many others
 BLOCK_SHINGLES = 1_000_000  # and shingles of such a block, about
 

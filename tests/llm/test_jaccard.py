@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from formulary.llm import jaccard, queries
@@ -75,6 +76,15 @@ def test_prefix_length():
         jaccard.prefix_length(0.1, 0.999, 2, 8)
 
 
+def test_pairs_at_the_threshold_meet_in_some_tree():
+    depth = jaccard.prefix_length(jaccard.THRESHOLD, jaccard.RECALL)
+    assert (1 - jaccard.THRESHOLD**depth) ** jaccard.TREES < 1e-6
+    forest = jaccard.Forest(jaccard.TREES, depth)
+    sets = np.random.default_rng(5).integers(0, 1 << 64, size=(20_000, 10), dtype=np.uint64)
+    a, b = forest.nodes(list(sets[:, :9])), forest.nodes(list(sets[:, 1:]))  # 8 of 10 in common
+    assert (a == b).any(axis=1).all()
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(100)] + [(500, 600 + i) for i in range(50)] + [(7, 7)]
     got = {r.a: r.b for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
