@@ -36,7 +36,7 @@ def test_examples_jsonl(spark, tmp_path):
 
 
 def test_split_pruning(spark, tmp_path):
-    from conftest import plan_of
+    from support import plan_of
 
     df = spark.range(20).withColumn("split", F.when(F.col("id") < 5, "val").otherwise("train"))
     df.write.partitionBy("split").parquet(str(tmp_path / "t"))
@@ -135,7 +135,7 @@ def test_shared_folder_comes_from_the_cluster():
 
 
 def test_stored_table_keeps_only_asked_columns(spark):
-    from conftest import plan_of
+    from support import plan_of
 
     df = session.store(spark.range(5).withColumn("wide", F.lit("w")), "t")
     assert "ReadSchema: struct<id:bigint>" in plan_of(df.select("id")) and df.count() == 5

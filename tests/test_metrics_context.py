@@ -71,7 +71,7 @@ def test_conclusion_context(spark):
 
 
 def test_long_conversation_and_its_plan(spark):
-    from conftest import plan_of
+    from support import plan_of
 
     turns = spark.range(3_000).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "concat('t', id) AS text")
     out = context.running_chat_context(turns)

@@ -2,7 +2,7 @@
 
 import pytest
 from check import compare, connect
-from conftest import SF
+from support import SF
 
 import __spark_entry__ as entry
 
@@ -31,7 +31,7 @@ def test_entry(spark):
 
 
 def test_no_cartesian_product(spark):
-    from conftest import plan_of
+    from support import plan_of
 
     for name in ["noise_rows", "prompt_noisy_preds", "pending", "predicate_matches", "scorecard", "route_prompts"]:
         assert "CartesianProduct" not in plan_of(entry.queries()[name](spark, SF)), name

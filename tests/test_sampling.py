@@ -71,7 +71,7 @@ def test_noise_set(spark):
 
 
 def test_numbering_sorts_keys_only(spark):
-    from conftest import plan_of
+    from support import plan_of
 
     rows = spark.range(500).selectExpr("id AS row_id", "repeat('x', 100) AS wide")
     out = sampling.assign_batches(rows, 32)
