@@ -52,3 +52,30 @@ WITH RECURSIVE d AS (SELECT doc_id, {WORDS} AS w FROM documents),
   counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
 SELECT doc_id, min(r) AS class_id, coalesce(max(n), 0) AS n_links
 FROM reach LEFT JOIN counts ON doc_id = x GROUP BY doc_id"""
+
+_GROUPS = ", ".join(f"CAST('0x' || substr(x, {8 * k + 1}, 8) AS BIGINT) AS h{k + 1}" for k in range(4))
+SQL["op11_fill_in_middle"] = f"""
+WITH d AS (
+    SELECT doc_id, t, length(t) AS n, {_GROUPS}
+    FROM (
+      SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents) s),
+  c AS (
+    SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+      CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+        WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form
+    FROM d),
+  p AS (SELECT *, substr(t, 1, a) AS pre, substr(t, a + 1, b - a) AS mid, substr(t, b + 1) AS suf FROM c),
+  o AS (
+    SELECT *, CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+      ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END AS out
+    FROM p),
+  r AS (
+    SELECT *, split_part(out, '<M>', 1) AS head, split_part(out, '<M>', 2) AS m FROM o)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+  CASE WHEN form <> 'plain' THEN CAST(a AS BIGINT) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN CAST(b - a AS BIGINT) END AS middle_chars,
+  sha256(out) AS output_sha256,
+  sha256(CASE form WHEN 'plain' THEN out
+    WHEN 'psm' THEN split_part(split_part(head, '<S>', 1), '<P>', 2) || m || split_part(head, '<S>', 2)
+    ELSE split_part(head, '<P>', 2) || m || split_part(split_part(head, '<P>', 1), '<S>', 2) END) AS restored_sha256
+FROM r"""
