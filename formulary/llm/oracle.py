@@ -79,3 +79,27 @@ SELECT doc_id, CAST(n AS BIGINT) AS n, form,
     WHEN 'psm' THEN split_part(split_part(head, '<S>', 1), '<P>', 2) || m || split_part(head, '<S>', 2)
     ELSE split_part(head, '<P>', 2) || m || split_part(split_part(head, '<P>', 1), '<S>', 2) END) AS restored_sha256
 FROM r"""
+
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = f"regexp_extract_all({_LOWERED}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+SQL["op12_winnowing"] = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_ALNUM} AS w FROM documents),
+  b AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_ALNUM} AS w FROM benchmark),
+  known AS (
+    SELECT DISTINCT item, size, array_to_string(w[i : i + size - 1], ' ') AS k
+    FROM (SELECT item, w, size, unnest(range(1, len(w) - size + 2)) AS i
+      FROM (SELECT *, least(len(w), 10) AS size FROM b WHERE len(w) > 0) s) t),
+  sizes AS (SELECT DISTINCT size FROM known),
+  win AS (
+    SELECT r, size, i, array_to_string(w[i : i + size - 1], ' ') AS k
+    FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, sizes WHERE len(w) >= size) s),
+  hits AS (SELECT r, size, i, item FROM win JOIN known USING (size, k)),
+  words AS (SELECT DISTINCT r, i + j AS p FROM (SELECT r, i, unnest(range(size)) AS j FROM hits) s),
+  n AS (SELECT r, count(*) AS n_hit FROM words GROUP BY r),
+  m AS (
+    SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+    FROM (SELECT DISTINCT r, item FROM hits) s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(n_items, 0) AS BIGINT) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (r) LEFT JOIN m USING (r)"""

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import ann, jaccard, licences, middle, mixing, packing, sharding, simhash, substrings, toxicity, warc
+from formulary.llm import ann, jaccard, leaks, licences, middle, mixing, packing, sharding, simhash, substrings, toxicity, warc
 from formulary.llm.oracle import SQL
 from formulary.llm.tables import table
 
@@ -80,3 +80,8 @@ def op10_bin_completion(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
     return middle.middle_digests(table(spark, sf, "documents"))
+
+
+@query
+def op12_winnowing(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.decontaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
