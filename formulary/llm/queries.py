@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from formulary.llm import ann, jaccard, leaks, licences, middle, mixing, packing, sharding, simhash, substrings, toxicity, warc
+from formulary.llm import ann, codes, jaccard, leaks, licences, middle, mixing, packing, sharding, simhash, substrings, toxicity, warc
 from formulary.llm.oracle import SQL
 from formulary.llm.tables import table
 
@@ -85,3 +85,9 @@ def op11_fill_in_middle(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op12_winnowing(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.decontaminated(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+@query
+def op13_metric_tree_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight parts, codebooks of 16 entries, six rounds over every vector."""
+    return codes.compressed(table(spark, sf, "embeddings"), parts=8, entries=16, rounds=6)
