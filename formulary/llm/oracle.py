@@ -111,17 +111,17 @@ def _nearest(k: int) -> str:
     """Every part's nearest entry of codebook k and its squared distance."""
     return f"""a{k} AS MATERIALIZED (
     SELECT r, part, entry, d FROM (
-      SELECT r, part, entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c USING (part, at) GROUP BY r, part, entry) s
+      SELECT r, part, entry, sum((x.v - c.v) * (x.v - c.v)) AS d FROM x JOIN c{k} c USING (part, pos) GROUP BY r, part, entry) s
     QUALIFY row_number() OVER (PARTITION BY r, part ORDER BY d, entry) = 1)"""
 
 
 def _means(k: int) -> str:
     """Codebook k + 1: rounded-down means, unused entries as they were."""
     return f"""c{k + 1} AS MATERIALIZED (
-    SELECT c.part, c.entry, c.at, coalesce((s - ((s % n) + n) % n) // n, c.v) AS v
+    SELECT c.part, c.entry, c.pos, coalesce((s - ((s % n) + n) % n) // n, c.v) AS v
     FROM c{k} c LEFT JOIN (
-      SELECT part, entry, at, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (r, part) GROUP BY ALL) m
-    USING (part, entry, at))"""
+      SELECT part, entry, pos, CAST(sum(v) AS BIGINT) AS s, count(*) AS n FROM x JOIN a{k} USING (r, part) GROUP BY ALL) m
+    USING (part, entry, pos))"""
 
 
 _CODEBOOKS = ",\n  ".join(_nearest(k) + ",\n  " + _means(k) for k in range(_ROUNDS))
@@ -129,14 +129,14 @@ SQL["op13_metric_tree_codes"] = f"""
 WITH kept AS MATERIALIZED (
     SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, embedding) AS r, vec_id, label, embedding
     FROM embeddings
-    WHERE embedding IS NOT NULL AND len(list_filter(embedding, e -> e IS NULL OR NOT isfinite(e))) = 0),
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0),
   x AS MATERIALIZED (
-    SELECT r, i // (n // 8) AS part, i % (n // 8) AS at, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 4096) AS BIGINT) AS v
+    SELECT r, i // (n // 8) AS part, i % (n // 8) AS pos, CAST(floor(CAST(embedding[i + 1] AS DOUBLE) * 4096) AS BIGINT) AS v
     FROM (SELECT *, len(embedding) AS n, unnest(range(len(embedding))) AS i FROM kept) s),
-  c0 AS (SELECT part, r - 1 AS entry, at, v FROM x WHERE r <= 16),
+  c0 AS (SELECT part, r - 1 AS entry, pos, v FROM x WHERE r <= 16),
   {_CODEBOOKS},
   {_nearest(_ROUNDS)},
-  books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, at)) AS codebooks_sha256 FROM c{_ROUNDS}),
+  books AS (SELECT sha256(string_agg(CAST(v AS VARCHAR), ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{_ROUNDS}),
   coded AS (
     SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, CAST(sum(d) AS BIGINT) AS error
     FROM a{_ROUNDS} GROUP BY r)
