@@ -12,7 +12,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from formulary.llm.graphs import components
 from formulary.llm.substrings import Hasher, Runs, keyed_texts, mixed, text_tag
@@ -83,7 +83,7 @@ def _set_key(shingles: np.ndarray) -> bytes:
     return np.array(sums, ">u8").tobytes()
 
 
-LABELS = "doc_id bigint, tag int, item binary, shingles bigint, nodes array<bigint>"
+LABELS = "doc_id bigint, tag bigint, item binary, shingles bigint, nodes array<bigint>"
 
 
 def labels(texts: DataFrame, trees: int, depth: int, size: int) -> DataFrame:
@@ -304,11 +304,16 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
 def one_per_class(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """The rows of `docs`, unchanged, of one document of each class: the one with the least doc_id.
 
-    Rows without an id stay. Of wholly equal rows one stays.
+    Rows without an id stay. Of rows that share id and text one stays, whatever their other columns; different
+    texts of one id are documents of their own, and where they share the least id of a class all of them stay.
     """
     kept = classes(docs, threshold, recall).filter("doc_id = class_id").select("doc_id", "tag").distinct()
-    tagged = docs.withColumn("_tag", text_tag()).filter("doc_id IS NOT NULL")
-    joined = tagged.join(kept.withColumnRenamed("tag", "_tag"), ["doc_id", "_tag"])
-    first = Window.partitionBy("doc_id", "_tag").orderBy("doc_id")
-    one = joined.withColumn("_n", F.row_number().over(first)).filter("_n = 1")
-    return one.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
+    # The caller's row travels as one column, so none of its names can meet a name used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rank = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("rank")
+    named = docs.filter("doc_id IS NOT NULL")
+    tagged = named.select(F.col("doc_id").cast("bigint").alias("id"), text_tag().alias("key"), row, rank)
+    # A text leaves each task once, so one that is repeated very often fills no task.
+    one = tagged.groupBy("id", "key").agg(F.min_by("row", "rank").alias("row"))
+    one = one.join(kept.select(F.col("doc_id").alias("id"), F.col("tag").alias("key")), ["id", "key"], "left_semi")
+    return one.select("row.*").unionByName(docs.filter("doc_id IS NULL"))

@@ -11,11 +11,11 @@ from __future__ import annotations
 
 import base64
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,16 +34,23 @@ STEPS = 400  # steps to list the fillings of one room
 
 
 @cache
-def _encoders(vocabulary: str, ranks: str):
-    """(fast encoder, full tokenizer) of one vocabulary, loaded once per Python worker."""
+def _fast(ranks: str):
+    """The encoder of a rank table, loaded once per Python worker."""
     import public_tokenizers
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(public_tokenizers.path(ranks), "rb") as lines:
         table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    fast = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-    return fast, Tokenizer.from_file(public_tokenizers.path(vocabulary))
+    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
+
+
+@cache
+def _full(vocabulary: str):
+    """The full tokenizer, loaded only in a Python worker that meets a text which needs it."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(vocabulary))
 
 
 def token_ids(text: str | None, vocabulary: str = VOCABULARY, ranks: str = RANKS) -> np.ndarray:
@@ -52,17 +59,16 @@ def token_ids(text: str | None, vocabulary: str = VOCABULARY, ranks: str = RANKS
     The rank table holds the same vocabulary and gives the same ids several times faster; texts with the
     special string, and those that its pattern matcher gives up on, go to the full tokenizer.
     """
-    fast, full = _encoders(vocabulary, ranks)
     text = text or ""
     ids = None
     if SPECIAL not in text:
         try:
-            ids = fast.encode_ordinary(text)
+            ids = _fast(ranks).encode_ordinary(text)
         except BaseException as e:  # the matcher's panic is no Exception
             if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                 raise
     if ids is None:
-        ids = full.encode(text, add_special_tokens=False).ids
+        ids = _full(vocabulary).encode(text, add_special_tokens=False).ids
     out = np.empty(len(ids) + 1, "<u4")
     out[:-1], out[-1] = ids, END
     return out
@@ -82,15 +88,18 @@ def pieces(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, rank
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id"), batch.column("text")):
+            row, made = [], [array("q") for _ in range(4)]
+            for k, text in enumerate(batch.column("text")):
                 ids = token_ids(text.as_py(), vocabulary, ranks)
-                for k, (start, length) in enumerate(cut(len(ids), size)):
+                for piece, (start, length) in enumerate(cut(len(ids), size)):
+                    row.append(k)
                     part = zlib.crc32(ids[start : start + length].tobytes())
-                    rows.append((doc_id.as_py(), k, start, length, part))
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(types)], names)
+                    for column, value in zip(made, (piece, start, length, part)):
+                        column.append(value)
+            piece, start, length, part = (np.frombuffer(column, np.int64) for column in made)
+            columns = [batch.column("doc_id").take(pa.array(row, pa.int64())), pa.array(piece.astype(np.int32))]
+            columns += [pa.array(x) for x in (start, length, part)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(encode, PIECES)
 
@@ -261,10 +270,10 @@ def packed(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, rank
         counts[r["length"]] = r["n"]
     where = places(plan(counts, size))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sequence, offset = np.zeros(len(batch), np.int64), np.zeros(len(batch), np.int64)
-            lengths, numbers = batch["length"].to_numpy(), batch["number"].to_numpy()
+            lengths, numbers = (batch.column(c).to_numpy() for c in ("length", "number"))
+            sequence, offset = np.zeros(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
             for length in np.unique(lengths):
                 chosen = np.flatnonzero(lengths == length)
                 table = where[int(length)]
@@ -272,8 +281,9 @@ def packed(docs: DataFrame, size: int = SIZE, vocabulary: str = VOCABULARY, rank
                 past = numbers[chosen] - row[:, 0]
                 sequence[chosen] = row[:, 2] + past % row[:, 1]
                 offset[chosen] = row[:, 3] + past // row[:, 1] * length
-            yield batch.drop(columns="number").assign(sequence_id=sequence, offset=offset)
+            columns = [*batch.columns[:5], pa.array(sequence), pa.array(offset)]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:5], "sequence_id", "offset"])
 
-    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").cast("bigint")).mapInPandas(
+    return rows.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("number").cast("bigint")).mapInArrow(
         place, PIECES + ", sequence_id bigint, offset bigint"
     )

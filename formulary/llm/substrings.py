@@ -161,9 +161,9 @@ def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
 
 
-# A place packs the text's tag, the first window and the number of windows of a run less one into a long.
-TAG_BITS, RUN_BITS = 16, 8
-Anchors = "a bigint, e bigint, doc_id bigint, place bigint"
+# A place packs the first window and the number of windows of a run less one into a long.
+RUN_BITS = 8
+ANCHORS = "a bigint, e bigint, doc_id bigint, tag bigint, place bigint"
 
 
 def _anchor_rows(size: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -171,12 +171,13 @@ def _anchor_rows(size: int, seed: int) -> Callable[[Iterator[pa.RecordBatch]], I
         hasher = Hasher()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            tags = batch.column("tag").to_numpy(zero_copy_only=False).astype(np.int64)
+            tags = batch.column("tag").to_numpy(zero_copy_only=False)
             for rows, counts, words in hasher.portions(t.as_py() for t in batch.column("text")):
                 row, a, e, first, n = anchors_of(words, counts, size, seed, hasher)
-                place = (tags[rows[row]] << 48) | (first << RUN_BITS) | (n - 1)
+                own = [pa.array(x[rows[row]]) for x in (ids, tags)]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(a), _signed(e), pa.array(ids[rows[row]]), pa.array(place)], ["a", "e", "doc_id", "place"]
+                    [_signed(a), _signed(e), *own, pa.array((first << RUN_BITS) | (n - 1))],
+                    ["a", "e", "doc_id", "tag", "place"],
                 )
 
     return run
@@ -189,29 +190,30 @@ def _window_rows(size: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
         hasher = Hasher()
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
+            tags = batch.column("tag").to_numpy(zero_copy_only=False)
             runs = batch.column("open")
             for rows, counts, words in hasher.portions(t.as_py() for t in batch.column("text")):
                 listed = runs.take(pa.array(rows))
                 places = listed.flatten().to_numpy(zero_copy_only=False)
                 row = np.repeat(np.arange(len(rows)), listed.value_lengths().to_numpy(zero_copy_only=False))
-                first = (places & ((1 << 48) - 1)) >> RUN_BITS
+                first = places >> RUN_BITS
                 n = (places & ((1 << RUN_BITS) - 1)) + 1
                 within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
                 start = np.repeat(first, n) + within
                 at = start + np.repeat((np.cumsum(counts) - counts)[row], n)
                 one, two = (Runs(words, p)(at, at + size) for p in hasher.words)
-                place = np.repeat((places >> 48) << 48, n) | (start << RUN_BITS)
+                own = [pa.array(x[rows[np.repeat(row, n)]]) for x in (ids, tags)]
                 yield pa.RecordBatch.from_arrays(
-                    [_signed(one), _signed(two), pa.array(ids[rows[np.repeat(row, n)]]), pa.array(place)],
-                    ["w1", "w2", "doc_id", "place"],
+                    [_signed(one), _signed(two), *own, pa.array(start << RUN_BITS)],
+                    ["w1", "w2", "doc_id", "tag", "place"],
                 )
 
     return run
 
 
 def text_tag() -> Column:
-    """A short hash of the text, which tells texts apart that share a doc_id."""
-    return F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit((1 << (TAG_BITS - 1)) - 1)).cast("int")
+    """64 bits that tell texts apart that share a doc_id; null is a text of its own."""
+    return F.xxhash64(F.coalesce("text", F.lit("")), F.col("text").isNull())
 
 
 def keyed_texts(docs: DataFrame) -> DataFrame:
@@ -231,7 +233,7 @@ def repeats(
     if not 0 < seed <= size <= 1 << RUN_BITS:
         raise ValueError("seed and size must be at least 1 word, size at most 256, and seed no longer than size")
     texts = keyed_texts(docs)
-    rows = texts.mapInArrow(_anchor_rows(size, seed), Anchors)
+    rows = texts.mapInArrow(_anchor_rows(size, seed), ANCHORS)
     ends = rows.groupBy("a").agg(
         F.min("doc_id").alias("lo"),
         F.max("doc_id").alias("hi"),
@@ -242,33 +244,32 @@ def repeats(
     shared = rows.join(ends, "a").filter("differ OR doc_id > lo")
     # Where all extensions of an anchor are equal, every document but the smallest repeats it.
     only = [F.when(F.col("differ"), F.col(c)).alias(c) for c in ("a", "e")]
-    seeds = stored(shared.select(*only, "doc_id", "place", "differ"), "shared-anchors", heavy=True)
+    seeds = stored(shared.select(*only, "doc_id", "tag", "place", "differ"), "shared-anchors", heavy=True)
 
     # Of extensions that are equal among differing ones, the one in the smallest doc_id stays to be compared.
-    differing = seeds.filter("differ").select("a", "e", "doc_id", "place")
+    differing = seeds.filter("differ").select("a", "e", "doc_id", "tag", "place")
     least = stored(differing.groupBy("a", "e").agg(F.min("doc_id").alias("least")), "extensions")
-    tag = F.shiftright("place", 48).cast("int").alias("tag")
     runs = differing.join(least, ["a", "e"]).select(
-        "doc_id", tag, "place", (F.col("doc_id") > F.col("least")).alias("matched")
+        "doc_id", "tag", "place", (F.col("doc_id") > F.col("least")).alias("matched")
     )
-    equal = seeds.filter("NOT differ").select("doc_id", tag, "place", F.lit(True).alias("matched"))
+    equal = seeds.filter("NOT differ").select("doc_id", "tag", "place", F.lit(True).alias("matched"))
     runs = stored(runs.unionByName(equal), "runs", heavy=True)
 
     named = docs.filter("doc_id IS NOT NULL")
     by_doc = named.select(F.col("doc_id").cast("bigint"), text_tag().alias("tag"), "text", *more)
     by_doc = by_doc.repartition("doc_id", "tag")
     open_runs = runs.filter("NOT matched").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("open"))
-    opened = by_doc.join(open_runs, ["doc_id", "tag"]).select("doc_id", "text", "open")
-    windows = opened.mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, place bigint")
+    opened = by_doc.join(open_runs, ["doc_id", "tag"]).select("doc_id", "tag", "text", "open")
+    windows = opened.mapInArrow(_window_rows(size), "w1 bigint, w2 bigint, doc_id bigint, tag bigint, place bigint")
     least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
     late = windows.join(least.filter("lo < hi").select("w1", "w2", "lo"), ["w1", "w2"]).filter("doc_id > lo")
     # Written down, so that the windows' shuffle files can go before the texts meet their repeats.
-    late = stored(late.select("doc_id", tag, "place"), "late-windows", heavy=True)
+    late = stored(late.select("doc_id", "tag", "place"), "late-windows", heavy=True)
     matched = runs.filter("matched").select("doc_id", "tag", "place")
     found = matched.unionByName(late).select(
         "doc_id",
         "tag",
-        F.expr(f"shiftright(place & {(1 << 48) - 1}, {RUN_BITS})").alias("start"),
+        F.shiftright("place", RUN_BITS).alias("start"),
         F.expr(f"(place & {(1 << RUN_BITS) - 1}) + {size}").alias("length"),
     )
     spans = found.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "length")).alias("spans"))

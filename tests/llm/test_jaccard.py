@@ -70,6 +70,20 @@ def test_rows_without_id_and_repeated_rows(spark):
     assert jaccard.one_per_class(df).columns == df.columns
 
 
+def test_many_texts_of_one_id_stay_apart(spark):
+    rows = [(7, f"t{k} a{k} b{k} c{k} d{k} e{k}") for k in range(900)] + [(9, None), (9, ""), (9, "")]
+    kept = sorted(((r.doc_id, r.text) for r in jaccard.one_per_class(frame(spark, rows)).collect()), key=str)
+    assert kept == sorted(rows[:-1], key=str)
+
+
+def test_callers_columns_stay(spark):
+    names = ["_tag", "tag", "key", "row", "id", "class_id", "n_links", "rank", "a", "b", "node", "place"]
+    schema = "doc_id bigint, text string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(k, f"w{k // 2} x y z u v", *[f"{n}{k}" for n in names]) for k in range(6)]
+    kept = sorted(map(tuple, jaccard.one_per_class(spark.createDataFrame(rows, schema)).collect()))
+    assert kept == [rows[0], rows[2], rows[4]]
+
+
 def test_prefix_length():
     assert jaccard.prefix_length(0.8, 0.999, 20, 8) == 5
     with pytest.raises(ValueError):

@@ -49,3 +49,12 @@ def test_long_text_and_empty_table(spark):
 def test_refuses_impossible_sizes(spark):
     with pytest.raises(ValueError):
         substrings.repeats(spark.createDataFrame([], "doc_id bigint, text string"), size=3, seed=4)
+
+
+def test_many_texts_of_one_id(spark):
+    """Far more texts than a short tag could tell apart."""
+    rng = random.Random(1)
+    shared = " ".join(f"s{i}" for i in range(30))
+    rows = [(7, " ".join(f"t{k}w{i}" for i in range(rng.randrange(1, 60))) + (" " + shared if k % 3 else "")) for k in range(900)]
+    rows += [(3, "first " + shared), (9, None), (9, "")]
+    assert digests(spark, rows) == sorted(brute.without_repeats(rows), key=str)
