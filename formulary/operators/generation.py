@@ -8,6 +8,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark.resource import ResourceProfile
 from pyspark.sql import DataFrame, types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -42,11 +43,18 @@ def _extended(batch: pa.RecordBatch, added: dict[str, pa.Array]) -> pa.RecordBat
 
 
 def generate(
-    df: DataFrame, load: Callable[[], Model], batch_size: int = 32, prompt: str = "prompt", out: str = "fol_pred"
+    df: DataFrame,
+    load: Callable[[], Model],
+    batch_size: int = 32,
+    prompt: str = "prompt",
+    out: str = "fol_pred",
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
     """Adds the model's answer to every row; `load` runs once per task.
 
-    Arrow batches are re-cut to `batch_size`; only the last batch of a task may be shorter.
+    Arrow batches are re-cut to `batch_size`; only the last batch of a task may be shorter. `profile` names
+    what the tasks of this stage need, such as one accelerator each, and so bounds how many models run at a
+    time; other stages keep theirs. Clusters honour it (standalone, YARN, Kubernetes), local masters refuse it.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -72,7 +80,7 @@ def generate(
         if held:
             yield from answered(pa.Table.from_batches(waiting))
 
-    return df.mapInArrow(run, _with(df.schema, (out, T.StringType())))
+    return df.mapInArrow(run, _with(df.schema, (out, T.StringType())), profile=profile)
 
 
 @dataclass(frozen=True)
@@ -125,7 +133,7 @@ def call_with_retry(
     Failures are retried with growing waits. An empty answer is a failure that goes straight to the
     fallback client, whose system text quotes the thoughts received so far. Adds fol_pred,
     fol_pred_reasoning, status (ok, fallback, failed), attempts, fallback_used, error. Requests in
-    flight: running tasks x threads; answers leave in portions of PER_THREAD times that, so a slow request
+    flight: running tasks x threads (flows.predict_remote bounds them over the cluster); answers leave in portions of PER_THREAD times that, so a slow request
     holds back few others. To keep paid answers when a task is lost, run portions of rows one after the
     other (flows.predict_remote).
     """

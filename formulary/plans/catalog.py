@@ -26,6 +26,7 @@ from formulary.plans.fixtures import view
 from formulary.plans.prompt_spec import ROWS, model_family as family_of
 from formulary.session import scratch_path, store
 from formulary.sources import readers, writers
+from formulary.sources.ranges import ATTEMPTS
 from formulary.streaming import predictions as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,6 +39,7 @@ TRAINING_LENGTH = 250
 MODELS_HOME = "/models"
 LABELS = "CASE example_id % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' ELSE 'Uncertain' END"
 FILE_ROWS = 150
+IN_FLIGHT = 20  # remote requests
 
 
 def query(fn: Query) -> Query:
@@ -666,14 +668,14 @@ def predict(spark, sf):
 
 
 def _resumed(spark, sf, setting):
-    """A first call is cut short and leaves a half-written batch; the second one goes on."""
+    """A first call is cut short and leaves a half-written range; the second one goes on."""
     out = scratch_path(spark, "resumed")
     rows = corpus(spark, sf)
-    batch_rows = max(1, rows.count() // 4)
+    batch_rows = max(1, rows.count() // 20)
     run = partial(flows.predict_resumable, rows, doubles.load_echo, out, "seq2seq", setting, batch_rows=batch_rows)
     run(stop_after=2)
-    half = spark.createDataFrame([(-1, "half", "half", "half", "half")], "row_id bigint, nl string, prompt string, fol_gt string, fol_pred string")
-    half.write.option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(f"{out}/batch_id=2")
+    half = "row_id bigint, nl string, prompt string, fol_gt string, fol_pred string"
+    spark.createDataFrame([(-1, "half", "half", "half", "half")], half).write.parquet(f"{out}/{ATTEMPTS}/half")
     run()
     return run()
 
@@ -693,7 +695,7 @@ def _remote(spark, sf, mode):
     run = partial(
         flows.predict_remote, corpus(spark, sf), doubles.flaky_client, out, mode, doubles.NO_WAIT, doubles.steady_client
     )
-    return run(batch_rows=5_000).drop("attempts", "error")
+    return run(batch_rows=500, in_flight=IN_FLIGHT).drop("attempts", "error")
 
 
 @query

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import partial
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.resource import ResourceProfile
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from formulary.functions import predicates as P
 from formulary.operators import prompts, sampling
@@ -12,8 +15,7 @@ from formulary.operators.generation import Client, Model, RetryPolicy, call_with
 from formulary.operators.prompts import ChatTemplate
 from formulary.operators.results import chain_stages, pending
 from formulary.plans.prompt_spec import spec
-from formulary.session import path_exists, scratch_path
-from formulary.sources.writers import append_progress
+from formulary.sources import ranges
 
 
 def training_data(corpus: DataFrame, family: str, setting: str, version: str = "raw", seed: int = 0) -> DataFrame:
@@ -47,49 +49,50 @@ def _with_noise(corpus: DataFrame, family: str, setting: str, version: str, seed
 
 
 def _asked(
-    corpus: DataFrame, family: str, setting: str, version: str, template: ChatTemplate, add_generation_prompt: bool
+    corpus: DataFrame,
+    family: str,
+    setting: str,
+    version: str,
+    template: ChatTemplate,
+    add_generation_prompt: bool,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """(row_id, nl, prompt, fol_gt)."""
-    asked = prompts.route_prompts(corpus, [(family, setting, version)], keep=("nl", "fol"))
+    """(row_id, nl, prompt, fol_gt) and the columns to `keep`."""
+    asked = prompts.route_prompts(corpus, [(family, setting, version)], keep=("nl", "fol", *keep))
     if family != "seq2seq":
         turns = F.array(prompts.message("system", F.col("system")), prompts.message("user", F.col("nl")))
         asked = asked.withColumn("prompt", prompts.render_chat(turns, template, add_generation_prompt))
-    return asked.select("row_id", "nl", "prompt", F.col("fol").alias("fol_gt"))
+    return asked.select("row_id", "nl", "prompt", F.col("fol").alias("fol_gt"), *keep)
 
 
-def _in_batches(
-    corpus: DataFrame,
+def _in_ranges(
+    corpus: Callable[[], DataFrame],
+    spark: SparkSession,
     out_dir: str,
-    batch_rows: int,
+    range_rows: int,
     answer: Callable[[DataFrame], DataFrame],
     done: DataFrame | None,
     stop_after: int | None,
+    tasks: int | None,
 ) -> DataFrame:
-    """Answers batch by batch of `batch_rows` rows in the order of row_id, each written before the next begins.
+    """Answers of all rows, committed range by range in one job; see sources.ranges.
 
-    A batch that an earlier call has finished is not asked again, one that it left half-written is replaced.
-    What is in `done` is not asked. The corpus is written once, a folder per batch, so a batch reads only
-    its rows. `corpus` and `batch_rows` must be those of the earlier call.
+    The first call plans the run: it writes the rows down and so fixes their ranges. Later calls, for the same
+    corpus, ask only ranges that are not committed. Rows that have a result in `done` by then are not asked.
+    `tasks` bounds the tasks that ask at a time.
     """
-    spark, root = corpus.sparkSession, scratch_path(corpus.sparkSession, "batches")
-    batches = sampling.assign_batches(corpus, batch_rows).select(*corpus.columns, "batch_id")
-    batches.write.partitionBy("batch_id").parquet(root)
-    batches = spark.read.schema(batches.schema).parquet(root)
-    last = batches.agg(F.max("batch_id")).first()[0]
-    asked = 0
-    for batch_id in range(0 if last is None else last + 1):
-        folder = f"{out_dir.rstrip('/')}/batch_id={batch_id}"
-        if path_exists(spark, f"{folder}/_SUCCESS"):
-            continue
-        if stop_after is not None and asked == stop_after:
-            break
-        rows = batches.filter(F.col("batch_id") == batch_id).drop("batch_id")
-        append_progress(answer(rows if done is None else pending(rows, done)), out_dir, batch_id)
-        asked += 1
-    schema = answer(batches.drop("batch_id").limit(0)).schema
-    if not path_exists(spark, out_dir):
-        return spark.createDataFrame([], schema)
-    return spark.read.schema(schema.add("batch_id", "long")).parquet(out_dir).drop("batch_id")
+    root = out_dir.rstrip("/")
+    if ranges.planned(spark, root) is None:
+        rows = corpus()
+        ranges.plan_ranges(spark, rows if done is None else pending(rows, done), root, range_rows)
+    rows, count = ranges.open_ranges(spark, root, stop_after)
+    schema = T.StructType([f for f in answer(rows.limit(0)).schema if f.name != ranges.RANGE])
+    if count:
+        rows = rows if done is None else pending(rows, done)
+        width = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+        dealt = ranges.dealt(rows, min(count, tasks or width))
+        ranges.write_ranges(answer(ranges.skip_committed(dealt, root)), root)
+    return ranges.answers(spark, root, schema)
 
 
 def predict_resumable(
@@ -103,20 +106,27 @@ def predict_resumable(
     template: ChatTemplate = ChatTemplate(),
     add_generation_prompt: bool = False,
     seed: int = 0,
-    batch_rows: int = 1_000_000,
+    batch_rows: int = 100_000,
     done: DataFrame | None = None,
     stop_after: int | None = None,
+    profile: ResourceProfile | None = None,
 ) -> DataFrame:
-    """What predict gives, written under `out_dir` in batches; a call after a broken one goes on where it broke.
+    """What predict gives, written under `out_dir`; a call after a broken one goes on where it broke.
 
-    `done` (nl, ...) holds answers of other runs, `stop_after` ends the call after so many batches.
+    The rows are cut into ranges of up to `batch_rows` once, by the first call, and each range is committed by
+    the task that has answered it; any row_id will do. A broken run asks again at most the ranges that were
+    being answered. `done` (nl, ...) holds answers of other runs, `stop_after` ends the call after so many
+    ranges, `profile` asks for what each task of the model needs (see generate).
     """
-    corpus = _with_noise(corpus, family, setting, version, seed)
+    spark = corpus.sparkSession
 
     def answer(rows: DataFrame) -> DataFrame:
-        return generate(_asked(rows, family, setting, version, template, add_generation_prompt), load, batch_size)
+        keep = (ranges.RANGE,)
+        asked = _asked(rows, family, setting, version, template, add_generation_prompt, keep)
+        return generate(asked, load, batch_size, profile=profile)
 
-    return _in_batches(corpus, out_dir, batch_rows, answer, done, stop_after)
+    rows = partial(_with_noise, corpus, family, setting, version, seed)
+    return _in_ranges(rows, spark, out_dir, batch_rows, answer, done, stop_after, None)
 
 
 FEW_SHOT_SETTINGS = {
@@ -135,22 +145,33 @@ def predict_remote(
     policy: RetryPolicy = RetryPolicy(),
     make_fallback: Callable[[], Client] | None = None,
     seed: int = 0,
-    batch_rows: int = 10_000,
+    batch_rows: int = 1_000,
     done: DataFrame | None = None,
     stop_after: int | None = None,
+    in_flight: int | None = None,
 ) -> DataFrame:
     """One remote request per row with the worked examples of `mode`: none, own, own_noise or reasoning.
 
-    (row_id, nl, fol_pred, fol_gt, reasoning, fallback_used, status, attempts, error), written in batches as
-    predict_resumable does, so what has been paid for is kept.
+    (row_id, nl, fol_pred, fol_gt, reasoning, fallback_used, status, attempts, error), committed range by range
+    as predict_resumable does, so what has been paid for is kept. At most `in_flight` requests are open at a
+    time over the whole cluster: that many divided by the threads of a task is the number of tasks. Speculative
+    attempts of Spark would come on top.
     """
     setting = FEW_SHOT_SETTINGS[mode]
-    corpus = _with_noise(corpus, "few_shot", setting, "raw", seed)
+    spark = corpus.sparkSession
+    tasks = None
+    if in_flight is not None:
+        if in_flight < 1:
+            raise ValueError("at least one request in flight")
+        policy = replace(policy, threads=min(policy.threads, in_flight))
+        tasks = in_flight // policy.threads
 
     def answer(rows: DataFrame) -> DataFrame:
-        asked = prompts.route_prompts(rows, [("few_shot", setting, "raw")], keep=("nl", "fol"))
-        answered = call_with_retry(asked.select("row_id", "nl", "system", "fol"), make_client, policy, make_fallback)
+        keep = ("nl", "fol", ranges.RANGE)
+        asked = prompts.route_prompts(rows, [("few_shot", setting, "raw")], keep=keep).select("row_id", "system", *keep)
+        answered = call_with_retry(asked, make_client, policy, make_fallback)
         return answered.select(
+            ranges.RANGE,
             "row_id",
             "nl",
             "fol_pred",
@@ -162,7 +183,8 @@ def predict_remote(
             "error",
         )
 
-    return _in_batches(corpus, out_dir, batch_rows, answer, done, stop_after)
+    rows = partial(_with_noise, corpus, "few_shot", setting, "raw", seed)
+    return _in_ranges(rows, spark, out_dir, batch_rows, answer, done, stop_after, tasks)
 
 
 def predict_in_two_steps(

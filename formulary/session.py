@@ -74,6 +74,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    files, at = _file_system(spark, path)
+    files.create(at, True).close()
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Removes what this application wrote in the shared folder. Tables that still read it end here."""
     files, at = _file_system(spark, f"{shared_dir(spark).rstrip('/')}/formulary-{spark.sparkContext.applicationId}")
