@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import partial
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from formulary import schemas
@@ -96,13 +97,28 @@ def _joined(c: str, sep: str = " ") -> F.Column:
 # -- sources and sinks -----------------------------------------------------------------------------
 
 
+def _as_arrays(rows, path):
+    """One file per task, all of its rows as one JSON array, the way each split of a corpus is stored."""
+    lines = rows.select(F.to_json(F.struct(F.col("nl").alias("NL"), F.col("fol").alias("FOL"))).alias("value"))
+
+    def framed(batches):
+        mark = "["
+        for batch in batches:
+            values = batch.column("value").to_pylist()
+            out = [f"{mark if k == 0 else ','}{v}" for k, v in enumerate(values)]
+            mark = "," if values else mark
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if mark == "[" else "]"])], ["value"])
+
+    lines.mapInArrow(framed, "value string").write.text(path)
+
+
 @query
 def read_pairs_json(spark, sf):
+    """Arrays of many rows, read in ranges of 64 KiB."""
     path = scratch_path(spark, "pairs")
-    pair = F.struct(F.col("nl").alias("NL"), F.col("fol").alias("FOL"))
-    files = corpus(spark, sf).withColumn("file", F.floor(F.col("row_id") / FILE_ROWS)).groupBy("file")
-    files.agg(F.to_json(F.collect_list(pair)).alias("value")).write.partitionBy("file").text(path)
-    return readers.read_pairs_json(spark, path)
+    _as_arrays(corpus(spark, sf), path)
+    return readers.read_pairs_json(spark, path, 64 << 10)
 
 
 @query

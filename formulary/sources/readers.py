@@ -1,19 +1,21 @@
-"""Reading corpora. Every reader gets its schema; several files in a folder are read in parallel."""
+"""Reading corpora. Every reader gets its schema; files, and parts of one large JSON array, are read in parallel."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from formulary import schemas
+from formulary.sources.arrays import RANGE_BYTES, elements
 
 
-def read_pairs_json(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array of {NL, FOL} objects.
+def read_pairs_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Files that each hold one JSON array of {NL, FOL} objects; a file of any size is read by many tasks.
 
-    A JSON array cannot be split, so one file is one task: keep large corpora as many files.
+    An element that is not such an object gives a row of nulls. The files are listed and sized when this is called.
     """
-    raw = spark.read.schema(schemas.PAIR_FILE).option("multiLine", True).json(path)
-    return raw.select(F.col("NL").alias("nl"), F.col("FOL").alias("fol"))
+    pair = F.from_json("value", schemas.PAIR_FILE)
+    raw = elements(spark, path, range_bytes).select(pair.alias("pair"))
+    return raw.select(F.col("pair.NL").alias("nl"), F.col("pair.FOL").alias("fol"))
 
 
 def read_examples_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -39,10 +41,15 @@ def training_languages(df: DataFrame, langs: list[str]) -> DataFrame:
 def read_results(spark: SparkSession, path: str, lines: bool = True, folders: str | None = None) -> DataFrame:
     """Stored results of any variant, with all their spellings; harmonise_results merges those.
 
-    One JSON object per line, or with lines=False one JSON array per file. `folders` names the column of a
+    One JSON object per line, or with lines=False one JSON array per file (read_array splits large ones). `folders` names the column of a
     table that is partitioned by one.
     """
     schema = T.StructType(schemas.RESULT_FILE.fields)
     if folders:
         schema = schema.add(folders, "string")
     return spark.read.schema(schema).option("multiLine", not lines).json(path)
+
+
+def read_array(spark: SparkSession, path: str, schema: T.StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """Elements of JSON arrays, one array per file, as rows of `schema`; one file is read by many tasks."""
+    return elements(spark, path, range_bytes).select(F.from_json("value", schema).alias("row")).select("row.*")
