@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, functions as F
 
 from formulary.functions.text import safe_file_name
@@ -29,9 +31,13 @@ def write_examples_jsonl(df: DataFrame, path: str) -> None:
     ).write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
-def append_progress(df: DataFrame, path: str, batch_id: int) -> None:
-    """Add one batch. A repeated batch_id replaces its own rows only, so a retry adds nothing."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
+def append_progress(df: DataFrame, path: str, batch_id: int, folders: Sequence[str] = ()) -> None:
+    """Add one batch. A repeated batch_id replaces its own rows only, so a retry adds nothing.
+
+    `folders` are columns by which the batch is laid out below its own folder. For whole runs see sources.ranges.
+    """
+    out = df.write.mode("overwrite").option("partitionOverwriteMode", "static")
+    (out.partitionBy(*folders) if folders else out).parquet(f"{path.rstrip('/')}/batch_id={int(batch_id)}")
 
 
 # The stored names of each variant's columns.

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from formulary import schemas
@@ -18,15 +18,49 @@ from formulary.operators.skew import text_key
 from formulary.sources.writers import append_progress
 
 
-def stored(spark: SparkSession, out_dir: str) -> DataFrame:
-    """All predictions written so far."""
-    schema = T.StructType([*schemas.ANSWERED.fields, T.StructField("batch_id", T.LongType())])
+# What lies in a batch's folder besides the answers: the pair's key, in a folder per day on which it was seen.
+KEY, DAY = "key", "day"
+FOLDERS = [T.StructField("batch_id", T.LongType()), T.StructField(DAY, T.DateType())]
+MAX_BROADCAST_KEYS = 1_000_000  # keys of one batch, of 32 bytes each
+
+
+def pair_key(nl: str, fol: str) -> Column:
+    return F.unhex(F.sha2(F.to_json(F.array(nl, fol)), 256))
+
+
+def _written(spark: SparkSession, out_dir: str, fields: list[T.StructField]) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(out_dir).drop("batch_id")
+        return spark.read.schema(T.StructType([*fields, *FOLDERS])).parquet(out_dir)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return spark.createDataFrame([], schemas.ANSWERED)
+        return spark.createDataFrame([], T.StructType([*fields, *FOLDERS]))
+
+
+def stored(spark: SparkSession, out_dir: str) -> DataFrame:
+    """All predictions written so far."""
+    return _written(spark, out_dir, schemas.ANSWERED.fields).select(*schemas.ANSWERED.names)
+
+
+def older_keys(spark: SparkSession, out_dir: str, window: str, but: int) -> DataFrame:
+    """Keys of the pairs answered on days that may lie beyond the query's state; other days are not read.
+
+    The folder of batch `but` is left out, as a batch that is repeated has been written before.
+    """
+    last = F.date_add(F.to_date(F.current_timestamp() - F.expr(f"INTERVAL {window}")), 1)
+    keys = _written(spark, out_dir, [T.StructField(KEY, T.BinaryType())])
+    return keys.filter((F.col(DAY) < last) & (F.col("batch_id") != but)).select(KEY)
+
+
+def _without_older(batch: DataFrame, batch_id: int, out_dir: str, window: str) -> DataFrame:
+    older = older_keys(batch.sparkSession, out_dir, window, batch_id)
+    if older.isEmpty():
+        return batch
+    keys = batch.select(KEY)
+    if keys.count() <= MAX_BROADCAST_KEYS:
+        keys = F.broadcast(keys)
+    # The batch's keys go to the stored ones, however many those are; what they meet is no larger than the batch.
+    return batch.join(older.join(keys, KEY, "left_semi").distinct(), KEY, "left_anti")
 
 
 def predict_batch(
@@ -37,17 +71,18 @@ def predict_batch(
     request: tuple[str, str, str] = ("seq2seq", "standard", "raw"),
     batch_size: int = 32,
     done: DataFrame | None = None,
+    window: str = "7 days",
 ) -> None:
-    """One micro-batch: sentences answered in `done` are left out, the rest generated and written.
-
-    A repeated batch replaces its own rows.
+    """One micro-batch of row_id, nl, fol, key and seen: what was answered longer than `window` ago, or in `done`, is
+    left out, the rest answered. A repeated batch replaces its own rows.
     """
-    if done is not None:
-        batch.persist()  # the resume join reads it twice, the query's state should be stepped once
-    todo = pending(batch, done) if done is not None else batch
-    prompts = route_prompts(todo, [request], keep=("nl", "fol"))
-    answered = generate(prompts.select("nl", "prompt", F.col("fol").alias("fol_gt")), load, batch_size)
-    append_progress(answered, out_dir, batch_id)
+    batch.persist()  # read more than once, while the query's state is stepped once
+    todo = _without_older(batch, batch_id, out_dir, window)
+    todo = pending(todo, done) if done is not None else todo
+    prompts = route_prompts(todo, [request], keep=("nl", "fol", KEY, "seen"))
+    asked = prompts.select("nl", "prompt", F.col("fol").alias("fol_gt"), KEY, F.to_date("seen").alias(DAY))
+    answered = generate(asked, load, batch_size)
+    append_progress(answered, out_dir, batch_id, [DAY])
     batch.unpersist()
 
 
@@ -59,7 +94,7 @@ def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def _demand_large_state(spark: SparkSession) -> None:
-    """Keys are kept for good, so on a cluster they must not lie in the executors' heaps."""
+    """All keys of a window are kept, so on a cluster they must not lie in the executors' heaps."""
     provider = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
     if not spark.sparkContext.master.startswith("local") and "RocksDB" not in provider:
         raise RuntimeError("set spark.sql.streaming.stateStore.providerClass to the RocksDB provider")
@@ -75,31 +110,36 @@ def stream_predictions(
     batch_size: int = 32,
     files_per_batch: int | None = None,
     done: DataFrame | None = None,
+    window: str = "7 days",
 ) -> StreamingQuery:
     """Predict once per sentence and formula for the corpus files that appear in `src_dir`, then stop.
 
-    A restart goes on behind the checkpoint. Pairs seen before are known from the query's state by a key of
-    32 bytes, so a batch costs what it brings and never rereads the output; `done` adds results that are
-    older than the query. A sentence with several true formulas is answered next to each of them. The state
-    grows with the different pairs: on a cluster the RocksDB state store is demanded.
+    A restart goes on behind the checkpoint. Pairs seen within `window` are known from the query's state by a key
+    of 32 bytes; older keys leave the state and are looked up in the output, of which only the keys of days
+    that old are read. So the state ends with the window, and no pair is answered twice. `done` adds results
+    that are older than the query. A sentence with several true formulas is answered next to each of them. On a
+    cluster the RocksDB state store is demanded.
     """
     _demand_large_state(spark)
     reader = spark.readStream.schema(schemas.PAIR_FILE).option("multiLine", True)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    # The time of the batch, which a repeated batch has again: no pair is ever late.
     pairs = reader.json(src_dir).select(
-        F.unhex(F.sha2(F.to_json(F.array("NL", "FOL")), 256)).alias("key"),
+        pair_key("NL", "FOL").alias(KEY),
         text_key("NL").alias("row_id"),
         F.col("NL").alias("nl"),
         F.col("FOL").alias("fol"),
+        F.current_timestamp().alias("seen"),
     )
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        predict_batch(batch.drop("key"), batch_id, out_dir, load, request, batch_size, done)
+        predict_batch(batch, batch_id, out_dir, load, request, batch_size, done, window)
 
     return (
         pairs.mapInArrow(_first_of_each, pairs.schema)
-        .dropDuplicates(["key"])
+        .withWatermark("seen", window)
+        .dropDuplicatesWithinWatermark([KEY])
         .writeStream.foreachBatch(each)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)

@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,6 +9,7 @@ from formulary.operators import generation, prompts
 from formulary.plans import doubles
 from formulary.sources import readers, writers
 from formulary.streaming import predictions as stream
+from support import plan_of
 
 
 def test_pairs_json(spark, tmp_path):
@@ -36,7 +38,6 @@ def test_examples_jsonl(spark, tmp_path):
 
 
 def test_split_pruning(spark, tmp_path):
-    from support import plan_of
 
     df = spark.range(20).withColumn("split", F.when(F.col("id") < 5, "val").otherwise("train"))
     df.write.partitionBy("split").parquet(str(tmp_path / "t"))
@@ -95,14 +96,47 @@ def test_stream_equals_batch_and_restarts(spark, tmp_path):
     assert {(r.prompt, r.fol_pred) for r in rows} == want
 
 
-def test_a_repeated_batch_adds_nothing(spark, tmp_path):
+def keyed(spark, rows):
+    batch = spark.createDataFrame(rows, "row_id string, nl string, fol string")
+    return batch.withColumns({"key": stream.pair_key("nl", "fol"), "seen": F.current_timestamp()})
+
+
+@pytest.mark.parametrize("window", ["7 days", "1 second"])
+def test_a_repeated_batch_adds_nothing(spark, tmp_path, window):
     out = str(tmp_path / "out")
-    batch = spark.createDataFrame([("k1", "a", "F"), ("k2", "b", "G")], "row_id string, nl string, fol string")
     for _ in range(2):
-        stream.predict_batch(batch, 5, out, doubles.load_echo)
+        stream.predict_batch(keyed(spark, [("k1", "a", "F"), ("k2", "b", "G")]), 5, out, doubles.load_echo, window=window)
     assert stream.stored(spark, out).count() == 2
 
 
+def test_keys_beyond_the_window_are_found_in_the_output(spark, tmp_path):
+    out = tmp_path / "out"
+    stream.predict_batch(keyed(spark, [("k1", "a", "F"), ("k2", "b", "G")]), 0, str(out), doubles.load_echo)
+    again = keyed(spark, [("k1", "a", "F"), ("k2", "b", "H"), ("k3", None, None)])
+    # Within the window the query's state would know them; the output is not asked.
+    assert stream.older_keys(spark, str(out), "7 days", 1).count() == 0
+    (day,) = (out / "batch_id=0").glob("day=*")
+    day.rename(day.parent / "day=2001-01-01")
+    assert stream.older_keys(spark, str(out), "7 days", 1).count() == 2
+    plan = plan_of(stream.older_keys(spark, str(out), "7 days", 1))
+    assert "PartitionFilters: [isnotnull(day" in plan
+    stream.predict_batch(again, 1, str(out), doubles.load_echo)
+    got = sorted(((r.nl, r.fol_gt) for r in stream.stored(spark, str(out)).collect()), key=str)
+    assert got == [("a", "F"), ("b", "G"), ("b", "H"), (None, None)]
+
+
+def test_state_ends_with_the_window(spark, tmp_path):
+    src, out, state = tmp_path / "src", str(tmp_path / "out"), str(tmp_path / "state")
+    sizes = []
+    for k in range(6):
+        write_pairs(src, f"{k}.json", [f"s{k}-{i}" for i in range(50)] + ["common"])
+        query = stream.stream_predictions(spark, str(src), out, state, doubles.load_echo, window="1 second")
+        query.awaitTermination()
+        sizes += [p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators]
+        time.sleep(2.5)
+    assert max(sizes) <= 210 and sizes[-1] <= 110 and stream.stored(spark, out).count() == 301, sizes
+
+
 class FakeSession:
     def __init__(self, master, conf=None, current=None):
         self.set_to = None
@@ -135,7 +169,6 @@ def test_shared_folder_comes_from_the_cluster():
 
 
 def test_stored_table_keeps_only_asked_columns(spark):
-    from support import plan_of
 
     df = session.store(spark.range(5).withColumn("wide", F.lit("w")), "t")
     assert "ReadSchema: struct<id:bigint>" in plan_of(df.select("id")) and df.count() == 5
