@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
 from formulary.functions import text as X
@@ -18,6 +20,7 @@ PAD, UNKNOWN, FIRST_ID = 0, 1, 2
 MAX_SHIPPED_VOCAB = 500_000
 MAX_SHIPPED_BYTES = 64 << 20
 MAX_EXTENSION = 10_000
+PORTION_TOKENS = 1 << 20  # tokens, or one longer row, whose different ones are joined as one portion
 
 
 def vocab_build(df: DataFrame, size: int | None = None, text: str = "text") -> DataFrame:
@@ -52,26 +55,58 @@ def extend_vocab(vocab: DataFrame, tokens: list[str]) -> DataFrame:
     return vocab.select("token", "id").union(missing.select("token", (top + rank).cast("int").alias("id")))
 
 
-def _small_vocab(vocab: DataFrame, limit: int) -> pa.Table | None:
-    """The vocabulary as an Arrow table if its checked size allows sending it to every task."""
+class Index:
+    """A lookup table for tasks. Its hash table is built once in a Python worker, whatever batches and tasks it has."""
+
+    def __init__(self, keys: pa.Array, values: pa.Array):
+        self.keys, self.values = keys, values
+        self._place: dict | None = None
+
+    def __getstate__(self):
+        return self.keys, self.values
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def of(self, keys: pa.Array) -> pa.Array:
+        """Their values, null where there is none. Every different key is looked up once."""
+        if self._place is None:
+            self._place = {k: i for i, k in enumerate(self.keys.to_pylist())}
+        coded = keys.dictionary_encode()
+        found = pa.array(map(self._place.get, coded.dictionary.to_pylist()), pa.int64())
+        return self.values.take(found).take(coded.indices)
+
+
+def _small_vocab(vocab: DataFrame, limit: int, key: str, value: str) -> Index | None:
+    """The vocabulary as an index if its checked size allows sending it to every task."""
     entries, size = vocab.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("token")), F.lit(0))).first()
     if entries > limit or size > MAX_SHIPPED_BYTES:
         return None
-    return vocab.select("token", "id").toArrow().combine_chunks()
+    table = vocab.select("token", "id").toArrow().combine_chunks()
+    return Index(*(_one(table[c]) for c in (key, value)))
 
 
-def _map_lists(lists: pa.ListArray, keys: pa.Array, values: pa.Array, default) -> pa.ListArray:
-    """Replace every list element by its value, lists keep their lengths."""
-    mapped = pc.take(values, pc.index_in(lists.flatten(), value_set=keys))
-    if default is not None:
-        mapped = pc.fill_null(mapped, default)
+def _one(column) -> pa.Array:
+    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
     ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(lists), 0)).cast(pa.int32())
-    offsets = pa.concat_arrays([pa.array([0], pa.int32()), ends])
-    return pa.ListArray.from_arrays(offsets, mapped, mask=lists.is_null())
+    return pa.concat_arrays([pa.array([0], pa.int32()), ends])
 
 
-def _one(column) -> pa.Array:
-    return column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+def _with_elements(lists: pa.ListArray, elements: pa.Array) -> pa.ListArray:
+    """Other elements in lists of the same lengths."""
+    return pa.ListArray.from_arrays(_offsets(lists), elements, mask=lists.is_null())
+
+
+def _joined_text(tokens: pa.ListArray) -> pa.Array:
+    """Tokens that are not null, with blanks between them."""
+    flat = tokens.flatten()
+    owner = pc.list_parent_indices(tokens).filter(flat.is_valid())
+    counts = np.bincount(owner.to_numpy(), minlength=len(tokens)).astype(np.int32)
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return pc.binary_join(pa.ListArray.from_arrays(ends, flat.drop_null()), " ")
 
 
 def encode(
@@ -84,24 +119,24 @@ def encode(
 
     Several texts of a row are encoded in one pass when given as {result column: text column}.
 
-    A vocabulary of checked size is shipped to the tasks and looked up per Arrow batch, without a
-    shuffle of the tokens. A larger one is joined; frequent tokens are then served by broadcast. Both give
-    the same rows. Jobs run when this is called: the vocabulary is measured, and for a join the rows are
-    numbered and frequent tokens counted.
+    A vocabulary of checked size is shipped to the tasks and looked up there. A larger one is joined with
+    the different tokens of each portion of rows; frequent tokens are then served by broadcast. Both give the
+    same rows. Jobs run when this is called: the vocabulary is measured, and for a join the portions are written
+    and frequent tokens counted.
     """
     texts = {"ids": text} if isinstance(text, str) else text
     none = F.array().cast("array<string>")
     tokens = df.select("row_id", *[F.coalesce(X.words(c), none).alias(out) for out, c in texts.items()])
-    table = _small_vocab(vocab, max_shipped)
-    if table is None:
+    index = _small_vocab(vocab, max_shipped, "token", "id")
+    if index is None:
         return _encode_by_join(tokens, vocab)
-    shipped = df.sparkSession.sparkContext.broadcast(table)
+    shipped = df.sparkSession.sparkContext.broadcast(index)
     outs = list(texts)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, ids = _one(shipped.value["token"]), _one(shipped.value["id"])
         for batch in batches:
-            mapped = [_map_lists(batch.column(o), keys, ids, UNKNOWN) for o in outs]
+            lists = [batch.column(o) for o in outs]
+            mapped = [_with_elements(x, pc.fill_null(shipped.value.of(x.flatten()), UNKNOWN)) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), *mapped], ["row_id", *outs])
 
     kinds = "".join(f", {o} array<int>" for o in outs)
@@ -112,32 +147,79 @@ def _type(df: DataFrame, column: str) -> str:
     return df.schema[column].dataType.simpleString()
 
 
-def _own_rows(df: DataFrame) -> DataFrame:
-    """Rows with a number of their own, written down once: rows that share a row_id stay apart, and nothing
-    that computes them runs for each of the passes of a join."""
-    return store(df.withColumn("_row", F.monotonically_increasing_id()), "rows")
+def _portions(batch: pa.RecordBatch, outs: list[str]) -> Iterator[pa.RecordBatch]:
+    """The batch cut where its lists hold about PORTION_TOKENS elements."""
+    sizes = sum(np.asarray(pc.fill_null(pc.list_value_length(batch.column(o)), 0)).astype(np.int64) for o in outs)
+    portion = np.cumsum(sizes) // PORTION_TOKENS
+    starts = np.flatnonzero(np.append(True, portion[1:] != portion[:-1])) if len(portion) else []
+    for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+        yield batch.slice(int(start), int(stop - start))
 
 
-def _encode_by_join(tokens: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    outs = [c for c in tokens.columns if c != "row_id"]
-    lists = F.array(*[F.struct(F.lit(i).alias("which"), F.col(o).alias("t")) for i, o in enumerate(outs)])
-    each = _own_rows(tokens).select("_row", "row_id", F.explode(lists).alias("l"))
-    flat = each.select(
-        "_row", "row_id", F.col("l.which").alias("which"), F.posexplode_outer("l.t").alias("pos", "token")
-    )
-    looked_up = lookup_join(
-        flat, vocab.select("token", "id"), "token", "id", ["_row", "which", "pos"], min_heavy_rows
-    )
-    placed = F.when(
-        F.col("pos").isNotNull(), F.struct("which", "pos", F.coalesce("id", F.lit(UNKNOWN)).alias("id"))
-    )
-    rows = looked_up.groupBy("_row", "row_id").agg(F.sort_array(F.collect_list(placed)).alias("placed"))
+def _exchanged(
+    rows: DataFrame,
+    lookup: DataFrame,
+    payload: str,
+    min_heavy_rows: int,
+    finish: Callable[[pa.ListArray], pa.Array],
+    kind: str,
+) -> DataFrame:
+    """row_id and the lists of `rows`, each element replaced by its payload in `lookup` (token, payload).
+
+    No element becomes a row. A task numbers the different elements of a portion of rows; the lists keep these
+    numbers, and each different element leaves once, to be joined. What it found comes back to its portion, of
+    bounded size. The portions are written down, so a lost executor changes no number.
+    """
+    outs = [c for c in rows.columns if c != "row_id"]
+    row_id = _type(rows, "row_id")
+    numbers = "".join(f", {o} array<int>" for o in outs)
+
+    def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        portion = TaskContext.get().partitionId() << 32
+        names = ["portion", "place", "token", "row_id", *outs]
+        for batch in (part for whole in batches for part in _portions(whole, outs)):
+            lists = [batch.column(o) for o in outs]
+            coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
+            codes, at, numbered = coded.indices.cast(pa.int32()), 0, []
+            for x in lists:
+                size = len(x.flatten())
+                numbered.append(_with_elements(x, codes.slice(at, size)))
+                at += size
+            n, m = batch.num_rows, len(coded.dictionary)
+            key = pa.array(np.full(max(n, m), portion))
+            none = pa.nulls(n, pa.string())
+            kept = [key.slice(0, n), pa.array(np.full(n, -1, np.int32)), none, batch.column("row_id"), *numbered]
+            yield pa.RecordBatch.from_arrays(kept, names)
+            own = [key.slice(0, m), pa.array(np.arange(m, dtype=np.int32)), coded.dictionary.cast(pa.string())]
+            blank = [pa.nulls(m, x.type) for x in kept[3:]]
+            yield pa.RecordBatch.from_arrays([*own, *blank], names)
+            portion += 1
+
+    schema = f"portion bigint, place int, token string, row_id {row_id}{numbers}"
+    parts = store(rows.mapInArrow(apart, schema), "portions")
+    asked = parts.filter("place >= 0").select("portion", "place", "token")
+    found = lookup_join(asked, lookup, "token", payload, ["portion", "place"], min_heavy_rows)
+
+    def together(lists: pa.Table, values: pa.Table) -> pa.Table:
+        order = pc.sort_indices(values["place"])
+        known = _one(values[payload].take(order))
+        columns = [_one(lists["row_id"])]
+        for o in outs:
+            own = _one(lists[o])
+            columns.append(finish(_with_elements(own, known.take(own.flatten()))))
+        return pa.Table.from_arrays(columns, ["row_id", *outs])
+
+    kept = parts.filter("place < 0").select("portion", "row_id", *outs).groupBy("portion")
+    back = kept.cogroup(found.select(F.col("portion").alias("of"), "place", payload).groupBy("of"))
+    return back.applyInArrow(together, f"row_id {row_id}" + "".join(f", {o} {kind}" for o in outs))
 
-    def ids_of(i: int, out: str):
-        mine = F.filter("placed", lambda p: p["which"] == i) if len(outs) > 1 else F.col("placed")
-        return mine["id"].alias(out)
 
-    return rows.select("row_id", *[ids_of(i, o) for i, o in enumerate(outs)])
+def _encode_by_join(tokens: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    def known_or_not(ids: pa.ListArray) -> pa.Array:
+        return _with_elements(ids, pc.fill_null(ids.flatten(), UNKNOWN))
+
+    lookup = vocab.select("token", "id").filter("token IS NOT NULL")
+    return _exchanged(tokens, lookup, "id", min_heavy_rows, known_or_not, "array<int>")
 
 
 def training_rows(prompts: DataFrame, vocab: DataFrame, length: int = 512) -> DataFrame:
@@ -184,27 +266,21 @@ def decode(
     kept = encoded.select(
         "row_id", F.filter("ids", lambda i: ~i.isin(list(specials)) if specials else F.lit(True)).alias("ids")
     )
-    table = _small_vocab(vocab, max_shipped)
-    if table is None:
+    index = _small_vocab(vocab, max_shipped, "id", "token")
+    if index is None:
         return _decode_by_join(kept, vocab)
-    shipped = encoded.sparkSession.sparkContext.broadcast(table)
+    shipped = encoded.sparkSession.sparkContext.broadcast(index)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, tokens = _one(shipped.value["id"]), _one(shipped.value["token"])
         for batch in batches:
-            mapped = _map_lists(batch.column("ids"), ids, tokens, None)
-            yield pa.RecordBatch.from_arrays([batch.column("row_id"), mapped], ["row_id", "tokens"])
+            ids = batch.column("ids")
+            text = _joined_text(_with_elements(ids, shipped.value.of(ids.flatten())))
+            yield pa.RecordBatch.from_arrays([batch.column("row_id"), text], ["row_id", "text"])
 
-    words = kept.mapInArrow(look_up, f"row_id {_type(encoded, 'row_id')}, tokens array<string>")
-    return words.select("row_id", F.array_join("tokens", " ").alias("text"))
+    return kept.mapInArrow(look_up, f"row_id {_type(encoded, 'row_id')}, text string")
 
 
 def _decode_by_join(kept: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
-    by_key = vocab.select(F.col("id").cast("string").alias("key"), "token")
-    flat = _own_rows(kept).select("_row", "row_id", F.posexplode_outer("ids").alias("pos", "key")).withColumn(
-        "key", F.col("key").cast("string")
-    )
-    named = lookup_join(flat, by_key, "key", "token", ["_row", "pos"], min_heavy_rows)
-    placed = F.when(F.col("token").isNotNull(), F.struct("pos", "token"))
-    lists = named.groupBy("_row", "row_id").agg(F.sort_array(F.collect_list(placed)).alias("p"))
-    return lists.select("row_id", F.array_join(F.col("p.token"), " ").alias("text"))
+    by_id = vocab.filter("id IS NOT NULL").select(F.col("id").cast("string").alias("token"), F.col("token").alias("text"))
+    rows = kept.select("row_id", F.col("ids").alias("text"))
+    return _exchanged(rows, by_id, "text", min_heavy_rows, _joined_text, "string")

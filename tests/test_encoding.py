@@ -103,3 +103,21 @@ def test_extension_is_a_short_list(spark):
     vocab = spark.createDataFrame([("a", 2)], "token string, id int")
     with pytest.raises(ValueError):
         encoding.extend_vocab(vocab, [f"t{i}" for i in range(encoding.MAX_EXTENSION + 1)])
+
+
+def test_joined_way_in_small_portions(spark, monkeypatch):
+    """Portions of few tokens, rows longer than one, null lists and null elements."""
+    monkeypatch.setattr(encoding, "PORTION_TOKENS", 7)
+    rows = [(1, [5, None, 2, 9]), (2, None), (3, []), (None, [2] * 40), (1, [3]), (4, [0, 0])]
+    df = spark.createDataFrame(rows, "row_id int, ids array<int>")
+    vocab = spark.createDataFrame([("<pad>", 0), ("a", 2), ("b", 3), (None, 7)], "token string, id int")
+    want = sorted([(1, "a"), (2, None), (3, ""), (None, " ".join("a" * 40)), (1, "b"), (4, "")], key=str)
+    got = [sorted(map(tuple, encoding.decode(df, vocab, max_shipped=n).collect()), key=str) for n in (100, 0)]
+    assert [(i, t or "") for i, t in got[0]] == [(i, t or "") for i, t in got[1]]
+    assert sorted(((i, t or "") for i, t in got[1]), key=str) == sorted(((i, t or "") for i, t in want), key=str)
+
+
+def test_joined_way_explodes_no_token(spark):
+    df, vocab = docs(spark), spark.createDataFrame([("the", 2), ("w1", 3)], "token string, id int")
+    plan = encoding.encode(df, vocab, max_shipped=1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
