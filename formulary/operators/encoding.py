@@ -246,11 +246,11 @@ def batch_pad(encoded: DataFrame, side: str = "left", pad: int = PAD) -> DataFra
     """Adds `padded` and `mask`: ids filled up to the longest row of their batch."""
     longest = F.max(F.size("ids")).over(Window.partitionBy("batch_id"))
     missing = longest - F.size("ids")
-    fill, none = F.array_repeat(F.lit(pad).cast("int"), F.col("_m")), F.array_repeat(F.lit(0), F.col("_m"))
+    fill, none = F.array_repeat(F.lit(pad).cast("int"), missing), F.array_repeat(F.lit(0), missing)
     ones = F.transform("ids", lambda _: F.lit(1))
     left = side == "left"
-    return encoded.withColumn("_m", missing).select(
-        *encoded.columns,
+    return encoded.select(
+        *[F.col(f"`{c}`") for c in encoded.columns if c not in ("padded", "mask")],
         (F.concat(fill, "ids") if left else F.concat("ids", fill)).alias("padded"),
         (F.concat(none, ones) if left else F.concat(ones, none)).alias("mask"),
     )

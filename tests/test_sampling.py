@@ -1,5 +1,6 @@
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from formulary.operators import sampling
@@ -104,3 +105,52 @@ def test_draws_follow_one_rule_for_every_size(spark):
         got = df.select(sampling.drawn_positions(F.col("id"), F.col("n"), 5, 0).alias("p")).collect()
         for r in got:
             assert len(r.p) == len(set(r.p)) == min(5, n) and all(0 <= p < n for p in r.p)
+
+
+@pytest.mark.parametrize("shared", ["NULL", "7"])
+def test_a_value_that_many_rows_share_is_sorted_by_many_tasks(spark, shared):
+    rows = spark.range(30_000).selectExpr(f"IF(id % 3 = 0, {shared}, id + 10) AS row_id", "id AS x").repartition(6)
+    merging = "spark.sql.adaptive.coalescePartitions.enabled"  # small partitions would become one
+    spark.conf.set(merging, "false")
+    try:
+        placed = sampling.dense_index(rows)
+    finally:
+        spark.conf.unset(merging)
+    tied = placed.filter("row_id IS NULL OR row_id = 7")
+    # The rows are read from the table of sorted partitions, a file for each of them.
+    per_file = tied.groupBy(F.input_file_name()).count().collect()
+    assert len(per_file) >= 2 and max(r["count"] for r in per_file) <= 6_000
+    got = placed.orderBy("idx").collect()
+    assert [r.idx for r in got] == list(range(30_000))
+    keys = [(r.row_id is not None, r.row_id or 0) for r in got]
+    assert keys == sorted(keys)
+
+
+def test_callers_columns_stay(spark):
+    helpers = ["n", "g", "tie", "pid", "pos", "c", "first", "all", "k", "k0", "start", "before", "rows", "_pid", "_pos", "_n", "_row"]
+    helpers += ["c0", "c1", "of_pid", "shift", "_first", "_all", "preds", "peer_id", "of_idx"]
+    made = ["idx", "batch_id", "batch_start", "batch_end"]
+    schema = "row_id int, " + ", ".join(f"`{c}` string" for c in helpers + made) + ", split string, fol string, nl string, noise int"
+    for ids in (range(5), [1, 1, None, None, 2]):
+        data = [(i, *[f"{c}{k}" for c in helpers + made], None, "Cat(x)", f"s{k}", 9) for k, i in enumerate(ids)]
+        df = spark.createDataFrame(data, schema)
+        batches = sampling.assign_batches(df, 2)
+        assert batches.columns == [c for c in df.columns if c not in made] + made
+        got = batches.collect()
+        assert sorted(r.idx for r in got) == [0, 1, 2, 3, 4] and {r.n for r in got} == {r[1] for r in data}
+        assert sorted(r.g for r in sampling.with_index(df, df).collect()) == [f"g{k}" for k in range(5)]
+        noisy = sampling.with_noise(df).collect()
+        assert sorted((r.nl, r.pid, r.idx) for r in noisy) == [(f"s{k}", f"pid{k}", f"idx{k}") for k in range(5)]
+        assert all(r.noise == ["Cat"] for r in noisy)
+
+
+def test_rows_without_an_id_of_their_own_keep_their_prompts(spark):
+    rows = [(None if k % 3 else 5, f"s{k}", f"P{k}(x) ∧ Both(x)", None if k % 2 else "train") for k in range(60)]
+    df = spark.createDataFrame(rows, "row_id int, nl string, fol string, split string")
+    got = sampling.prompt_noisy_preds(df).collect()
+    assert len(got) == 60
+    noisy = {r.nl: r.noise for r in sampling.with_noise(df).collect()}
+    assert len(noisy) == 60 and all("Both" in v and len(v) == 6 for v in noisy.values())
+    # Only rows of the same split, null being one, are drawn.
+    assert all({int(p[1:]) % 2 for p in v if p != "Both"} == {int(s[1:]) % 2} for s, v in noisy.items())
+    assert sampling.noise_rows(df).count() == 300
