@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from formulary.functions.text import PHI, _col
 from formulary.operators.prompts import message
 from formulary.plans import fixed_texts as t
+from formulary.session import store
 
 
 BLOCK = 256  # positions per block of a running context
@@ -21,43 +22,56 @@ def numbered(formulas, after: Column | None = None) -> Column:
     return F.array_join(lines, "\n")
 
 
+def _heads(rows: DataFrame, many: DataFrame, group: str, order: str) -> DataFrame:
+    """(group, _block, _n, _head): how many rows stand in earlier blocks of the group, and their lines.
+
+    `many` lists the blocks of groups that have several: group, _block, _n and _k, its place in the group.
+    """
+    blocks = rows.join(many, [group, "_block"]).groupBy(group, "_block", "_n", "_k").agg(
+        F.sort_array(F.collect_list(F.struct(order, "_value"))).alias("v")
+    )
+    lines = blocks.select(group, F.col("_k").alias("_j"), numbered(F.col("v._value"), F.col("_n")).alias("_lines"))
+    each = F.explode(F.sequence(F.lit(1), F.col("_k") - 1)).alias("_j")
+    later = many.filter("_k > 1").select(group, "_block", "_n", each)
+    heads = later.join(lines, [group, "_j"]).groupBy(group, "_block", "_n").agg(
+        F.sort_array(F.collect_list(F.struct("_j", "_lines"))).alias("_h")
+    )
+    return heads.select(group, "_block", "_n", F.array_join("_h._lines", "\n").alias("_head"))
+
+
 def _running(df: DataFrame, group: str, order: str, value: str) -> DataFrame:
     """Adds `before`: the numbered earlier values of the row's group as lines, '' for the first row.
 
-    The result itself grows with the square of a group, so the writing is spread: rows are cut into blocks
-    of BLOCK positions, each block's lines are written once, every block meets the lines of the blocks before
-    it in an equi-join, and every row adds the earlier rows of its block. Within a whole group only one
-    number per block is ordered. Group and position identify a row and are never NULL.
+    Rows are cut into blocks of BLOCK positions, and one exchange brings the rows of a block together. The
+    blocks of every group are counted first, from two narrow columns, when this is called: only groups of
+    several blocks go on to give the lines of each block to the blocks behind it, in an equi-join. The result
+    itself grows with the square of a group; the blocks spread that writing. Within a whole group only one number
+    per block is ordered. Group and position identify a row and are never NULL.
     """
     rows = df.withColumn("_block", F.floor(F.col(order) / BLOCK)).withColumn(
         "_value", F.coalesce(F.col(value), F.lit(""))
     )
-    blocks = rows.groupBy(group, "_block").agg(
-        F.count("*").alias("n"), F.sort_array(F.collect_list(F.struct(order, "_value"))).alias("v")
-    )
-    in_group = Window.partitionBy(group).orderBy("_block")
-    earlier = F.sum("n").over(in_group.rowsBetween(Window.unboundedPreceding, -1))
-    numbers = rows.groupBy(group, "_block").agg(F.count("*").alias("n")).select(
-        group, "_block", F.coalesce(earlier, F.lit(0)).alias("_n"), F.row_number().over(in_group).alias("_k")
-    )
-    lines = blocks.join(numbers, [group, "_block"]).select(
-        group, F.col("_k").alias("_j"), numbered(F.col("v._value"), F.col("_n")).alias("_lines")
-    )
-    later = numbers.filter("_k > 1").select(group, "_block", F.explode(F.sequence(F.lit(1), F.col("_k") - 1)).alias("_j"))
-    heads = later.join(lines, [group, "_j"]).groupBy(group, "_block").agg(
-        F.sort_array(F.collect_list(F.struct("_j", "_lines"))).alias("_h")
+    in_group = Window.partitionBy(group)
+    in_order = in_group.orderBy("_block")
+    earlier = F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, -1))
+    sizes = rows.groupBy(group, "_block").agg(F.count("*").alias("_rows"))
+    placed = sizes.select(
+        group,
+        "_block",
+        F.coalesce(earlier, F.lit(0)).alias("_n"),
+        F.row_number().over(in_order).alias("_k"),
+        F.count("*").over(in_group).alias("_all"),
     )
+    many = store(placed.filter("_all > 1").drop("_all"), "long-groups")
     in_block = Window.partitionBy(group, "_block").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    joined = (
-        rows.join(numbers, [group, "_block"])
-        .join(heads, [group, "_block"], "left")
-        .withColumn("_tail", F.collect_list("_value").over(in_block))
-    )
-    head = F.coalesce(F.array_join("_h._lines", "\n"), F.lit(""))
-    between = F.when((F.col("_n") > 0) & (F.size("_tail") > 0), "\n").otherwise("")
-    return joined.withColumn("before", F.concat(head, between, numbered("_tail", F.col("_n")))).drop(
-        "_block", "_value", "_n", "_k", "_h", "_tail"
-    )
+    own = rows.withColumn("_tail", F.collect_list("_value").over(in_block))
+    if many.isEmpty():
+        return own.withColumn("before", numbered("_tail")).drop("_block", "_value", "_tail")
+    joined = own.join(_heads(rows, many, group, order), [group, "_block"], "left")
+    between = F.when(F.col("_head").isNotNull() & (F.size("_tail") > 0), "\n").otherwise("")
+    tail = numbered("_tail", F.coalesce("_n", F.lit(0)))
+    before = F.concat(F.coalesce("_head", F.lit("")), between, tail)
+    return joined.withColumn("before", before).drop("_block", "_value", "_tail", "_n", "_head")
 
 
 def premise_context(premises: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
+from support import plan_of
 
 from formulary.operators import context, metrics
 
@@ -71,11 +73,26 @@ def test_conclusion_context(spark):
 
 
 def test_long_conversation_and_its_plan(spark):
-    from support import plan_of
-
-    turns = spark.range(3_000).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "concat('t', id) AS text")
+    turns = spark.range(10_000).selectExpr("1L AS conv_id", "CAST(id AS INT) AS turn", "concat('t', id) AS text")
     out = context.running_chat_context(turns)
-    last = out.filter("turn = 2999").first().messages[1]["content"].split("\n")
-    assert last[-1].endswith("2999 = t2998") and len([x for x in last if " = t" in x]) == 2999
+    last = out.filter("turn = 9999").first().messages[1]["content"].split("\n")
+    assert last[-1].endswith("9999 = t9998") and len([x for x in last if " = t" in x]) == 9999
     windows = [line for line in plan_of(out).splitlines() if "Window" in line and "_lines" in line]
     assert not windows  # texts are never ordered over a whole conversation
+
+
+def test_short_groups_pay_one_exchange(spark):
+    turns = spark.range(3_000).selectExpr("id div 5 AS conv_id", "CAST(id % 5 AS INT) AS turn", "concat('t', id) AS text")
+    plan = plan_of(context.running_chat_context(turns)).split("== Physical Plan ==")[1]
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_long_and_short_groups_with_gaps(spark):
+    """Positions with holes and below zero; groups of one and of several blocks side by side."""
+    rows = [("long", 7 * i - 900, f"l{i}") for i in range(400)] + [(f"s{k}", 3 * i, f"{k}.{i}") for k in range(5) for i in range(4)]
+    df = spark.createDataFrame(rows, "example_id string, idx int, fol string").withColumn("kind", F.lit("premise"))
+    got = {(r.example_id, r.idx): r.context for r in context.premise_context(df.repartition(4)).collect()}
+    for g in ("long", "s0", "s4"):
+        mine = [r for r in rows if r[0] == g]
+        for k, r in enumerate(mine):
+            assert got[r[:2]] == "\n".join(f"𝜙{j + 1} = {mine[j][2]}" for j in range(k))
