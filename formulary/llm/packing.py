@@ -3,8 +3,8 @@
 Pieces of equal length are interchangeable, so the packing is planned for counts per length: at most one
 number for each length up to the size of a sequence, however many documents there are. Around the longest
 piece left, undominated fillings of the room beside it are listed, the best is taken as often as the counts
-allow, and branch and bound over these choices stops at the lower bound or at a number of nodes. Pieces then
-find their place in the plan by their number within their length.
+allow, and branch and bound over these choices, with the best-fit plan as its first incumbent, stops at the lower
+bound or at a number of nodes. Pieces then find their place in the plan by their number within their length.
 """
 
 from __future__ import annotations
@@ -187,33 +187,77 @@ def _around(longest: int, filling: Filling) -> Filling:
     return ((longest, 1), *filling)
 
 
+def best_fit(counts: list[int], size: int = SIZE) -> list[Pattern]:
+    """Every piece, longest first, into the fullest sequence that still has room for it.
+
+    Sequences of one filling are kept as one group. A sequence that takes a piece is then the fullest one, so it
+    goes on to take as many of that length as it has room for.
+    """
+    rooms: dict[int, list[tuple[Filling, int]]] = {}
+    for length in range(size, 0, -1):
+        left = counts[length] if length < len(counts) else 0
+        if not left:
+            continue
+        gained: list[tuple[int, Filling, int]] = []
+
+        def fill(held: Filling, room: int, times: int) -> None:
+            """Up to `times` sequences of one filling take what is left."""
+            nonlocal left
+            each = room // length
+            whole = min(times, left // each)
+            if whole:
+                gained.append((room - each * length, (*held, (length, each)), whole))
+                left -= whole * each
+            if left and whole < times:
+                gained.append((room - left * length, (*held, (length, left)), 1))
+                whole, left = whole + 1, 0
+            if whole < times:
+                gained.append((room, held, times - whole))
+
+        for room in sorted(r for r in rooms if r >= length):
+            if not left:
+                break
+            for held, times in rooms.pop(room):
+                if left:
+                    fill(held, room, times)
+                else:
+                    gained.append((room, held, times))
+        if left:
+            fill((), size, -(-left // (size // length)))
+        for room, held, times in gained:
+            rooms.setdefault(room, []).append((held, times))
+    return [group for groups in rooms.values() for group in groups]
+
+
 def plan(counts: list[int], size: int = SIZE, nodes: int = NODES) -> list[Pattern]:
     """Sequences for `counts[length]` pieces of each length up to `size`, as few as the search finds.
 
-    Work and result depend on the number of different lengths, not on the counts.
+    The best-fit plan is the first incumbent. The search goes down once, and ends `nodes` nodes after that, or as
+    soon as the lower bound is met. Work and result depend on the number of different lengths, not on the counts.
     """
     total = sum(length * n for length, n in enumerate(counts))
     bound = -(-total // size)
-    best: list[Pattern] | None = None
-    best_n = 0
+    best = best_fit(counts, size)
+    best_n = sum(times for _, times in best)
     # Depth first: a level is (fillings not tried yet, counts before it, sequences and patterns so far).
     stack: list[tuple[list[Filling], list[int], int, int]] = []
     taken: list[Pattern] = []
     at, used, waste = list(counts), 0, 0
     top = size
-    spent = 0
+    spent, down = 0, True
     while True:
         while top > 0 and at[top] == 0:
             top -= 1
-        dead = best is not None and waste > (best_n - 1) * size - total
+        dead = waste > (best_n - 1) * size - total
         if not dead and top == 0:
-            if best is None or used < best_n:
+            if used < best_n:
                 best, best_n = list(taken), used
             dead = True
-        if best is not None and (best_n == bound or spent >= nodes):
+        down = down and not dead
+        if best_n == bound or spent >= nodes:
             return best
         if not dead:
-            spent += best is not None
+            spent += not down
             at[top] -= 1
             options = fillings(at, size - top)
             at[top] += 1
@@ -225,7 +269,7 @@ def plan(counts: list[int], size: int = SIZE, nodes: int = NODES) -> list[Patter
                 stack.pop()
                 taken.pop()
             if not stack:
-                return best or []
+                return best
             options, before, used, waste = stack.pop()
             taken.pop()
             at = list(before)

@@ -1,3 +1,4 @@
+import bisect
 import random
 import zlib
 
@@ -83,6 +84,43 @@ def test_plans_hold_every_piece_and_reach_the_optimum_on_small_cases():
         assert sum(t for _, t in patterns) == optimum(lengths, 20)
 
 
+def plain_best_fit(lengths, size):
+    rooms = []
+    for length in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(rooms, length)
+        bisect.insort(rooms, (rooms.pop(k) if k < len(rooms) else size) - length)
+    return len(rooms)
+
+
+LENGTHS = {
+    "200 to 520": lambda rng: rng.randint(200, 520),
+    "uniform": lambda rng: rng.randint(1, 1024),
+    "short": lambda rng: min(1024, 1 + int(rng.expovariate(1 / 180))),
+    "around a third": lambda rng: rng.randint(300, 400),
+    "two kinds": lambda rng: rng.choice([rng.randint(20, 60), rng.randint(480, 700)]),
+    "few": lambda rng: rng.choice([7, 341, 342, 511, 513]),
+}
+
+
+@pytest.mark.parametrize("kind", LENGTHS)
+@pytest.mark.parametrize("n", [1, 40, 3000])
+def test_never_worse_than_best_fit(kind, n):
+    rng = random.Random(n)
+    lengths = [LENGTHS[kind](rng) for _ in range(n)]
+    counts = [0] * 1025
+    for length in lengths:
+        counts[length] += 1
+    for patterns in (packing.best_fit(counts), packing.plan(counts)):
+        back = [0] * 1025
+        for filling, times in patterns:
+            assert sum(k * m for k, m in filling) <= 1024 and times > 0
+            for k, m in filling:
+                back[k] += m * times
+        assert back == counts
+    want = plain_best_fit(lengths, 1024)
+    assert sum(t for _, t in packing.best_fit(counts)) == want >= sum(t for _, t in packing.plan(counts))
+
+
 def test_plan_of_very_many_pieces_depends_on_lengths_only():
     counts = [0] * 1025
     for n in (1, 3, 100, 400, 511, 512, 513, 900, 1024):
