@@ -1,6 +1,6 @@
 """Approximate nearest neighbours by cosine: a hierarchical navigable small-world graph per shard.
 
-Equal vectors are indexed once, so a vector that is repeated very often cannot fill a neighbourhood. A
+Vectors that are equal, or differ by a power of two, are indexed once, so a vector that is repeated very often cannot fill a neighbourhood. A
 graph is stored as flat arrays. Every query meets every shard, in blocks of queries, and the results of
 the shards are merged.
 """
@@ -20,7 +20,8 @@ SHARD_ROWS = 4000  # vectors of a shard, about
 BLOCK_QUERIES = 1000  # queries of a block, about
 LINKS = 16  # neighbours kept on each level, twice as many on the lowest
 BEAM_BUILD, BEAM_SEARCH = 100, 100
-GRAPH = "shard int, members binary, vectors binary, dims int, levels binary, links binary, entry int"
+GRAPH = "shard int, members binary, leasts binary, vectors binary, dims int, levels binary, links binary, entry int"
+CLOSE = 1e-6  # closeness in single precision may be wrong by less
 
 
 class Graph:
@@ -123,12 +124,15 @@ class Graph:
         if top > self.levels[self.entry]:
             self.entry = row
 
-    def search(self, query: np.ndarray, k: int) -> list[int]:
+    def search(self, query: np.ndarray, k: int) -> np.ndarray:
+        """The k rows nearest to the query that the walk has met, and those as near as the last but for rounding."""
         at = [(float(self.vectors[self.entry] @ query), self.entry)]
         for level in range(int(self.levels[self.entry]), 0, -1):
             at = [max(self._beam(query, at, level, 1))]
         best = self._beam(query, at, 0, max(BEAM_SEARCH, k))
-        return [row for _, row in heapq.nlargest(k, best)]
+        closeness, rows = (np.array(x) for x in zip(*best))
+        last = np.sort(closeness)[-min(k, len(closeness))]
+        return rows[closeness >= last - CLOSE]
 
 
 def build(vectors: np.ndarray, heights: np.ndarray) -> Graph:
@@ -152,17 +156,30 @@ def usable(vectors: DataFrame) -> DataFrame:
     ).filter("vec IS NOT NULL")
 
 
+def keyed(vectors: DataFrame) -> DataFrame:
+    """`vectors` with a key that those share which are equal but for a power of two, or the sign of a zero.
+
+    Their cosines are equal, digit by digit. The largest component becomes 1, which such vectors survive alike;
+    what else their lengths differ in is kept.
+    """
+    # A column of its own, so that it is not worked out again for every component.
+    sized = vectors.withColumn("largest", F.expr("array_max(transform(vec, x -> abs(x)))"))
+    shape = F.expr("transform(vec, x -> IF(x = 0, 0D, x / largest))").alias("shape")
+    rest = F.expr("largest / pow(2D, floor(log2(largest)))").alias("rest")
+    return sized.withColumn("key", F.sha2(F.to_json(F.struct(shape, rest)), 256)).drop("largest")
+
+
 def index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> tuple[DataFrame, DataFrame, int]:
     """(one row per shard with its graph, the first `keep` ids of every different vector, number of shards).
 
     Both are written down: the graphs are built once, whatever is searched. All vectors must have one length;
     those of another length form shards of their own, and are never compared.
     """
-    keyed = vectors.withColumn("key", F.sha2(F.to_json(F.struct("vec")), 256)).dropDuplicates(["key", "vec_id"])
+    rows = keyed(vectors).dropDuplicates(["key", "vec_id"])
     # Spark keeps the first rows of each window already before the shuffle, so a vector that a third of the rows
     # share sends `keep` rows per task.
     first = Window.partitionBy("key").orderBy("vec_id")
-    members = keyed.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= keep)
+    members = rows.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= keep)
     members = stored(members, "hnsw-members")
     distinct = members.filter("place = 1")
     shards = max(1, math.ceil(distinct.count() / shard_rows))
@@ -176,6 +193,7 @@ def index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> tuple[
             {
                 "shard": [int(rows["shard"].iloc[0])],
                 "members": ["".join(rows["key"]).encode()],
+                "leasts": [rows["vec_id"].to_numpy(np.int64).tobytes()],
                 "vectors": [np.array(rows["vec"].tolist(), dtype=np.float64).tobytes()],
                 "dims": [unit.shape[1]],
                 "levels": [g.levels.tobytes()],
@@ -185,7 +203,7 @@ def index(vectors: DataFrame, keep: int, shard_rows: int = SHARD_ROWS) -> tuple[
         )
 
     spread = F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int")
-    sized = distinct.select("key", "vec", spread.alias("shard"), F.size("vec").alias("dims"))
+    sized = distinct.select("key", "vec_id", "vec", spread.alias("shard"), F.size("vec").alias("dims"))
     # Enough partitions that shards do not queue behind each other in one task.
     graphs = sized.repartition(shards, "shard", "dims").groupBy("shard", "dims").applyInPandas(graph, GRAPH)
     return stored(graphs, "hnsw-graphs"), members.select("key", "vec_id", "place"), shards
@@ -210,10 +228,11 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
     right = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
 
     def search(stored: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "key": [], "score": []}
+        out: dict[str, list] = {"query_id": [], "key": [], "least": [], "score": []}
         if len(stored) and len(block):
             s = stored.iloc[0]
             full = np.frombuffer(s["vectors"], np.float64).reshape(-1, int(s["dims"]))
+            leasts = np.frombuffer(s["leasts"], np.int64)
             names = [s["members"][i : i + 64].decode() for i in range(0, len(s["members"]), 64)]
             g = Graph(
                 _unit(full), np.frombuffer(s["levels"], np.int8), np.frombuffer(s["links"], np.int32), int(s["entry"])
@@ -223,18 +242,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int
                 q = np.asarray(q, dtype=np.float64)
                 found = g.search((q / np.linalg.norm(q)).astype(np.float32), k + 1)
                 scores = full[found] @ q / (lengths[found] * np.linalg.norm(q))
-                out["query_id"] += [query_id] * len(found)
-                out["key"] += [names[i] for i in found]
-                out["score"] += scores.tolist()
+                first = np.lexsort([leasts[found], -scores])[: k + 1]
+                out["query_id"] += [query_id] * len(first)
+                out["key"] += [names[i] for i in found[first]]
+                out["least"] += leasts[found[first]].tolist()
+                out["score"] += scores[first].tolist()
         return pd.DataFrame(out)
 
     pairs = (
         left.groupBy("shard", "dims", "block")
         .cogroup(right.groupBy("shard", "dims", "block"))
-        .applyInPandas(search, "query_id bigint, key string, score double")
+        .applyInPandas(search, "query_id bigint, key string, least bigint, score double")
     )
-    # k + 1 different vectors per query: one of them may be the query's own.
-    closest = Window.partitionBy("query_id").orderBy(F.desc("score"), "key")
+    # k + 1 keys per query: one of them may be the query's own. Of equally near ones, those that hold smaller ids.
+    closest = Window.partitionBy("query_id").orderBy(F.desc("score"), "least")
     short = pairs.withColumn("n", F.row_number().over(closest)).filter(F.col("n") <= k + 1)
     named = short.join(members, "key").filter("vec_id != query_id")
     named = named.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))

@@ -4,6 +4,7 @@ expressions after a tag are read by a shunting-yard parser and evaluated against
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 
 import ahocorasick
@@ -41,8 +42,10 @@ NOTICE_PHRASES = {
     "all rights reserved": "proprietary",
 }
 
-# A tag of so many words, and after it, up to the end of the line, a licence expression.
+# A tag, behind it a mark, and then, up to the end of the line, a licence expression.
 TAGS = ("spdx license identifier", "license expression")
+MARK = re.compile(r"[ \t\"']*[:=][ \t\"']*")
+REFERENCES = ("licenseref-", "documentref-")  # names that a document gives licences of its own
 
 # First words of an identifier and the label it stands for; the longest that fits is taken.
 FAMILIES = {
@@ -93,24 +96,48 @@ FREEDOM = {
 UNKNOWN = 0.5  # a licence that is named but not known here
 EXCEPTION = 0.1  # what an exception adds to the licence it loosens
 
-TOKEN = re.compile(r"[()]|[A-Za-z0-9][A-Za-z0-9.+\-]*")
+TOKEN = re.compile(r"[ \t\r]*([()]|[A-Za-z0-9][A-Za-z0-9.+\-]*)")
 RANK = {"or": 1, "and": 2, "with": 3}
 
 
+def _tokens(text: str, start: int, stop: int) -> Iterator[tuple[str, int]]:
+    """(token in lower case, its end) one after the other, as long as nothing but spaces stands between them."""
+    while (m := TOKEN.match(text, start, stop)) is not None:
+        start = m.end()
+        yield m[1].lower(), start
+
+
 def postfix(text: str) -> list[str]:
-    """Operands and operators of a licence expression in postfix order, by two stacks.
+    """The licence expression at the beginning of `text`, any names, in postfix order."""
+    return expression(text, 0, len(text), lambda _: True)[0]
+
+
+def expression(text: str, start: int, stop: int, named: Callable[[str], bool]) -> tuple[list[str], int]:
+    """(operands and operators of the expression at `start` in postfix order, by two stacks; where it ends).
 
-    `with` binds closest, then `and`, then `or`; letter case does not count. Reading stops where the text
-    stops being an expression, and an operator left without a second operand is dropped. Never fails: no
-    operand, no output.
+    `with` binds closest, then `and`, then `or`; letter case does not count. Operands are names that `named`
+    holds for. Reading stops where the text stops being an expression, at `stop` at the latest. An operator left
+    without a second operand is dropped. Never fails: no operand, no output.
     """
     out: list[str] = []
     waiting: list[str] = []
-    operand_next = True
-    depth = 0
-    tokens = TOKEN.findall(text)
-    for k, raw in enumerate(tokens):
-        token = raw.lower()
+    operand_next, depth, end = True, 0, start
+    ahead: deque[tuple[str, int]] = deque()
+    tokens = _tokens(text, start, len(text) if stop is None else stop)
+
+    def following() -> str | None:
+        """The next token that is no opening bracket; what is looked at stays to be read."""
+        for token, _ in ahead:
+            if token != "(":
+                return token
+        for token, at in tokens:
+            ahead.append((token, at))
+            if token != "(":
+                return token
+        return None
+
+    while True:
+        token, at = ahead.popleft() if ahead else next(tokens, ("", 0))
         if token == "(":
             if not operand_next:
                 break
@@ -124,22 +151,29 @@ def postfix(text: str) -> list[str]:
             waiting.pop()
             depth -= 1
         elif token in RANK:
-            following = next((t.lower() for t in tokens[k + 1 :] if t != "("), None)
-            if operand_next or following is None or following in RANK or following == ")":
+            if operand_next or (after := following()) is None or after in RANK or after == ")" or not named(after):
                 break
             while waiting and waiting[-1] != "(" and RANK[waiting[-1]] >= RANK[token]:
                 out.append(waiting.pop())
             waiting.append(token)
             operand_next = True
-        elif operand_next:
+        elif token and operand_next and named(token):
             out.append(token)
             operand_next = False
         else:
             break
+        end = at
     while waiting:
         if (top := waiting.pop()) != "(":
             out.append(top)
-    return out if _complete(out) else [t for t in out if t not in RANK][:1]
+    return (out if _complete(out) else [t for t in out if t not in RANK][:1]), end
+
+
+def licence_like(name: str) -> bool:
+    """Whether a name is a licence's: of a family known here, a reference, or with a version or an exception."""
+    if label_of(name) in FAMILIES.values() or name.startswith(REFERENCES):
+        return True
+    return "-" in name and any(c.isdigit() for c in name) or name.endswith("-exception")
 
 
 def _complete(tokens: list[str]) -> bool:
@@ -198,6 +232,7 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
     base, labels, freedom, expressions = set(), set(), [], []
     n_base, first, last = 0, None, None
     counted, at = 0, 0  # spaces seen up to a place of the line
+    read = 0  # end of the last expression
     ends: list[int] | None = None
     for end, (kind, label, size) in phrases.iter(line):
         counted += line.count(" ", at, end + 1)
@@ -214,8 +249,11 @@ def scan(text: str | None, phrases: ahocorasick.Automaton) -> tuple:
             continue
         if ends is None:
             ends = [m.end() for m in WORD.finditer(lowered)]
-        tail = lowered[ends[word + size - 1] :].split("\n", 1)[0]
-        tokens = postfix(tail)
+        mark = MARK.match(lowered, ends[word + size - 1])
+        if mark is None or mark.end() < read:  # prose, or inside an expression that has been read
+            continue
+        stop = lowered.find("\n", mark.end())
+        tokens, read = expression(lowered, mark.end(), len(lowered) if stop < 0 else stop, licence_like)
         named, free = evaluate(tokens)
         if free is not None:
             labels |= named
@@ -249,7 +287,8 @@ def licence_scan(
 ) -> DataFrame:
     """One row per row of `docs`: words, places of base phrases, labels, score and expressions in postfix order.
 
-    Whole texts, no shuffle. A null text counts as an empty one: no words, no labels, score 1. Repeated rows
+    A tag counts with `:` or `=` behind it, and then names of a family known here, with a version or exception, or
+    LicenseRef- names: prose about licences gives no labels of its own words. Whole texts, no shuffle. A null text counts as an empty one: no words, no labels, score 1. Repeated rows
     and null ids stay; further columns are left out. labels holds base_labels too; tags and notices only add.
     """
 

@@ -60,3 +60,24 @@ def test_few_rows_and_empty_table(spark):
     assert ann.nearest(empty, empty).count() == 0
     alone = frame(spark, [(0, [1.0])])
     assert ann.nearest(alone, alone).count() == 0
+
+
+def test_ties_among_scaled_copies_go_to_the_smaller_id(spark):
+    """Vectors on one ray, in lengths of powers of two, have exactly equal cosines."""
+    rng = np.random.default_rng(4)
+    rays = rng.normal(size=(6, 8)).astype("float32")
+    rows = [(k, (rays[(7 * k) % 6] * np.float32(2.0 ** ((5 * k) % 7 - 3))).tolist()) for k in range(240)]
+    rows += [(300, [0.0, 1.0] * 4), (301, [-0.0, 1.0] * 4), (302, [0.0, 2.0] * 4)]
+    df = frame(spark, rows)
+    for shard_rows in (ann.SHARD_ROWS, 5):
+        got = as_dict(ann.nearest(df, df.filter("vec_id % 50 = 0"), 5, shard_rows).collect())
+        for q, found in got.items():
+            want = brute.nearest(rows, 5, 50)[q]
+            assert [i for i, _ in found] == [i for _, i in want] if q < 300 else {301, 302} <= {i for i, _ in found}
+
+
+def test_callers_columns_are_not_read(spark):
+    names = ["key", "largest", "vec", "place", "shard", "dims", "least", "query", "block", "rank"]
+    rows = [(k, [float(k % 7 + 1), 1.0], *["x"] * len(names)) for k in range(60)]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, " + ", ".join(f"`{n}` string" for n in names))
+    assert ann.nearest(df, df.filter("vec_id = 0")).count() == 5

@@ -1,3 +1,5 @@
+import time
+
 import brute
 import pytest
 
@@ -59,6 +61,9 @@ def test_hard_texts(spark):
         ("a b", "a"),
         ("a and (", "a"),
         ("()", ""),
+        ("(" * 3000 + "a" + ")" * 3000 + " or b", "a b or"),
+        ("a or (((b and c", "a b c and or"),
+        ("a, b", "a"),
     ],
 )
 def test_postfix(text, want):
@@ -75,3 +80,34 @@ def test_repeated_rows_null_ids_and_empty_table(spark):
     got = licences.licence_scan(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert sorted((r.doc_id or 0, r.n_base) for r in got) == [(0, 1), (0, 1), (1, 0)]
     assert licences.licence_scan(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
+
+
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("The license expression is valid", ""),
+        ("the general public license expression was printed", "gpl"),
+        ("license expression: is what follows", ""),
+        ("License-Expression = mit", "mit"),
+        ("SPDX-License-Identifier: LicenseRef-Own OR MIT", "licenseref-own,mit"),
+        ("SPDX-License-Identifier: mit and nothing else", "mit"),
+        ('"license expression": "Apache-2.0 or gpl-3.0", x', "apache,gpl"),
+        ("spdx license identifier\n: mit", ""),
+    ],
+)
+def test_tags_need_a_mark_and_names_of_licences(spark, text, labels):
+    (row,) = scan(spark, [text]).values()
+    assert row.labels == labels
+
+
+def test_many_tags_on_one_line_take_linear_time():
+    phrases = licences.automaton(licences.BASE_PHRASES, licences.NOTICE_PHRASES, licences.TAGS)
+
+    def seconds(n, tail):
+        text = ("SPDX-License-Identifier: " + tail) * n
+        start = time.perf_counter()
+        licences.scan(text, phrases)
+        return time.perf_counter() - start
+
+    for tail in ("MIT ", "", "(((", "mit or ", "x " * 20):
+        assert seconds(4000, tail) < 0.5, tail
