@@ -24,15 +24,20 @@ SPELLINGS = {
     "reasoning": ["reasoning", "FOL_PRED_REASONING"],
     "fallback_used": ["fallback_used", "FALLBACK_USED"],
 }
+DONE_KEYS = {"_key", "_done"}  # columns of a table of keys, one row each
 ERROR = "ERROR"  # fixed value: stored in place of a prediction that never came
 
 
 def pending(corpus: DataFrame, done: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
     """Corpus rows whose sentence has no result yet; a NULL sentence counts as done if a NULL result exists.
 
-    Only 64-character keys are shuffled for the done side, and each key once.
+    Only 64-character keys are shuffled for the done side, and each key once. `done` may also be the table that
+    sources.writers.write_done_keys keeps: its buckets are read as they lie, and only corpus rows are shuffled.
     """
-    keys = done.select(text_key("nl").alias("_key")).distinct().withColumn("_done", F.lit(True))
+    if DONE_KEYS <= set(done.columns):
+        keys = done.select("_key", "_done")
+    else:
+        keys = done.select(text_key("nl").alias("_key")).distinct().withColumn("_done", F.lit(True))
     rows = corpus.withColumn("_key", text_key("nl"))
     marked = lookup_join(rows, keys, "_key", "_done", ["row_id"], min_heavy_rows)
     return marked.filter(F.col("_done").isNull()).drop("_key", "_done")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import partial
 
@@ -41,6 +42,7 @@ MODELS_HOME = "/models"
 LABELS = "CASE example_id % 3 WHEN 0 THEN 'True' WHEN 1 THEN 'False' ELSE 'Uncertain' END"
 FILE_ROWS = 150
 IN_FLIGHT = 20  # remote requests
+BUCKETS = 8
 
 
 def query(fn: Query) -> Query:
@@ -293,6 +295,17 @@ def pending(spark, sf):
     return results.pending(corpus(spark, sf), view(spark, sf, "results_done")).select("row_id", "nl")
 
 
+@query
+def pending_bucketed(spark, sf):
+    """As pending, with the keys of the results kept in buckets, the second half added to the first."""
+    done = view(spark, sf, "results_done")
+    name, path = f"done_keys_{uuid.uuid4().hex}", scratch_path(spark, "done-keys")
+    half = F.coalesce(F.pmod(F.xxhash64("nl"), F.lit(2)), F.lit(0)) == 0
+    for part in (done.filter(half), done):
+        keys = writers.write_done_keys(part, name, path, BUCKETS)
+    return results.pending(corpus(spark, sf), keys).select("row_id", "nl")
+
+
 @query
 def noise_rows(spark, sf):
     drawn = sampling.noise_rows(corpus(spark, sf))

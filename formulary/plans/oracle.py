@@ -318,13 +318,14 @@ add(
 
 # -- joins and sets --------------------------------------------------------------------------------
 
-add(
-    "pending",
-    "SELECT row_id, nl FROM fol_corpus c WHERE NOT EXISTS "
-    "(SELECT 1 FROM results_done d WHERE d.nl IS NOT DISTINCT FROM c.nl)",
-    "fol_corpus",
-    "results_done",
-)
+for _name in ("pending", "pending_bucketed"):
+    add(
+        _name,
+        "SELECT row_id, nl FROM fol_corpus c WHERE NOT EXISTS "
+        "(SELECT 1 FROM results_done d WHERE d.nl IS NOT DISTINCT FROM c.nl)",
+        "fol_corpus",
+        "results_done",
+    )
 add(
     "noise_rows",
     f"WITH {NOISE} SELECT row_id, peer_id, array_to_string(preds, ',') AS preds FROM noise",

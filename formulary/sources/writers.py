@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from formulary.functions.text import safe_file_name
+from formulary.operators.skew import text_key
 
 
 def write_predictions(df: DataFrame, root: str, fmt: str = "json") -> None:
@@ -75,3 +76,22 @@ def write_results(df: DataFrame, path: str, variant: str) -> None:
     names = RESULT_VARIANTS[variant]
     out = df.select(*[F.col(c).alias(stored) for stored, c in names.items()])
     out.write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def write_done_keys(done: DataFrame, table: str, path: str | None = None, buckets: int = 200) -> DataFrame:
+    """Keeps the keys of answered sentences in a bucketed table, made here or added to, and returns that table.
+
+    `done` has the column nl. Each key is stored once. `path` and `buckets` are those of the first call. Calls
+    for one table come one after the other.
+    """
+    spark = done.sparkSession
+    keys = done.select(text_key("nl").alias("_key")).distinct().withColumn("_done", F.lit(True))
+    known = spark.catalog.tableExists(table)
+    if known:
+        keys = keys.join(spark.table(table).select("_key"), "_key", "left_anti")
+    # Keys lie by bucket before they are written, so that each bucket gets one file a call.
+    out = keys.repartition(buckets, "_key").write.bucketBy(buckets, "_key").sortBy("_key").format("parquet")
+    if path and not known:
+        out = out.option("path", path)
+    out.mode("append").saveAsTable(table)
+    return spark.table(table)

@@ -1,6 +1,8 @@
 from pyspark.sql import functions as F
 
 from formulary.operators import results, skew
+from formulary.sources import writers
+from support import plan_of
 
 
 def table(spark, rows, schema):
@@ -31,6 +33,37 @@ def test_pending_with_frequent_sentences(spark):
         assert set(got[0].asDict()) == {"row_id", "nl"}
 
 
+def test_keys_in_buckets_are_not_shuffled(spark, tmp_path):
+    corpus = table(spark, [(1, "a"), (2, "b"), (3, None), (4, "b"), (5, "c")], "row_id bigint, nl string")
+    parts = [[("b",), ("b",)], [(None,), ("b",)], []]
+    spark.sql("DROP TABLE IF EXISTS done_keys_test")
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = []
+        for rows in parts:
+            keys = writers.write_done_keys(table(spark, rows, "nl string"), "done_keys_test", str(tmp_path / "k"), 8)
+            pending = results.pending(corpus, keys)
+            left.append(sorted(r.row_id for r in pending.collect()))
+        assert left == [[1, 3, 5], [1, 5], [1, 5]] and keys.count() == 2
+        lines = plan_of(pending).split("== Physical Plan ==")[1].splitlines()
+        depth = lambda line: len(line) - len(line.lstrip(" :+-*|"))
+        scans = [k for k, line in enumerate(lines) if "Scan" in line and "Bucketed: true" in line]
+        assert scans, lines
+        for k in scans:  # from the scan up to its join
+            at, above = depth(lines[k]), []
+            for line in reversed(lines[:k]):
+                if depth(line) < at:
+                    at = depth(line)
+                    above.append(line)
+                if "Join" in above[-1]:
+                    break
+            assert "SortMergeJoin" in above[-1] and not any("Exchange" in line for line in above), above
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+        spark.sql("DROP TABLE IF EXISTS done_keys_test")
+
+
 def test_lookup_join(spark):
     rows = spark.range(600).select(
         "id", F.expr("CASE WHEN id < 300 THEN 'hot' WHEN id < 400 THEN NULL ELSE concat('k', id % 7) END").alias("k")
