@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from formulary.sources.ranges import file_system
 
@@ -21,6 +21,7 @@ RANGE_BYTES = 32 << 20
 STEP = 1 << 20  # bytes looked at beyond a range at once
 QUOTE, BACKSLASH, OPEN, CLOSE, COMMA = ord('"'), ord("\\"), b"[{", b"]}", ord(",")
 SPACES = b" \t\r\n"
+STORES = {"file", "hdfs", "s3", "s3a", "s3n", "gs", "abfs", "abfss"}  # that tasks reach through Arrow
 
 
 def byte_ranges(spark: SparkSession, path: str, range_bytes: int) -> DataFrame:
@@ -168,17 +169,21 @@ class Elements:
                 b += 1
 
 
-def elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame | None:
     """(value): the text of every element of the JSON arrays in the files under `path`, each file one array.
 
     A list of folders, a pattern or a partitioned folder will do as for other readers. The text around an array
-    is ignored, an empty array has no elements. The files are read twice.
+    is ignored, an empty array has no elements. The files are read twice. None where they lie in a store that only
+    Spark reads, not Arrow.
     """
     ranges = byte_ranges(spark, path, range_bytes)
-    count = ranges.count()
+    store = F.substring_index("path", ":", 1)
+    count, *stores = ranges.agg(F.count("*"), F.min(store), F.max(store)).first()
+    if not set(stores) - {None} <= STORES:
+        return None
     # One task per range, up to a number that Spark schedules easily.
-    spread = ranges.repartition(max(1, min(count, 10_000)), "path", "start")
-    states = begun(counted(spread)).repartition(max(1, min(count, 10_000)), "path", "start")
+    tasks = max(1, min(count, 10_000))
+    states = begun(counted(ranges.repartition(tasks, "path", "start"))).repartition(tasks, "path", "start")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,3 +204,14 @@ def elements(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) ->
                         yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
 
     return states.mapInArrow(run, "value string")
+
+
+def array_rows(spark: SparkSession, path: str, schema: T.StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:
+    """The elements as rows of `schema`; an element that is no object gives a row of nulls.
+
+    Where only Spark reads the store, a file is one task.
+    """
+    parts = elements(spark, path, range_bytes)
+    if parts is None:
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    return parts.select(F.from_json("value", schema).alias("row")).select("row.*")

@@ -34,6 +34,7 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     """The Arrow file system of a URI or absolute path, and the path within it."""
     if "://" not in path and not path.startswith("/"):
         path = re.sub(r"^(\w+):/(?!/)", r"\1:///", path)
+    path = re.sub(r"^s3[an]://", "s3://", path)  # Hadoop's names for it
     return fs.FileSystem.from_uri(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from formulary import schemas
-from formulary.sources.arrays import RANGE_BYTES, elements
+from formulary.sources.arrays import RANGE_BYTES, array_rows
 
 
 def read_pairs_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -13,9 +13,8 @@ def read_pairs_json(spark: SparkSession, path: str, range_bytes: int = RANGE_BYT
 
     An element that is not such an object gives a row of nulls. The files are listed and sized when this is called.
     """
-    pair = F.from_json("value", schemas.PAIR_FILE)
-    raw = elements(spark, path, range_bytes).select(pair.alias("pair"))
-    return raw.select(F.col("pair.NL").alias("nl"), F.col("pair.FOL").alias("fol"))
+    raw = array_rows(spark, path, schemas.PAIR_FILE, range_bytes)
+    return raw.select(F.col("NL").alias("nl"), F.col("FOL").alias("fol"))
 
 
 def read_examples_jsonl(spark: SparkSession, path: str) -> DataFrame:
@@ -52,4 +51,4 @@ def read_results(spark: SparkSession, path: str, lines: bool = True, folders: st
 
 def read_array(spark: SparkSession, path: str, schema: T.StructType, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """Elements of JSON arrays, one array per file, as rows of `schema`; one file is read by many tasks."""
-    return elements(spark, path, range_bytes).select(F.from_json("value", schema).alias("row")).select("row.*")
+    return array_rows(spark, path, schema, range_bytes)

@@ -111,3 +111,12 @@ def test_own_schema(spark, tmp_path):
     from pyspark.sql import types as T
 
     assert sorted(r.k for r in readers.read_array(spark, str(tmp_path), T._parse_datatype_string("k int")).collect()) == [1, 2]
+
+
+def test_stores_that_only_spark_reads(spark, tmp_path, monkeypatch):
+    (tmp_path / "x.json").write_text(json.dumps(HARD))
+    want = sorted(((r["NL"], r["FOL"]) for r in HARD), key=str)
+    monkeypatch.setattr(arrays, "STORES", {"elsewhere"})
+    assert arrays.elements(spark, str(tmp_path), 5) is None
+    got = readers.read_pairs_json(spark, str(tmp_path), 5)
+    assert sorted(((r.nl, r.fol) for r in got.collect()), key=str) == want
