@@ -12,7 +12,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from formulary.llm.tables import numbered, stored
 from formulary.operators.sampling import dense_index
@@ -236,7 +236,11 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST) -
 
     Rows that agree in doc_id, text and source stand for each other: one of them carries all their copies.
     """
-    often = copies(docs, weights, most).groupBy(F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"))
-    keyed = docs.withColumn("_key", doc_key()).join(often.filter("_copies > 0"), "_key")
-    one = keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_key").orderBy("_key"))).filter("_n = 1")
-    return one.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("bigint"), "_copies"))).select(*docs.columns)
+    often = copies(docs, weights, most).groupBy("key").agg(F.sum("copies").alias("copies")).filter("copies > 0")
+    # The caller's row travels as one column, so none of its names can meet a name used here.
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rank = F.xxhash64(*[F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]).alias("rank")
+    # A row leaves each task once, so one that is repeated very often fills no task.
+    one = docs.select(doc_key().alias("key"), row, rank).groupBy("key").agg(F.min_by("row", "rank").alias("row"))
+    each = F.explode(F.sequence(F.lit(1).cast("bigint"), "copies"))
+    return one.join(often, "key").select("row", each).select("row.*")

@@ -106,3 +106,15 @@ def test_turning_documents_over_makes_missing_words_good():
     assert mixing.close({100: (1, 0), 7: (9, 9), 1: (5, 5)}, 45.0) == {7: 6, 1: 3}
     assert mixing.close({7: (9, 9), 4: (9, 9), 1: (5, 5)}, -12.0) == {7: -2, 1: 2}
     assert mixing.close({50: (3, 3)}, 20.0) == {} and mixing.close({}, 3.0) == {}
+
+
+def test_callers_columns_stay(spark):
+    names = ["_key", "_n", "_copies", "_i", "key", "row", "rank", "copies", "size", "target", "part", "dup", "col"]
+    schema = "doc_id bigint, text string, source string, " + ", ".join(f"`{n}` string" for n in names)
+    rows = [(k, "w " * (k % 9 + 1), "ab"[k % 2], *[f"{n}{k}" for n in names]) for k in range(40)]
+    docs = spark.createDataFrame(rows, schema)
+    out = mixing.mix(docs)
+    assert out.columns == docs.columns
+    taken = {r.doc_id: r.copies for r in mixing.mixed(docs).collect()}
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted(r for r in rows for _ in range(taken[r[0]]))
