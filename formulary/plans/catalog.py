@@ -784,7 +784,9 @@ def stream_predictions(spark, sf):
     src, out, state = (scratch_path(spark, n) for n in ["stream-in", "stream-out", "stream-state"])
     pairs = corpus(spark, sf).select(F.col("nl").alias("NL"), F.col("fol").alias("FOL"), "row_id")
     files = pairs.withColumn("file", F.floor(F.col("row_id") / FILE_ROWS)).groupBy("file")
-    files.agg(F.to_json(F.collect_list(F.struct("NL", "FOL"))).alias("value")).write.partitionBy("file").text(src)
+    arrays = files.agg(F.to_json(F.collect_list(F.struct("NL", "FOL"))).alias("value")).select("value")
+    # All files lie in one folder: a folder each would be listed again and again, by a task each.
+    arrays.write.option("maxRecordsPerFile", 1).text(src)
     for _ in range(2):  # the second run finds nothing new
-        stream.stream_predictions(spark, f"{src}/*", out, state, doubles.load_echo).awaitTermination()
+        stream.stream_predictions(spark, src, out, state, doubles.load_echo).awaitTermination()
     return stream.stored(spark, out)

@@ -137,6 +137,18 @@ def test_state_ends_with_the_window(spark, tmp_path):
     assert max(sizes) <= 210 and sizes[-1] <= 110 and stream.stored(spark, out).count() == 301, sizes
 
 
+def test_a_cluster_needs_no_settings_for_the_state(spark, tmp_path, monkeypatch):
+    src, out = tmp_path / "src", str(tmp_path / "out")
+    write_pairs(src, "1.json", ["a", "b", "a"])
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://host:7077")
+    for k in range(2):
+        query = stream.stream_predictions(spark, str(src), out, str(tmp_path / "state"), doubles.load_echo)
+        query.awaitTermination()
+        metrics = [set(p.stateOperators[0].customMetrics) for p in query.recentProgress if p.stateOperators]
+        assert k or any("rocksdb" in name for name in metrics[0])
+    assert stream.stored(spark, out).count() == 3 and spark.conf.get(stream.PROVIDER, None) is None
+
+
 class FakeSession:
     def __init__(self, master, conf=None, current=None):
         self.set_to = None
