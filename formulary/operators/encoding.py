@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from formulary.functions import text as X
 from formulary.operators.sampling import dense_index
@@ -23,13 +23,34 @@ MAX_EXTENSION = 10_000
 PORTION_TOKENS = 1 << 20  # tokens, or one longer row, whose different ones are joined as one portion
 
 
+def _text(column: str) -> Column:
+    return F.make_valid_utf8(F.col(column))  # bytes that are no text would stop Arrow's splitting
+
+
+def _split(texts: pa.Array) -> pa.ListArray:
+    """The tokens that functions.text.words gives, for a batch at once; an empty list for blank or missing text."""
+    lists = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(pc.fill_null(texts, "")))
+    tokens = lists.flatten()
+    filled = pc.not_equal(tokens, "")  # blank text has one empty token
+    counts = np.bincount(pc.list_parent_indices(lists).filter(filled).to_numpy(), minlength=len(lists))
+    ends = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+    return pa.ListArray.from_arrays(ends, tokens.filter(filled))
+
+
 def vocab_build(df: DataFrame, size: int | None = None, text: str = "text") -> DataFrame:
     """(token, id) of the `size` most frequent tokens, or of all; ties by token. Ids follow the rank.
 
     Without a size the tokens are numbered by a distributed sort, which runs jobs when this is called.
     """
-    tokens = df.select(F.explode_outer(X.words(text)).alias("token")).filter(F.col("token").isNotNull())
-    counts = tokens.groupBy("token").agg(F.count("*").alias("n"))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = _split(batch.column("text")).flatten().value_counts()
+            yield pa.RecordBatch.from_arrays([found.field("values"), found.field("counts")], ["token", "n"])
+
+    # Repeats within an Arrow batch are counted there; only different tokens become rows.
+    counts = df.select(_text(text).alias("text")).mapInArrow(counted, "token string, n bigint")
+    counts = counts.groupBy("token").agg(F.sum("n").alias("n"))
     if size is None:
         ranked = dense_index(counts.select("token", F.struct(-F.col("n"), "token").alias("rank")), "rank")
         return ranked.select("token", (F.col("idx") + FIRST_ID).cast("int").alias("id"))
@@ -125,22 +146,21 @@ def encode(
     and frequent tokens counted.
     """
     texts = {"ids": text} if isinstance(text, str) else text
-    none = F.array().cast("array<string>")
-    tokens = df.select("row_id", *[F.coalesce(X.words(c), none).alias(out) for out, c in texts.items()])
+    whole = df.select("row_id", *[_text(c).alias(out) for out, c in texts.items()])
     index = _small_vocab(vocab, max_shipped, "token", "id")
     if index is None:
-        return _encode_by_join(tokens, vocab)
+        return _encode_by_join(whole, vocab)
     shipped = df.sparkSession.sparkContext.broadcast(index)
     outs = list(texts)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [batch.column(o) for o in outs]
+            lists = [_split(batch.column(o)) for o in outs]
             mapped = [_with_elements(x, pc.fill_null(shipped.value.of(x.flatten()), UNKNOWN)) for x in lists]
             yield pa.RecordBatch.from_arrays([batch.column("row_id"), *mapped], ["row_id", *outs])
 
     kinds = "".join(f", {o} array<int>" for o in outs)
-    return tokens.mapInArrow(look_up, f"row_id {_type(df, 'row_id')}{kinds}")
+    return whole.mapInArrow(look_up, f"row_id {_type(df, 'row_id')}{kinds}")
 
 
 def _type(df: DataFrame, column: str) -> str:
@@ -164,7 +184,8 @@ def _exchanged(
     finish: Callable[[pa.ListArray], pa.Array],
     kind: str,
 ) -> DataFrame:
-    """row_id and the lists of `rows`, each element replaced by its payload in `lookup` (token, payload).
+    """row_id and the lists of `rows`, or the tokens of its texts, each element replaced by its payload in `lookup`
+    (token, payload).
 
     No element becomes a row. A task numbers the different elements of a portion of rows; the lists keep these
     numbers, and each different element leaves once, to be joined. What it found comes back to its portion, of
@@ -174,10 +195,14 @@ def _exchanged(
     row_id = _type(rows, "row_id")
     numbers = "".join(f", {o} array<int>" for o in outs)
 
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        lists = [c if pa.types.is_list(c.type) else _split(c) for c in map(batch.column, outs)]
+        return pa.RecordBatch.from_arrays([batch.column("row_id"), *lists], ["row_id", *outs])
+
     def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         portion = TaskContext.get().partitionId() << 32
         names = ["portion", "place", "token", "row_id", *outs]
-        for batch in (part for whole in batches for part in _portions(whole, outs)):
+        for batch in (part for whole in batches for part in _portions(cut(whole), outs)):
             lists = [batch.column(o) for o in outs]
             coded = pa.concat_arrays([x.flatten() for x in lists]).dictionary_encode()
             codes, at, numbered = coded.indices.cast(pa.int32()), 0, []
@@ -198,7 +223,11 @@ def _exchanged(
     schema = f"portion bigint, place int, token string, row_id {row_id}{numbers}"
     parts = store(rows.mapInArrow(apart, schema), "portions")
     asked = parts.filter("place >= 0").select("portion", "place", "token")
-    found = lookup_join(asked, lookup, "token", payload, ["portion", "place"], min_heavy_rows)
+    if parts.filter("place = 0").count() < min_heavy_rows:
+        # A portion asks for an element once, so none is frequent and nothing has to be counted.
+        found = asked.join(lookup.select("token", payload), "token", "left")
+    else:
+        found = lookup_join(asked, lookup, "token", payload, ["portion", "place"], min_heavy_rows)
 
     def together(lists: pa.Table, values: pa.Table) -> pa.Table:
         order = pc.sort_indices(values["place"])
@@ -215,6 +244,8 @@ def _exchanged(
 
 
 def _encode_by_join(tokens: DataFrame, vocab: DataFrame, min_heavy_rows: int = HEAVY_ROWS) -> DataFrame:
+    """`tokens` holds texts or lists of tokens."""
+
     def known_or_not(ids: pa.ListArray) -> pa.Array:
         return _with_elements(ids, pc.fill_null(ids.flatten(), UNKNOWN))
 
@@ -247,7 +278,7 @@ def batch_pad(encoded: DataFrame, side: str = "left", pad: int = PAD) -> DataFra
     longest = F.max(F.size("ids")).over(Window.partitionBy("batch_id"))
     missing = longest - F.size("ids")
     fill, none = F.array_repeat(F.lit(pad).cast("int"), missing), F.array_repeat(F.lit(0), missing)
-    ones = F.transform("ids", lambda _: F.lit(1))
+    ones = F.array_repeat(F.lit(1), F.size("ids"))  # in generated code, which a function over the array is not
     left = side == "left"
     return encoded.select(
         *[F.col(f"`{c}`") for c in encoded.columns if c not in ("padded", "mask")],

@@ -93,7 +93,7 @@ def examples(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _joined(c: str, sep: str = " ") -> F.Column:
-    return F.array_join(F.transform(c, lambda i: i.cast("string")), sep)
+    return F.array_join(F.col(c).cast("array<string>"), sep)
 
 
 # -- sources and sinks -----------------------------------------------------------------------------

@@ -1,10 +1,13 @@
 import pytest
 import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
 from formulary.operators import encoding
-from formulary.operators.encoding import _decode_by_join, _encode_by_join
+from formulary.operators.encoding import X, _decode_by_join, _encode_by_join
+from formulary.plans import catalog
+from support import plan_of
 
 
 def docs(spark):
@@ -121,3 +124,31 @@ def test_joined_way_explodes_no_token(spark):
     df, vocab = docs(spark), spark.createDataFrame([("the", 2), ("w1", 3)], "token string, id int")
     plan = encoding.encode(df, vocab, max_shipped=1)._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and "FlatMapCoGroupsInArrow" in plan
+
+
+def test_tokens_are_those_of_the_column_function(spark):
+    spaces = [c for c in map(chr, range(0x110000)) if not 0xD800 <= ord(c) < 0xE000 and c.isspace()]
+    odd = ["", " ", "\u00a0a\u3000 b\t", "\x1ca\x1fb\x85", "a\u200bb \u2060", *[f"{c}x{c}{c}y{c}" for c in spaces], None]
+    df = spark.createDataFrame(list(enumerate(odd)), "row_id int, text string")
+    bad = spark.sql("SELECT -1 AS row_id, CAST(X'61FF6220C3' AS STRING) AS text")
+    df = df.union(bad)
+    want = {r.row_id: r.w or [] for r in df.select("row_id", X.words("text").alias("w")).collect()}
+    vocab = encoding.vocab_build(df)
+    counts = Counter(w for ws in want.values() for w in ws)
+    ranked = sorted(counts, key=lambda w: (-counts[w], w.encode()))
+    ids = {w: i + 2 for i, w in enumerate(ranked)}
+    assert {r.token: r.id for r in vocab.collect()} == ids
+    for shipped in (100, 0):
+        got = {r.row_id: list(r.ids) for r in encoding.encode(df, vocab, max_shipped=shipped).collect()}
+        assert got == {k: [ids[w] for w in ws] for k, ws in want.items()}
+
+
+def test_wide_steps_are_generated_code_and_count_nothing_in_vain(spark):
+    df = spark.createDataFrame([(1, "a b c"), (2, "d")], "row_id int, text string")
+    vocab = encoding.vocab_build(df)
+    joined = encoding.encode(df, vocab, max_shipped=0)
+    assert "_hot" not in plan_of(joined)  # a few portions make no token frequent
+    padded = encoding.batch_pad(joined.withColumn("batch_id", F.lit(0)))
+    out = padded.select(catalog._joined("padded").alias("padded"), catalog._joined("mask").alias("mask"))
+    assert "lambda" not in plan_of(out)
+    assert sorted(map(tuple, out.collect())) == [("0 0 5", "0 0 1"), ("2 3 4", "1 1 1")]
