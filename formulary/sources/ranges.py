@@ -26,7 +26,7 @@ from formulary.session import path_exists, touch
 
 RANGE, PLACE = "_range", "_place"  # columns of a planned row
 REQUESTS, ANSWERS, ATTEMPTS, PLANNED = "requests", "answers", "_attempts", "_PLANNED"
-FLUSH_BYTES = 64 << 20  # answers of a range held before they go to its file
+FLUSH_BYTES = 8 << 20  # answers of a range held before they go to its file, however large the range is
 POSITIONS = 33  # bits of a row's position in its partition
 
 
@@ -139,6 +139,8 @@ class _RangeFile:
             self.writer = pq.ParquetWriter(self.own, table.schema, filesystem=self.store)
         self.writer.write_table(table)
         self.held, self.bytes = [], 0
+        del table
+        pa.default_memory_pool().release_unused()  # else a worker keeps what its largest flush took
 
     def close(self) -> None:
         if self.held:

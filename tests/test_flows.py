@@ -1,3 +1,5 @@
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.resource import ResourceProfileBuilder, TaskResourceRequests
 from pyspark.sql import functions as F
@@ -195,3 +197,16 @@ def test_remote_run_keeps_what_was_paid_for(spark, tmp_path):
 def test_empty_corpus(spark, tmp_path):
     got = flows.predict_resumable(corpus(spark).limit(0), doubles.load_echo, str(tmp_path / "e"), "seq2seq", "standard")
     assert got.count() == 0 and "fol_pred" in got.columns
+
+
+def test_a_large_range_is_held_in_small_parts(tmp_path):
+    batch = pa.RecordBatch.from_pydict({"fol_pred": [f"{i:04d}" * 256 for i in range(1000)]})
+    file = ranges._RangeFile(str(tmp_path), "run", 3)
+    most = 0
+    for _ in range(30):
+        file.add(batch)
+        most = max(most, file.bytes)
+    file.close()
+    assert most < 10 << 20
+    back = pq.ParquetFile(ranges.range_file(str(tmp_path), 3))
+    assert back.metadata.num_row_groups > 2 and back.read().equals(pa.Table.from_batches([batch] * 30))
